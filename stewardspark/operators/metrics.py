@@ -431,7 +431,7 @@ def change_metrics(
         .groupBy("cr_id")
         .agg(F.max("decided_at").alias("approved_at"))
     )
-    start = _months_before(as_of, months)
+    start = months_before(as_of, months)
     month = F.to_date(F.date_trunc("month", "created_at"))
     return (
         cr.where(F.col("created_at") >= start)
@@ -447,7 +447,7 @@ def change_metrics(
     )
 
 
-def _months_before(as_of: AsOf, months: int):
+def months_before(as_of: AsOf, months: int):
     day = to_datetime(as_of).date()
     index = day.year * 12 + day.month - 1 - months
     year, month = divmod(index, 12)
