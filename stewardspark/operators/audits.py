@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import count_where, zero_if_null
 from .common import union_all
-from .quality import _orphans
 
 
 class KeySpec(NamedTuple):
@@ -35,48 +35,106 @@ class VocabularySpec(NamedTuple):
     allowed: Sequence[str]
 
 
+def _as_key(columns: Sequence[str]) -> Column:
+    """A key as one string, so that keys of many tables share a shuffle; NULL if a part is."""
+    parts = [F.col(c).cast("string") for c in columns]
+    if len(parts) == 1:
+        return parts[0]
+    whole = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
+    return F.when(whole, F.to_json(F.array(*parts)))
+
+
+def _sum_where(predicate: Column, value: Column) -> Column:
+    return F.sum(F.when(predicate, value).otherwise(0))
+
+
 def audit_primary_keys(specs: Sequence[KeySpec]) -> DataFrame:
-    """Rows, rows with a NULL key part, repeated keys and surplus rows per key."""
+    """Rows, rows with a NULL key part, repeated keys and surplus rows per key.
 
-    def one(spec: KeySpec) -> DataFrame:
-        parts = [F.col(c).alias(f"_k{i}") for i, c in enumerate(spec.columns)]
-        groups = spec.df.select(*parts).groupBy(*[f"_k{i}" for i in range(len(parts))]).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        has_null = F.lit(False)
-        for i in range(len(parts)):
-            has_null = has_null | F.col(f"_k{i}").isNull()
-        repeated = ~has_null & (F.col("n") > 1)
-        return groups.agg(
-            zero_if_null(F.sum("n")).alias("row_count"),
-            zero_if_null(F.sum(F.when(has_null, F.col("n")))).alias("null_key_rows"),
+    All tables are counted by (table, key) in one aggregation: one scan per table, partial
+    counts on the map side and a single shuffle, however many tables there are.
+    """
+    keyed = union_all(
+        [
+            s.df.select(F.lit(i).alias("item"), _as_key(s.columns).alias("key"))
+            for i, s in enumerate(specs)
+        ]
+    )
+    n, no_key = F.col("n"), F.col("key").isNull()
+    repeated = ~no_key & (n > 1)
+    found = (
+        keyed.groupBy("item", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("item")
+        .agg(
+            F.sum(n).alias("row_count"),
+            _sum_where(no_key, n).alias("null_key_rows"),
             count_where(repeated).alias("repeated_keys"),
-            zero_if_null(F.sum(F.when(repeated, F.col("n") - 1))).alias("surplus_rows"),
-        ).select(
-            F.lit(spec.table).alias("table_name"),
-            F.lit(",".join(spec.columns)).alias("key_columns"),
-            "row_count", "null_key_rows", "repeated_keys", "surplus_rows",
+            _sum_where(repeated, n - 1).alias("surplus_rows"),
         )
-
-    return union_all([one(s) for s in specs])
+    )
+    names = [(s.table, ",".join(s.columns)) for s in specs]
+    return _named(found, names, ["table_name", "key_columns"])
 
 
 def audit_foreign_keys(specs: Sequence[ReferenceSpec]) -> DataFrame:
-    """Rows with a key and rows whose key has no parent, per reference."""
+    """Rows with a key and rows whose key has no parent, per reference.
 
-    def one(spec: ReferenceSpec) -> DataFrame:
-        counted = _orphans(
-            spec.child_df, spec.parent_df, spec.child_columns, spec.parent_columns
+    A child table is scanned once for all its references and a parent once for all that
+    point to it. Child keys are counted before the one join, so a key that holds a third
+    of the rows is a single row in it.
+    """
+    parents = list(dict.fromkeys((s.parent, tuple(s.parent_columns)) for s in specs))
+    parent_of = {i: parents.index((s.parent, tuple(s.parent_columns))) for i, s in enumerate(specs)}
+
+    def references(child: str) -> DataFrame:
+        group = [(i, s) for i, s in enumerate(specs) if s.child == child]
+        entries = [
+            F.struct(
+                F.lit(i).alias("item"),
+                F.lit(parent_of[i]).alias("parent"),
+                _as_key(s.child_columns).alias("key"),
+            )
+            for i, s in group
+        ]
+        return group[0][1].child_df.select(F.inline(F.array(*entries)))
+
+    def parent_keys(parent: int) -> DataFrame:
+        spec = next(s for i, s in enumerate(specs) if parent_of[i] == parent)
+        return spec.parent_df.select(
+            F.lit(parent).alias("parent"), _as_key(spec.parent_columns).alias("key")
         )
-        return counted.select(
-            F.lit(spec.child).alias("child_table"),
-            F.lit(",".join(spec.child_columns)).alias("child_columns"),
-            F.lit(spec.parent).alias("parent_table"),
-            F.col("row_count").alias("keyed_rows"),
-            F.col("failed_count").alias("orphan_rows"),
+
+    counted = (
+        union_all([references(c) for c in dict.fromkeys(s.child for s in specs)])
+        .where("key IS NOT NULL")
+        .groupBy("item", "parent", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    known = union_all([parent_keys(i) for i in range(len(parents))]).distinct()
+    found = (
+        counted.join(known.withColumn("known", F.lit(True)), ["parent", "key"], "left")
+        .groupBy("item")
+        .agg(
+            F.sum("n").alias("keyed_rows"),
+            _sum_where(F.col("known").isNull(), F.col("n")).alias("orphan_rows"),
         )
+    )
+    names = [(s.child, ",".join(s.child_columns), s.parent) for s in specs]
+    return _named(found, names, ["child_table", "child_columns", "parent_table"])
 
-    return union_all([one(s) for s in specs])
+
+def _named(found: DataFrame, names: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
+    """Names the numbered items; an item that had no row to count shows zeros."""
+    entries = [
+        F.struct(F.lit(i).alias("item"), *[F.lit(v).alias(c) for c, v in zip(columns, name)])
+        for i, name in enumerate(names)
+    ]
+    items = found.sparkSession.range(1).select(F.inline(F.array(*entries)))
+    numbers = [c for c in found.columns if c != "item"]
+    return items.join(found, "item", "left").select(
+        *columns, *[zero_if_null(c).alias(c) for c in numbers]
+    )
 
 
 def audit_not_null(specs: Sequence[KeySpec]) -> DataFrame:

@@ -36,11 +36,14 @@ def counts_side_by_side(counts: Mapping[str, DataFrame]) -> DataFrame:
     return union_all(rows, allow_missing=True).agg(*[F.max(n).alias(n) for n in counts])
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = False):
-    pairs = [
-        left[k].eqNullSafe(right[k]) if null_safe else left[k] == right[k] for k in keys
-    ]
-    return reduce(lambda a, b: a & b, pairs)
+_NO_KEY = "\u0000"
+
+
+def _group_keys(keys: Sequence[str]) -> dict[str, Column]:
+    """Key columns that are never NULL, so that window and join share one partitioning."""
+    return {
+        f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit(_NO_KEY)) for i, k in enumerate(keys)
+    }
 
 
 def running_max(
@@ -57,31 +60,33 @@ def running_max(
 
     The window runs inside (key, time bucket); the maximum of all earlier buckets comes
     from a second window over one row per (key, bucket). A key that holds most rows is
-    thus spread over its buckets instead of filling one task. ``at`` leads ``order``.
+    thus spread over its buckets instead of filling one task. ``at`` leads ``order`` and
+    rows without it are left out. The join of the two keeps the window's partitioning.
     """
-    keyed = df.withColumn("_bucket", F.date_trunc(bucket, at)).withColumn("_value", value)
-    last = Window.currentRow if include_current else -1
+    group = _group_keys(keys)
+    keyed = (
+        df.where(F.col(at).isNotNull())
+        .withColumns(group)
+        .withColumn("_bucket", F.date_trunc(bucket, at))
+        .withColumn("_value", value)
+    )
     inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, last
-        )
+        Window.partitionBy(*group, "_bucket")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if include_current else -1)
     )
     earlier = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
-        keyed.groupBy(*keys, "_bucket")
+        keyed.groupBy(*group, "_bucket")
         .agg(F.max("_value").alias("_top"))
         .withColumn("_carry", F.max("_top").over(earlier))
-        .select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_bucket").alias("_c_bucket"),
-                "_carry")
+        .drop("_top")
     )
     rows = keyed.withColumn("_inside", F.max("_value").over(inside))
-    on = rows["_bucket"].eqNullSafe(carry["_c_bucket"])
-    for k in keys:
-        on = on & rows[k].eqNullSafe(carry[f"_c_{k}"])
     return (
-        rows.join(carry, on, "left")
+        rows.join(carry, [*group, "_bucket"], "left")
         .withColumn(out, F.greatest("_inside", "_carry"))
         .select(*df.columns, out)
     )
@@ -100,48 +105,52 @@ def last_known(
 
     Facts and history are merged in time order inside (key, time bucket); the newest row
     of earlier buckets is carried in from one row per (key, bucket). No pairs are built
-    and a hot key is split by time. Equal starts resolve to the greatest payload.
+    and a hot key is split by time. Equal starts resolve to the greatest payload; a NULL
+    key or time finds nothing.
     """
-    known = history
+    group = _group_keys(keys)
+    known = history.where(F.col(start).isNotNull())
     for k in keys:
         known = known.where(F.col(k).isNotNull())
     known = known.select(
-        *keys,
+        *[c.alias(n) for n, c in group.items()],
         F.col(start).alias("_at"),
         F.struct(*payload).alias("_payload"),
         F.lit(0).alias("_kind"),
     )
     merged = (
-        facts.withColumn("_at", F.col(at))
+        facts.withColumns(group)
+        .withColumn("_at", F.col(at))
         .withColumn("_kind", F.lit(1))
         .unionByName(known, allowMissingColumns=True)
         .withColumn("_bucket", F.date_trunc(bucket, "_at"))
     )
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy(*group, "_bucket")
         .orderBy("_at", "_kind", "_payload")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # Facts only say which buckets they need; a fact bucket sorts before its own history.
+    needed = merged.where("_kind = 1").select(*group, "_bucket").distinct()
+    newest_of_bucket = F.max(F.struct("_at", "_payload"))
+    known_buckets = (
+        merged.where("_kind = 0").groupBy(*group, "_bucket").agg(newest_of_bucket.alias("_top"))
+    )
     earlier = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group)
+        .orderBy("_bucket", F.col("_top").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    newest_of_bucket = F.max(
-        F.when(F.col("_kind") == 0, F.struct("_at", "_payload"))
-    ).alias("_top")
     carry = (
-        merged.groupBy(*keys, "_bucket")
-        .agg(newest_of_bucket)
+        needed.unionByName(known_buckets, allowMissingColumns=True)
         .withColumn("_carry", F.last("_top", ignorenulls=True).over(earlier))
-        .select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_bucket").alias("_c_bucket"),
-                F.col("_carry._payload").alias("_carry"))
+        .where("_top IS NULL")
+        .select(*group, "_bucket", F.col("_carry._payload").alias("_carry"))
     )
     rows = merged.withColumn(
         "_inside", F.last("_payload", ignorenulls=True).over(inside)
     ).where("_kind = 1")
-    on = rows["_bucket"].eqNullSafe(carry["_c_bucket"])
-    for k in keys:
-        on = on & (rows[k] == carry[f"_c_{k}"])
-    found = rows.join(carry, on, "left").withColumn(
+    found = rows.join(carry, [*group, "_bucket"], "left").withColumn(
         "_known", F.coalesce("_inside", "_carry")
     )
     return found.select(*facts.columns, *[F.col(f"_known.{c}").alias(c) for c in payload])
