@@ -15,6 +15,8 @@ from .common import union_all
 from .upsert import update_from, upsert
 
 RECUT_EVERY = 16
+# Rows of at most a few short ids that may be broadcast: some tens of megabytes.
+BROADCAST_ROWS = 200_000
 
 
 def lineage_nodes(ds: DataFrame, nodes: DataFrame, as_of: AsOf) -> DataFrame:
@@ -101,16 +103,24 @@ def _grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys, max_de
     """Repeats ``step`` on the newest rows until it adds none; rows keep their first depth.
 
     Each level is written to the shared checkpoint folder, so plans stay short and a lost
-    executor costs a re-read. Only the emptiness of a level returns to the driver.
+    executor costs a re-read. Only row counts return to the driver: they end the walk and
+    tell which sides are small enough to broadcast, so that the edges are not shuffled for
+    a small level. Larger sides are merged.
     """
+
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
     visited = frontier = cut_lineage(start)
+    newest = total = frontier.count()
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while newest and (max_depth is None or depth < max_depth):
         depth += 1
-        found = step(frontier).distinct().join(visited.select(*keys), keys, "left_anti")
+        found = step(small(frontier, newest)).distinct()
+        found = found.join(small(visited.select(*keys), total), keys, "left_anti")
         frontier = cut_lineage(found.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
+        newest = frontier.count()
+        total += newest
         visited = visited.unionByName(frontier)
         if depth % RECUT_EVERY == 0:
             visited = cut_lineage(visited)
