@@ -1,10 +1,11 @@
 """Shared building blocks: newest row per key, side-by-side counts, split running windows.
 
-Join policy of the package: no join is forced to broadcast. Registry sides are left to
-Spark, which broadcasts them when their size is below its threshold (checked from the
-statistics, and again at run time from the shuffled size) and otherwise sorts and merges,
-splitting hot partitions of the row side. Wherever only totals are needed, the fact side
-is first counted per join key, so a hot key is one row before anything is shuffled.
+Join policy of the package: registry sides are left to Spark, which broadcasts them when
+their size is below its threshold (checked from the statistics, and again at run time from
+the shuffled size) and otherwise sorts and merges, splitting hot partitions of the row
+side. A broadcast is only asked for behind a row count, on a few narrow columns. Wherever
+only totals are needed and the registry is not that small, the fact side is first counted
+per join key, so a hot key is one row before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Rows of a few short columns that may be broadcast: some tens of megabytes.
+BROADCAST_ROWS = 200_000
+
+
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in ``order``, which has to be total for a repeatable result.
 

@@ -11,12 +11,10 @@ from ..functions import labels
 from ..functions.clock import AsOf, moment, on_day, since
 from ..functions.ratios import count_where, percent
 from ..session import cut_lineage
-from .common import union_all
+from .common import BROADCAST_ROWS, union_all
 from .upsert import update_from, upsert
 
 RECUT_EVERY = 16
-# Rows of at most a few short ids that may be broadcast: some tens of megabytes.
-BROADCAST_ROWS = 200_000
 
 
 def lineage_nodes(ds: DataFrame, nodes: DataFrame, as_of: AsOf) -> DataFrame:

@@ -1,8 +1,8 @@
 """Daily roll-ups, dashboard queries and documented analytics.
 
-Log tables are counted per join key before they meet a registry table: the counts are
-additive, so the totals are those of the plain joins, while a hot dataset, control or
-risk is a single row by the time it is shuffled.
+Log tables are counted per join key before they are shuffled to a registry table: the
+counts are additive, so the totals are those of the plain joins, while a hot dataset,
+control or risk is a single row by the time it moves.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..functions.clock import (
     to_datetime,
 )
 from ..functions.ratios import count_where, percent, rating_score, zero_if_null
-from .common import counts_side_by_side
+from .common import BROADCAST_ROWS, counts_side_by_side
 from .views import latest_results
 
 ALL_DOMAINS = "__ALL__"
@@ -38,8 +38,23 @@ def _outcome_counts(total: str):
     ]
 
 
-def _resum(total: str):
-    return [F.sum(c).alias(c) for c in (total, *(name for _, name in _OUTCOMES))]
+def _daily_by_domain(
+    facts: DataFrame, key: str, domain_of: DataFrame, registry_rows: int, total: str
+) -> DataFrame:
+    """Outcome counts of dated ``facts`` per day and domain.
+
+    With a small registry the facts meet it on the map side and only the few (day, domain)
+    sums are shuffled. With a large one they are counted per (day, key) first: sums of
+    those counts are the same, and a hot key is one row per day when it is shuffled.
+    """
+    if registry_rows <= BROADCAST_ROWS:
+        joined = facts.join(F.broadcast(domain_of), key, "left")
+        return joined.groupBy("metric_date", "domain_name").agg(*_outcome_counts(total))
+    counted = facts.groupBy("metric_date", key).agg(*_outcome_counts(total))
+    sums = [F.sum(c).alias(c) for c in (total, *(name for _, name in _OUTCOMES))]
+    return (
+        counted.join(domain_of, key, "left").groupBy("metric_date", "domain_name").agg(*sums)
+    )
 
 
 def daily_process_metrics(run: DataFrame, as_of: AsOf, days: int = 30) -> DataFrame:
@@ -62,19 +77,18 @@ def daily_quality_metrics(
     res: DataFrame, ds: DataFrame, domain: DataFrame, as_of: AsOf, days: int = 30
 ) -> DataFrame:
     """Per day and domain; results whose dataset has no domain form a NULL domain row."""
-    dataset_domain = ds.select("dataset_id", "domain_id").join(
-        domain.select("domain_id", "domain_name"), "domain_id", "left"
+    domain_of = (
+        ds.select("dataset_id", "domain_id")
+        .join(domain.select("domain_id", "domain_name"), "domain_id", "left")
+        .select("dataset_id", "domain_name")
     )
-    return (
-        res.where(since("created_at", as_of, days))
-        .groupBy(F.to_date("created_at").alias("metric_date"), "dataset_id")
-        .agg(*_outcome_counts("total_dq_tests"))
-        .join(dataset_domain.select("dataset_id", "domain_name"), "dataset_id", "left")
-        .groupBy("metric_date", "domain_name")
-        .agg(*_resum("total_dq_tests"))
-        .withColumnsRenamed(
-            {"passed": "passed_tests", "failed": "failed_tests", "warning": "warning_tests"}
-        )
+    facts = res.where(since("created_at", as_of, days)).select(
+        F.to_date("created_at").alias("metric_date"), "dataset_id", "outcome"
+    )
+    return _daily_by_domain(
+        facts, "dataset_id", domain_of, ds.count(), "total_dq_tests"
+    ).withColumnsRenamed(
+        {"passed": "passed_tests", "failed": "failed_tests", "warning": "warning_tests"}
     )
 
 
@@ -90,26 +104,19 @@ def daily_control_metrics(
     scoped = ds.select(F.col("dataset_id").alias("scope_id"), "domain_id").withColumn(
         "scope_type", F.lit("DATASET")
     )
-    control_domain = (
+    domain_of = (
         control.select("control_id", "scope_type", "scope_id")
         .join(scoped, ["scope_type", "scope_id"], "left")
         .join(domain.select("domain_id", "domain_name"), "domain_id", "left")
         .select("control_id", "domain_name")
     )
-    return (
-        test.where(since("executed_at", as_of, days))
-        .groupBy(F.to_date("executed_at").alias("metric_date"), "control_id")
-        .agg(*_outcome_counts("total_control_tests"))
-        .join(control_domain, "control_id", "left")
-        .groupBy("metric_date", "domain_name")
-        .agg(*_resum("total_control_tests"))
-        .withColumnsRenamed(
-            {
-                "passed": "passed_controls",
-                "failed": "failed_controls",
-                "warning": "warning_controls",
-            }
-        )
+    facts = test.where(since("executed_at", as_of, days)).select(
+        F.to_date("executed_at").alias("metric_date"), "control_id", "outcome"
+    )
+    return _daily_by_domain(
+        facts, "control_id", domain_of, control.count(), "total_control_tests"
+    ).withColumnsRenamed(
+        {"passed": "passed_controls", "failed": "failed_controls", "warning": "warning_controls"}
     )
 
 

@@ -1,3 +1,4 @@
+import pytest
 from seed import AS_OF, ago
 
 from stewardspark.functions.policies import mask_email
@@ -73,6 +74,24 @@ def test_risk_order(seed):
     assert ranked == ["RSK-1", "RSK-2", "RSK-3"]
 
 
+def test_join_orders_agree_on_the_driver_tables(spark, monkeypatch, rows):
+    from stewardspark.sources.projections import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+
+    def both():
+        return (
+            rows(m.daily_quality_metrics(t.dq_result, t.dim_dataset, t.dim_domain, "2024-02-05")),
+            rows(m.daily_control_metrics(
+                t.control_test, t.control_registry, t.dim_dataset, t.dim_domain, "2024-02-05"
+            )),
+        )
+
+    small = both()
+    monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    assert both() == small and small[0] and small[1]
+
+
 def test_daily_quality_totals_and_null_domain(seed, spark):
     got = m.daily_quality_metrics(
         seed["dq_result"], seed["dim_dataset"], seed["dim_domain"], AS_OF
@@ -107,8 +126,9 @@ def test_governance_score_and_unjoined_null_domains(spark):
     ]
 
 
-def test_preaggregation_equals_the_plain_join_with_repeated_registry_rows(spark):
-    """Counts taken before the join still see a dataset that is registered twice."""
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_both_join_orders_see_a_dataset_that_is_registered_twice(spark, monkeypatch, limit):
+    monkeypatch.setattr(m, "BROADCAST_ROWS", limit)
     ts = __import__("datetime").datetime(2024, 1, 2)
     res = spark.createDataFrame([(ts, "A", "PASS")] * 3, "created_at timestamp_ntz, dataset_id string, outcome string")
     ds = spark.createDataFrame([("A", "D"), ("A", "D")], "dataset_id string, domain_id string")
