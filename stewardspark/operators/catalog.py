@@ -112,7 +112,8 @@ def register_datasets(
 ) -> DataFrame:
     """New dataset registry after a metadata sync."""
     rows = dataset_rows(tracked_objects(meta) if tracked_only else meta, as_of, **options)
-    return upsert(dim_dataset, rows, ["dataset_id"], update_cols)
+    # A sync lists every object, so the source is about as large as the registry.
+    return upsert(dim_dataset, rows, ["dataset_id"], update_cols, large_source=True)
 
 
 def attribute_rows(
@@ -152,7 +153,7 @@ def register_attributes(
     """New attribute registry after a metadata sync."""
     rows = attribute_rows(cols, dim_dataset, as_of, critical)
     updates = [c for c in ATTRIBUTE_UPDATES if c in attrs.columns]
-    return upsert(attrs, rows, ["map_id"], updates)
+    return upsert(attrs, rows, ["map_id"], updates, large_source=True)
 
 
 def sync_summary(

@@ -12,7 +12,7 @@ from ..functions.clock import AsOf, moment, on_day, since
 from ..functions.ratios import count_where, percent
 from ..session import cut_lineage
 from .common import BROADCAST_ROWS, union_all
-from .upsert import update_from, upsert
+from .upsert import unmatched, update_from, upsert
 
 RECUT_EVERY = 16
 
@@ -240,35 +240,37 @@ def lineage_roots_leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # --- run tracking ------------------------------------------------------------------------
 
 
-def started_runs(events: DataFrame) -> DataFrame:
-    """One STARTED row per run from its earliest start event."""
-    first = F.min(
-        F.when(
-            F.col("event") == "START", F.struct("event_at", "process_id", F.upper("system_name").alias("system_id")),
-        )
+def run_changes(events: DataFrame) -> DataFrame:
+    """One row per run: its earliest start ``s`` and its latest completion ``c``, if any."""
+    start = F.struct("event_at", "process_id", F.upper("system_name").alias("system_id"))
+    end = F.struct("event_at", "status", "error_message")
+    return events.groupBy("run_id").agg(
+        F.min(F.when(F.col("event") == "START", start)).alias("s"),
+        F.max(F.when(F.col("event") == "COMPLETE", end)).alias("c"),
     )
+
+
+def started_runs(events: DataFrame) -> DataFrame:
+    """Started runs as run rows; a run without a completion is STARTED."""
     return (
-        events.groupBy("run_id")
-        .agg(first.alias("s"))
+        run_changes(events)
         .where("s IS NOT NULL")
         .select(
             "run_id",
             F.col("s.process_id").alias("process_id"),
             F.col("s.system_id").alias("system_id"),
             F.col("s.event_at").alias("started_at"),
-            F.lit("STARTED").alias("status"),
+            F.col("c.event_at").alias("ended_at"),
+            F.when(F.col("c").isNull(), "STARTED").otherwise(F.col("c.status")).alias("status"),
+            F.col("c.error_message").alias("error_message"),
         )
     )
 
 
 def completed_runs(events: DataFrame) -> DataFrame:
-    """End time, status and error per run from its latest completion event."""
-    last = F.max(
-        F.when(F.col("event") == "COMPLETE", F.struct("event_at", "status", "error_message"))
-    )
+    """End time, status and error of the completed runs."""
     return (
-        events.groupBy("run_id")
-        .agg(last.alias("c"))
+        run_changes(events)
         .where("c IS NOT NULL")
         .select(
             "run_id",
@@ -283,12 +285,14 @@ def apply_run_events(runs: DataFrame, events: DataFrame) -> DataFrame:
     """Run table after start and completion events.
 
     A start inserts a STARTED row unless the run exists; a completion sets status, end
-    and error of a known run and is ignored for an unknown one.
+    and error of a known run and is ignored for an unknown one. Both are taken in one
+    step: a run that starts and completes in the same batch is inserted as completed.
     """
-    started = upsert(runs, started_runs(events), ["run_id"], update_cols=[])
-    return update_from(
-        started, completed_runs(events), ["run_id"], ["ended_at", "status", "error_message"]
+    finished = update_from(
+        runs, completed_runs(events), ["run_id"], ["ended_at", "status", "error_message"]
     )
+    started = unmatched(started_runs(events), runs, ["run_id"])
+    return finished.unionByName(started, allowMissingColumns=True)
 
 
 def systems_from_events(dim_system: DataFrame, events: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ Parquet has no row-level MERGE, so each function builds the next snapshot as a p
 Updates left-join the target to the changes: a small change set is broadcast and the
 target is not shuffled. Inserts anti-join the changes to the target's *matched* keys,
 found by a semi join on the key columns alone, so the target is never the build side.
+A source as large as the target takes one full outer join instead.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import AsOf, moment, to_datetime
 
 KeyExpr = Callable[[Column], Column]
+CLASH = "more than one source row for a merge key"
 
 
 def _key_names(keys: Sequence[str]) -> list[str]:
@@ -57,7 +60,7 @@ def update_from(
     changes = src.groupBy(*names).agg(
         F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*columns)).alias("_new")
     )
-    clash = F.raise_error(F.lit("more than one source row for a merge key"))
+    clash = F.raise_error(F.lit(CLASH))
     joined = _with_keys(target, keys, key_expr).join(changes, names, "left")
     types = dict(target.dtypes)
 
@@ -72,6 +75,55 @@ def update_from(
     return joined.select(*[value(c) for c in target.columns])
 
 
+def _full_merge(
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    updates: Sequence[str],
+    inserts: Sequence[str],
+    key_expr: KeyExpr | None,
+) -> DataFrame:
+    """The merge as one full outer join on the keys; each side moves once.
+
+    Rows without a full key match nothing: they are passed by the join, so that they do
+    not gather in one task. Two source rows for one key are an error, matched or not.
+    """
+    names = _key_names(keys)
+    types = dict(target.dtypes)
+    tgt, src = (_with_keys(df, keys, key_expr) for df in (target, source))
+    whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+    changes = (
+        src.where(whole)
+        .groupBy(*names)
+        .agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*source.columns)).alias("_new"))
+    )
+    joined = tgt.where(whole).withColumn("_known", F.lit(True)).join(changes, names, "full")
+
+    def inserted(c: str, value: Column) -> Column:
+        return (value if c in inserts else F.lit(None)).cast(types[c])
+
+    def merged(c: str) -> Column:
+        given = F.col(f"_new.{c}") if c in source.columns else F.lit(None)
+        out = F.when(F.col("_n") > 1, F.raise_error(F.lit(CLASH))).when(
+            F.col("_known").isNull(), inserted(c, given)
+        )
+        if c in updates:
+            out = out.when(F.col("_n") == 1, given.cast(types[c]))
+        return out.otherwise(F.col(c)).alias(c)
+
+    rest = src.where(~whole).select(
+        *[
+            inserted(c, F.col(c) if c in source.columns else F.lit(None)).alias(c)
+            for c in target.columns
+        ]
+    )
+    return (
+        joined.select(*[merged(c) for c in target.columns])
+        .unionByName(tgt.where(~whole).select(*target.columns))
+        .unionByName(rest)
+    )
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -79,16 +131,20 @@ def upsert(
     update_cols: Sequence[str] | None = None,
     insert_cols: Sequence[str] | None = None,
     key_expr: KeyExpr | None = None,
+    large_source: bool = False,
 ) -> DataFrame:
     """MERGE: matched rows take ``update_cols``, other source rows are inserted.
 
     ``update_cols=[]`` only inserts and leaves every target row as it is. Columns outside
     ``insert_cols`` are NULL in inserted rows. ``key_expr`` (say ``F.upper``) is applied to
-    both sides before keys are compared.
+    both sides before keys are compared. ``large_source`` tells that the source is about
+    as big as the target: then one full outer join is cheaper than sparing the target.
     """
     known = [c for c in source.columns if c in target.columns]
     updates = [c for c in known if c not in keys] if update_cols is None else list(update_cols)
     inserts = known if insert_cols is None else list(insert_cols)
+    if large_source:
+        return _full_merge(target, source, keys, updates, inserts, key_expr)
     kept = update_from(target, source, keys, updates, key_expr) if updates else target
     new = unmatched(source, target, keys, key_expr)
     types = dict(target.dtypes)

@@ -31,28 +31,37 @@ def run_changes(t):
 _NOW = f"TIMESTAMP '{AS_OF} 00:00:00'"
 
 
-@query(
-    "upsert_update_insert",
-    "process_run",
-    f"""WITH src AS ({RUN_CHANGES.format(now=_NOW)})
+MERGED = f"""WITH src AS ({RUN_CHANGES.format(now=_NOW)})
 SELECT t.run_id, t.process_id, t.system_id, t.started_at,
   CASE WHEN s.run_id IS NOT NULL THEN s.ended_at ELSE t.ended_at END AS ended_at,
   CASE WHEN s.run_id IS NOT NULL THEN s.status ELSE t.status END AS status, t.error_message
 FROM process_run t LEFT JOIN src s ON s.run_id = t.run_id
 UNION ALL
 SELECT run_id, process_id, NULL, NULL, ended_at, status, NULL FROM src s
-WHERE NOT EXISTS (SELECT 1 FROM process_run t WHERE t.run_id = s.run_id)""",
-)
-def _(t):
+WHERE NOT EXISTS (SELECT 1 FROM process_run t WHERE t.run_id = s.run_id)"""
+
+
+def _merged(t, **how):
     return u.upsert(
         t.process_run,
         run_changes(t),
         ["run_id"],
         update_cols=["ended_at", "status"],
         insert_cols=["run_id", "process_id", "ended_at", "status"],
+        **how,
     )
 
 
+@query("upsert_update_insert", "process_run", MERGED)
+def _(t):
+    return _merged(t)
+
+
+@query("upsert_large_source", "process_run", MERGED)
+def _(t):
+    return _merged(t, large_source=True)
+
+
 @query(
     "upsert_insert_only",
     "process_run",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.lineage import completed_runs, started_runs
+from ..operators.lineage import started_runs
 from ..session import scratch_path
 from ..sources.projections import project
 from ..streaming import results as s
@@ -149,9 +149,8 @@ def _(t):
 FROM process_run""",
 )
 def _(t):
-    events = run_events(t)
-    pairs = started_runs(events).drop("status").join(completed_runs(events), "run_id", "left")
-    return pairs.select(
-        "run_id", "process_id", "started_at", "ended_at",
-        F.coalesce("status", F.lit("UNFINISHED")).alias("status"),
+    started = started_runs(run_events(t))
+    status = F.when(F.col("status") == "STARTED", "UNFINISHED").otherwise(F.col("status"))
+    return started.select(
+        "run_id", "process_id", "started_at", "ended_at", status.alias("status")
     )

@@ -1,4 +1,4 @@
-"""Runs every registered query against its SQL check: ``check_all.py SF_DIR [KEY...]``."""
+"""Runs registered queries against their SQL checks: ``check_all.py SF_DIR [KEY | conf=value ...]``."""
 
 import sys
 
@@ -10,11 +10,13 @@ from __spark_entry__ import queries  # noqa: E402
 from stewardspark.session import local_session  # noqa: E402
 
 sf = sys.argv[1]
-spark = local_session(8)
+keys = [a for a in sys.argv[2:] if "=" not in a]
+conf = dict(a.split("=", 1) for a in sys.argv[2:] if "=" in a)
+spark = local_session(8, **conf)
 spark.sparkContext.setLogLevel("ERROR")
 con = connect(sf)
 bad = 0
-for key in sys.argv[2:] or list(queries()):
+for key in keys or list(queries()):
     try:
         r = compare(spark, con, key, sf)
     except Exception as e:  # noqa: BLE001

@@ -1,3 +1,5 @@
+import functools
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,52 +10,57 @@ from stewardspark.operators import upsert as u
 DDL = "k string, a int, b string"
 
 
+@pytest.fixture(params=[False, True], ids=["small source", "large source"])
+def merge(request):
+    return functools.partial(u.upsert, large_source=request.param)
+
+
 def frame(spark, data, ddl=DDL):
     return spark.createDataFrame(data, ddl)
 
 
-def test_update_takes_listed_columns_only(spark, rows):
+def test_update_takes_listed_columns_only(spark, rows, merge):
     target = frame(spark, [("x", 1, "old"), ("y", 2, "old")])
     source = frame(spark, [("x", 9, "new"), ("z", 8, "new")])
-    got = u.upsert(target, source, ["k"], update_cols=["a"], insert_cols=["k", "b"])
+    got = merge(target, source, ["k"], update_cols=["a"], insert_cols=["k", "b"])
     assert rows(got) == [("x", 9, "old"), ("y", 2, "old"), ("z", None, "new")]
 
 
-def test_insert_only_keeps_old_rows(spark, rows):
+def test_insert_only_keeps_old_rows(spark, rows, merge):
     target = frame(spark, [("x", 1, "old")])
     source = frame(spark, [("x", 9, "new"), ("z", 8, "new")])
-    assert rows(u.upsert(target, source, ["k"], update_cols=[])) == [
+    assert rows(merge(target, source, ["k"], update_cols=[])) == [
         ("x", 1, "old"), ("z", 8, "new")
     ]
 
 
-def test_null_values_overwrite_and_null_keys_insert(spark, rows):
+def test_null_values_overwrite_and_null_keys_insert(spark, rows, merge):
     target = frame(spark, [("x", 1, "old"), (None, 5, "old")])
     source = frame(spark, [("x", None, None), (None, 7, "new")])
-    assert rows(u.upsert(target, source, ["k"])) == [
+    assert rows(merge(target, source, ["k"])) == [
         (None, 5, "old"), (None, 7, "new"), ("x", None, None)
     ]
 
 
-def test_case_folded_key(spark, rows):
+def test_case_folded_key(spark, rows, merge):
     target = frame(spark, [("Home", 1, "old")])
     source = frame(spark, [("HOME", 2, "new"), ("risk", 3, "new")])
-    got = u.upsert(target, source, ["k"], update_cols=["a"], key_expr=F.upper)
+    got = merge(target, source, ["k"], update_cols=["a"], key_expr=F.upper)
     assert rows(got) == [("Home", 2, "old"), ("risk", 3, "new")]
 
 
-def test_two_source_rows_for_a_matched_key_fail(spark):
+def test_two_source_rows_for_a_matched_key_fail(spark, merge):
     target = frame(spark, [("x", 1, "old")])
     source = frame(spark, [("x", 2, "p"), ("x", 3, "q")])
     with pytest.raises(Exception, match="more than one source row"):
-        u.upsert(target, source, ["k"]).collect()
+        merge(target, source, ["k"]).collect()
     assert u.check_merge_source(source, ["k"]).collect()[0].n == 2
 
 
-def test_several_target_rows_take_one_source_row(spark, rows):
+def test_several_target_rows_take_one_source_row(spark, rows, merge):
     target = frame(spark, [("x", 1, "p"), ("x", 2, "q")])
     source = frame(spark, [("x", 9, "new")])
-    assert rows(u.upsert(target, source, ["k"], update_cols=["a"])) == [("x", 9, "p"), ("x", 9, "q")]
+    assert rows(merge(target, source, ["k"], update_cols=["a"])) == [("x", 9, "p"), ("x", 9, "q")]
 
 
 KEYS = st.sampled_from(["p", "q", "r", "s", None])
@@ -64,16 +71,16 @@ KEYS = st.sampled_from(["p", "q", "r", "s", None])
     st.lists(st.tuples(KEYS, st.integers(0, 9)), max_size=6),
     st.dictionaries(KEYS, st.integers(10, 19), max_size=5),
 )
-def test_upsert_against_dictionary_and_idempotent(spark, rows, old, new):
+def test_upsert_against_dictionary_and_idempotent(spark, rows, merge, old, new):
     target = frame(spark, [(k, a, "t") for k, a in old])
     source = frame(spark, [(k, a, "s") for k, a in new.items()])
-    once = u.upsert(target, source, ["k"], update_cols=["a"])
+    once = merge(target, source, ["k"], update_cols=["a"])
     known = {k for k, _ in old if k is not None}
     expect = [(k, new[k] if k in new and k is not None else a, "t") for k, a in old]
     expect += [(k, a, "s") for k, a in new.items() if k is None or k not in known]
     assert rows(once) == sorted(expect, key=lambda r: tuple((v is not None, str(v)) for v in r))
     if None not in new:
-        assert rows(u.upsert(once, source, ["k"], update_cols=["a"])) == rows(once)
+        assert rows(merge(once, source, ["k"], update_cols=["a"])) == rows(once)
 
 
 def test_insert_if_absent_keeps_batch_duplicates(spark, rows):
