@@ -138,7 +138,8 @@ def upsert(
     ``update_cols=[]`` only inserts and leaves every target row as it is. Columns outside
     ``insert_cols`` are NULL in inserted rows. ``key_expr`` (say ``F.upper``) is applied to
     both sides before keys are compared. ``large_source`` tells that the source is about
-    as big as the target: then one full outer join is cheaper than sparing the target.
+    as big as the target: then one full outer join is cheaper than sparing the target. The
+    source plan is read up to three times otherwise, so store a costly one first.
     """
     known = [c for c in source.columns if c in target.columns]
     updates = [c for c in known if c not in keys] if update_cols is None else list(update_cols)
