@@ -148,9 +148,10 @@ def occurrences(
             return [pa.array(counts, pa.int64()), pa.array(found, _HITS_ARROW)]
 
         fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS)]
-        result = with_results(docs if result is None else result, scan, fields)
-        if "row" in result.schema["row"].dataType.fieldNames() and "hits" in result.schema["row"].dataType.fieldNames():
-            result = result.select("row.row", "n_words", "hits")
+        if result is None:
+            result = with_results(docs, scan, fields)
+        else:
+            result = with_results(result, scan, fields).select("row.row", "n_words", "hits")
     return result
 
 
