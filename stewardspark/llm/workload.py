@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 from ..sources.driver_tables import read_driver, stream_driver
-from . import decontamination, streaming_dedup
+from . import decontamination, jaccard_join, language, line_dedup, mixing, pii, secret_scan, streaming_dedup
+from . import suffix_dedup, toxicity
+from .rows import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +65,87 @@ def _(spark, sf_dir):
     docs = read_driver(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.occurrences(docs, read_driver(spark, sf_dir, "benchmark"))
     return decontamination.contamination(found)
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return read_driver(spark, sf_dir, "documents").select(*columns)
+
+
+@query("op1_pii")
+def _(spark, sf_dir):
+    spans = pii.candidates(_documents(spark, sf_dir, "doc_id", "text"))
+    return pii.detect(spans, pii.fit(spans))
+
+
+# One row per string of 100 bytes; the digest stands for the string.
+@query(
+    "op2_suffix_dedup",
+    """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, q, least(256, n - 99 - q) AS m, x[2 * q + 1 : 2 * q + 710] AS y FROM d, unnest(range(0, n - 99, 256)) AS t(q)),
+w AS (SELECT doc_id, q + o AS p, md5(y[2 * o + 1 : 2 * o + 200]) AS k FROM c, unnest(range(m)) AS u(o)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM w),
+g AS (SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 AS apart FROM r WHERE nth > 1),
+i AS (SELECT doc_id, p, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM g),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, island),
+e AS (SELECT doc_id, list(struct_pack(a := a, b := b) ORDER BY a) AS c FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(x[2 * (CASE WHEN j = 1 THEN 0 ELSE c[j - 1].b END) + 1 : 2 * (CASE WHEN j > len(c) THEN n ELSE c[j].a END)], ''
+    ORDER BY j) AS y, any_value(list_sum(list_transform(c, lambda z: z.b - z.a))) AS gone, any_value(len(c)) AS spans
+  FROM d JOIN e USING (doc_id), unnest(range(1, len(c) + 2)) AS t(j) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
+)
+def _(spark, sf_dir):
+    return suffix_dedup.summary(
+        suffix_dedup.deduplicate(_documents(spark, sf_dir, "doc_id", "text"), with_kept=False)
+    )
+
+
+@query("op3_language")
+def _(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language.fit(docs)
+    found = language.identify(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), model)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
+
+
+@query("op5_temperature_mixing", mixing.check_sql())
+def _(spark, sf_dir):
+    return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
+@query("op7_secret_scan")
+def _(spark, sf_dir):
+    return secret_scan.summary(secret_scan.scan(_documents(spark, sf_dir, "doc_id", "text", "source")))
+
+
+_SHINGLES = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS v, doc_id AS o FROM d UNION SELECT e.y, o FROM r JOIN e ON r.v = e.x)"""
+
+
+@query(
+    "op8_jaccard_join",
+    f"""{_SHINGLES}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT v AS doc_id, min(o) AS component_id FROM r GROUP BY v) USING (doc_id)""",
+)
+def _(spark, sf_dir):
+    return jaccard_join.classes(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op9_line_dedup", line_dedup.check_sql())
+def _(spark, sf_dir):
+    return line_dedup.summary(line_dedup.deduplicate(_documents(spark, sf_dir, "doc_id", "text")))
+
+
+@query("op10_toxicity")
+def _(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = toxicity.fit(docs, read_driver(spark, sf_dir, "labels"))
+    found = toxicity.rate(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), model)
+    return found.select("row.doc_id", "row.held_out", "score", "predicted")
