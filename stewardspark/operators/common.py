@@ -3,9 +3,8 @@
 Join policy of the package: registry sides are left to Spark, which broadcasts them when
 their size is below its threshold (checked from the statistics, and again at run time from
 the shuffled size) and otherwise sorts and merges, splitting hot partitions of the row
-side. A broadcast is only asked for behind a row count, on a few narrow columns. Wherever
-only totals are needed and the registry is not that small, the fact side is first counted
-per join key, so a hot key is one row before anything is shuffled.
+side. No broadcast is forced. Wherever only totals are needed, the fact side is first
+counted per join key, so a hot key is one row before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -17,10 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# Rows of a few short columns that may be broadcast: some tens of megabytes.
-BROADCAST_ROWS = 200_000
-
-
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in ``order``, which has to be total for a repeatable result.
 
@@ -66,7 +61,8 @@ def running_max(
     The window runs inside (key, time bucket); the maximum of all earlier buckets comes
     from a second window over one row per (key, bucket). A key that holds most rows is
     thus spread over its buckets instead of filling one task. ``at`` leads ``order`` and
-    rows without it are left out. The join of the two keeps the window's partitioning.
+    rows without it are left out; callers that keep such rows give them a time first. The
+    join of the two keeps the window's partitioning.
     """
     group = _group_keys(keys)
     keyed = (
@@ -111,9 +107,17 @@ def last_known(
     Facts and history are merged in time order inside (key, time bucket); the newest row
     of earlier buckets is carried in from one row per (key, bucket). No pairs are built
     and a hot key is split by time. Equal starts resolve to the greatest payload; a NULL
-    key or time finds nothing.
+    key or time finds nothing, and such facts are passed around the shuffle.
     """
     group = _group_keys(keys)
+    types = dict(history.dtypes)
+    whole = F.col(at).isNotNull()
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    apart = facts.where(~whole).select(
+        *facts.columns, *[F.lit(None).cast(types[c]).alias(c) for c in payload]
+    )
+    facts = facts.where(whole)
     known = history.where(F.col(start).isNotNull())
     for k in keys:
         known = known.where(F.col(k).isNotNull())
@@ -158,4 +162,5 @@ def last_known(
     found = rows.join(carry, [*group, "_bucket"], "left").withColumn(
         "_known", F.coalesce("_inside", "_carry")
     )
-    return found.select(*facts.columns, *[F.col(f"_known.{c}").alias(c) for c in payload])
+    placed = found.select(*facts.columns, *[F.col(f"_known.{c}").alias(c) for c in payload])
+    return placed.unionByName(apart)

@@ -45,11 +45,21 @@ def result_owner_as_of(
     )
 
 
+def version_parts(version: Column | str) -> Column:
+    """The numbers of a version text, so that 10.0.0 sorts after 9.0.0; text breaks ties."""
+    text = F.col(version) if isinstance(version, str) else version
+    numbers = F.transform(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), lambda p: p.cast("decimal(38,0)"))
+    return F.struct(numbers.alias("numbers"), text.alias("text"))
+
+
 def version_in_force(
     df: DataFrame, at: AsOf, key: str = "dataset_id", id_col: str = "contract_id"
 ) -> DataFrame:
-    """The version in force at a moment, one per key: the one that began last."""
-    order = [F.desc("effective_from"), F.desc("version"), F.desc(id_col)]
+    """The version in force at a moment, one per key: the one that began last.
+
+    Of versions that began together the greatest by number counts.
+    """
+    order = [F.desc("effective_from"), version_parts("version").desc(), F.desc(id_col)]
     return newest(as_of(df, at), [key], order)
 
 
@@ -61,13 +71,18 @@ def interval_overlaps(
     to_col: str = "effective_to",
     bucket: str = "month",
 ) -> DataFrame:
-    """Intervals that begin before an earlier interval of the same key has ended."""
-    open_end = F.coalesce(F.col(to_col), moment("9999-12-31"))
-    kept = df.select(key, id_col, from_col, to_col)
+    """Intervals that begin before an earlier interval of the same key has ended.
+
+    A NULL end is open; a NULL start is open as well and counts as the beginning of time.
+    """
+    kind = dict(df.dtypes)[from_col]
+    end = F.coalesce(F.col(to_col), moment("9999-12-31").cast(kind))
+    start = F.coalesce(F.col(from_col), moment("0001-01-01").cast(kind))
+    kept = df.select(key, id_col, from_col, to_col, start.alias("_start"), end.alias("_end"))
     reached = running_max(
-        kept, [key], [from_col, id_col], from_col, open_end, "covered_until", bucket
+        kept, [key], ["_start", id_col], "_start", F.col("_end"), "covered_until", bucket
     )
-    return reached.where(F.col(from_col) < F.col("covered_until"))
+    return reached.where("_start < covered_until").drop("_start", "_end")
 
 
 def retention_due(ds: DataFrame, policies: DataFrame, at: AsOf) -> DataFrame:

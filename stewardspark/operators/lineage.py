@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.clock import AsOf, moment, on_day, since
 from ..functions.ratios import count_where, percent
-from ..session import cut_lineage
-from .common import BROADCAST_ROWS, union_all
-from .upsert import unmatched, update_from, upsert
+from ..session import drop_folder, scratch_path
+from .common import union_all
+from .upsert import upsert
 
-RECUT_EVERY = 16
 
 
 def lineage_nodes(ds: DataFrame, nodes: DataFrame, as_of: AsOf) -> DataFrame:
@@ -97,32 +96,52 @@ def impact_one_hop(nodes: DataFrame, edges: DataFrame, src: str) -> DataFrame:
     )
 
 
-def _grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys, max_depth) -> DataFrame:
-    """Repeats ``step`` on the newest rows until it adds none; rows keep their first depth.
+class _Walk:
+    """A folder with the edges and levels of one graph walk, as Parquet.
 
-    Each level is written to the shared checkpoint folder, so plans stay short and a lost
-    executor costs a re-read. Only row counts return to the driver: they end the walk and
-    tell which sides are small enough to broadcast, so that the edges are not shuffled for
-    a small level. Larger sides are merged.
+    Each level is written before the next one reads it, so plans stay short and a lost
+    executor costs a re-read. Whether a side is broadcast is left to Spark, which knows the
+    size of the files; hubs on a merged side are split by adaptive execution.
     """
 
-    def small(df: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, scratch_path(spark, "walk")
+
+    def keep(self, df: DataFrame, *names: str) -> DataFrame:
+        paths = [f"{self.folder}/{n}" for n in names]
+        df.write.parquet(paths[0])
+        return self.spark.read.schema(df.schema).parquet(paths[0])
+
+    def levels(self, depth: int, schema) -> DataFrame:
+        paths = [f"{self.folder}/level-{d}" for d in range(depth + 1)]
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def end(self, result: DataFrame, name: str) -> DataFrame:
+        """The result in a folder of its own; the folder of the walk is removed."""
+        path = scratch_path(self.spark, name)
+        result.write.parquet(path)
+        drop_folder(self.spark, self.folder)
+        return self.spark.read.schema(result.schema).parquet(path)
+
+
+def _grow(
+    walk: _Walk, start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: Sequence[str],
+    max_depth: int | None,
+) -> DataFrame:
+    """Repeats ``step`` on the newest rows until it adds none; rows keep their first depth.
 
-    visited = frontier = cut_lineage(start)
-    newest = total = frontier.count()
+    Only whether a level is empty returns to the driver.
+    """
+    frontier = walk.keep(start, "level-0")
     depth = 0
-    while newest and (max_depth is None or depth < max_depth):
+    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
+        visited = walk.levels(depth, start.schema).select(*keys)
         depth += 1
-        found = step(small(frontier, newest)).distinct()
-        found = found.join(small(visited.select(*keys), total), keys, "left_anti")
-        frontier = cut_lineage(found.withColumn("depth", F.lit(depth)))
-        newest = frontier.count()
-        total += newest
-        visited = visited.unionByName(frontier)
-        if depth % RECUT_EVERY == 0:
-            visited = cut_lineage(visited)
-    return visited
+        found = step(frontier).distinct().join(visited, list(keys), "left_anti")
+        frontier = walk.keep(
+            found.withColumn("depth", F.lit(depth)).select(*start.columns), f"level-{depth}"
+        )
+    return walk.levels(depth, start.schema)
 
 
 def reachable(
@@ -142,10 +161,12 @@ def reachable(
     elif direction != "downstream":
         raise ValueError(f"direction {direction!r} is neither upstream nor downstream")
     live = edges.where("active_flag") if active_only else edges
-    hops = cut_lineage(
+    walk = _Walk(edges.sparkSession)
+    hops = walk.keep(
         live.select(F.col(src).alias("_from"), F.col(tgt).alias("_to"))
         .where("_from IS NOT NULL AND _to IS NOT NULL")
-        .distinct()
+        .distinct(),
+        "edges",
     )
 
     def step(frontier: DataFrame) -> DataFrame:
@@ -154,15 +175,20 @@ def reachable(
         )
 
     start = seeds.select("node_id").distinct().withColumn("depth", F.lit(0))
-    return _grow(start, step, ["node_id"], max_depth).where("depth > 0")
+    return walk.end(_grow(walk, start, step, ["node_id"], max_depth).where("depth > 0"), "reachable")
 
 
 def manager_chain(party: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Every party with each of its managers up the chain and their distance."""
-    links = cut_lineage(
+    """Every party with each of its managers up the chain and their distance.
+
+    By definition one row per party and ancestor; ``max_depth`` bounds it for long chains.
+    """
+    walk = _Walk(party.sparkSession)
+    links = walk.keep(
         party.where("manager_party_id IS NOT NULL").select(
             F.col("party_id").alias("_from"), F.col("manager_party_id").alias("_to")
-        )
+        ),
+        "edges",
     )
     start = links.where("_from <> _to").select(
         F.col("_from").alias("party_id"), F.col("_to").alias("manager_id"), F.lit(1).alias("depth")
@@ -177,9 +203,11 @@ def manager_chain(party: DataFrame, max_depth: int | None = None) -> DataFrame:
 
     rest = None if max_depth is None else max_depth - 1
     grown = _grow(
-        start.withColumn("depth", F.lit(0)), step, ["party_id", "manager_id"], rest
+        walk, start.withColumn("depth", F.lit(0)), step, ["party_id", "manager_id"], rest
+    )
+    return walk.end(
+        grown.select("party_id", "manager_id", (F.col("depth") + 1).alias("level")), "managers"
     )
-    return grown.select("party_id", "manager_id", (F.col("depth") + 1).alias("level"))
 
 
 def lineage_node_counts(nodes: DataFrame, as_of: AsOf, days: int = 1) -> DataFrame:
@@ -252,32 +280,18 @@ def run_changes(events: DataFrame) -> DataFrame:
 
 def started_runs(events: DataFrame) -> DataFrame:
     """Started runs as run rows; a run without a completion is STARTED."""
-    return (
-        run_changes(events)
-        .where("s IS NOT NULL")
-        .select(
-            "run_id",
-            F.col("s.process_id").alias("process_id"),
-            F.col("s.system_id").alias("system_id"),
-            F.col("s.event_at").alias("started_at"),
-            F.col("c.event_at").alias("ended_at"),
-            F.when(F.col("c").isNull(), "STARTED").otherwise(F.col("c.status")).alias("status"),
-            F.col("c.error_message").alias("error_message"),
-        )
-    )
-
-
-def completed_runs(events: DataFrame) -> DataFrame:
-    """End time, status and error of the completed runs."""
-    return (
-        run_changes(events)
-        .where("c IS NOT NULL")
-        .select(
-            "run_id",
-            F.col("c.event_at").alias("ended_at"),
-            F.col("c.status").alias("status"),
-            F.col("c.error_message").alias("error_message"),
-        )
+    return _as_runs(run_changes(events).where("s IS NOT NULL"))
+
+
+def _as_runs(changes: DataFrame) -> DataFrame:
+    return changes.select(
+        "run_id",
+        F.col("s.process_id").alias("process_id"),
+        F.col("s.system_id").alias("system_id"),
+        F.col("s.event_at").alias("started_at"),
+        F.col("c.event_at").alias("ended_at"),
+        F.when(F.col("c").isNull(), "STARTED").otherwise(F.col("c.status")).alias("status"),
+        F.col("c.error_message").alias("error_message"),
     )
 
 
@@ -286,13 +300,30 @@ def apply_run_events(runs: DataFrame, events: DataFrame) -> DataFrame:
 
     A start inserts a STARTED row unless the run exists; a completion sets status, end
     and error of a known run and is ignored for an unknown one. Both are taken in one
-    step: a run that starts and completes in the same batch is inserted as completed.
+    step: a run that starts and completes in the same batch is inserted as completed. The
+    events are aggregated once and meet the runs in one full join; rows without a run id
+    pass it by.
     """
-    finished = update_from(
-        runs, completed_runs(events), ["run_id"], ["ended_at", "status", "error_message"]
+    changes = run_changes(events).where("run_id IS NOT NULL")
+    known = runs.where("run_id IS NOT NULL").withColumn("_known", F.lit(True))
+    joined = known.join(changes, "run_id", "full")
+    new = _as_runs(joined.where("_known IS NULL AND s IS NOT NULL"))
+    done = F.col("c").isNotNull()
+    changed = {
+        "ended_at": F.col("c.event_at"), "status": F.col("c.status"),
+        "error_message": F.col("c.error_message"),
+    }
+    types = dict(runs.dtypes)
+    old = joined.where("_known").select(
+        *[
+            F.when(done, changed[c].cast(types[c])).otherwise(F.col(c)).alias(c)
+            if c in changed else F.col(c)
+            for c in runs.columns
+        ]
+    )
+    return old.unionByName(new, allowMissingColumns=True).unionByName(
+        runs.where("run_id IS NULL"), allowMissingColumns=True
     )
-    started = unmatched(started_runs(events), runs, ["run_id"])
-    return finished.unionByName(started, allowMissingColumns=True)
 
 
 def systems_from_events(dim_system: DataFrame, events: DataFrame) -> DataFrame:

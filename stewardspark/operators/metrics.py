@@ -21,7 +21,7 @@ from ..functions.clock import (
     to_datetime,
 )
 from ..functions.ratios import count_where, percent, rating_score, zero_if_null
-from .common import BROADCAST_ROWS, counts_side_by_side
+from .common import counts_side_by_side
 from .views import latest_results
 
 ALL_DOMAINS = "__ALL__"
@@ -38,18 +38,13 @@ def _outcome_counts(total: str):
     ]
 
 
-def _daily_by_domain(
-    facts: DataFrame, key: str, domain_of: DataFrame, registry_rows: int, total: str
-) -> DataFrame:
+def _daily_by_domain(facts: DataFrame, key: str, domain_of: DataFrame, total: str) -> DataFrame:
     """Outcome counts of dated ``facts`` per day and domain.
 
-    With a small registry the facts meet it on the map side and only the few (day, domain)
-    sums are shuffled. With a large one they are counted per (day, key) first: sums of
-    those counts are the same, and a hot key is one row per day when it is shuffled.
+    Facts are counted per (day, key) before they meet the registry: sums of those counts are
+    the same, and a hot key is one row per day when it moves. Whether the registry side is
+    broadcast is left to Spark, which checks its size.
     """
-    if registry_rows <= BROADCAST_ROWS:
-        joined = facts.join(F.broadcast(domain_of), key, "left")
-        return joined.groupBy("metric_date", "domain_name").agg(*_outcome_counts(total))
     counted = facts.groupBy("metric_date", key).agg(*_outcome_counts(total))
     sums = [F.sum(c).alias(c) for c in (total, *(name for _, name in _OUTCOMES))]
     return (
@@ -86,7 +81,7 @@ def daily_quality_metrics(
         F.to_date("created_at").alias("metric_date"), "dataset_id", "outcome"
     )
     return _daily_by_domain(
-        facts, "dataset_id", domain_of, ds.count(), "total_dq_tests"
+        facts, "dataset_id", domain_of, "total_dq_tests"
     ).withColumnsRenamed(
         {"passed": "passed_tests", "failed": "failed_tests", "warning": "warning_tests"}
     )
@@ -114,7 +109,7 @@ def daily_control_metrics(
         F.to_date("executed_at").alias("metric_date"), "control_id", "outcome"
     )
     return _daily_by_domain(
-        facts, "control_id", domain_of, control.count(), "total_control_tests"
+        facts, "control_id", domain_of, "total_control_tests"
     ).withColumnsRenamed(
         {"passed": "passed_controls", "failed": "failed_controls", "warning": "warning_controls"}
     )
@@ -133,7 +128,8 @@ def governance_metrics(
     """Daily process, quality and control metrics side by side, with a weighted score.
 
     The three roll-ups meet in full outer joins on (date, domain). A NULL domain joins
-    nothing and stays a row of its own; a union and regroup would merge those rows.
+    nothing and stays a row of its own; a union and regroup would merge those rows. An empty
+    domain name is joined as it is and shown as NULL.
     """
     pm = daily_process_metrics(run, as_of, days)
     qm = daily_quality_metrics(res, ds, domain, as_of, days)
@@ -153,7 +149,7 @@ def governance_metrics(
     )
     return joined.where("metric_date IS NOT NULL").select(
         "metric_date",
-        "domain_name",
+        F.nullif("domain_name", F.lit("")).alias("domain_name"),
         runs.alias("total_process_runs"),
         zero_if_null("successful_runs").alias("successful_process_runs"),
         zero_if_null("failed_runs").alias("failed_process_runs"),
@@ -192,16 +188,20 @@ def kpis(ds: DataFrame, term: DataFrame, rule: DataFrame, risk: DataFrame) -> Da
 
 
 def dataset_browser(
-    ds: DataFrame, domain: str | None = None, system: str | None = None
+    ds: DataFrame, domain: str | None = None, system: str | None = None, ordered: bool = False
 ) -> DataFrame:
-    """Datasets, optionally of one domain or system; ``None`` and ``(All)`` keep all."""
+    """Datasets, optionally of one domain or system; ``None`` and ``(All)`` keep all.
+
+    The order by domain, system and name is a global sort, made only when asked for.
+    """
     for column, choice in (("domain_id", domain), ("system_id", system)):
         if choice is not None and choice.upper() != "(ALL)":
             ds = ds.where(F.col(column) == choice)
-    return ds.select(
+    shown = ds.select(
         "dataset_id", "system_id", "domain_id", "platform", "database_name", "schema_name",
         "object_name", "object_type", "dv_layer", "classification", "certification",
-    ).orderBy("domain_id", "system_id", "object_name")
+    )
+    return shown.orderBy("domain_id", "system_id", "object_name") if ordered else shown
 
 
 def latest_dq(
@@ -209,21 +209,25 @@ def latest_dq(
     run: DataFrame,
     rates: tuple[str, ...] = ("validity_rate", "completeness_rate"),
     scale: int | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Newest result per rule with rates read from its JSON summary.
 
     Rates are doubles; ``scale`` rounds them to that many digits (0 gives whole numbers).
+    They are read before results move, so the JSON itself is not shuffled.
     """
 
     def rate(name: str):
         value = F.get_json_object("metrics_summary", f"$.{name}").try_cast("double")
         return (value if scale is None else F.round(value, scale)).alias(name)
 
-    return (
-        latest_results(res, run)
-        .select("run_id", "rule_id", "dataset_id", "outcome", *[rate(r) for r in rates])
-        .orderBy("rule_id")
+    narrow = res.select(
+        "run_id", "rule_id", "dataset_id", "outcome", "evidence_ref", *[rate(r) for r in rates]
+    )
+    found = latest_results(narrow, run).select(
+        "run_id", "rule_id", "dataset_id", "outcome", *rates
     )
+    return found.orderBy("rule_id") if ordered else found
 
 
 def outcome_counts(df: DataFrame) -> DataFrame:
@@ -247,13 +251,15 @@ def risk_register(risk: DataFrame, ranked: bool = False) -> DataFrame:
 # --- documented analytics ----------------------------------------------------------------
 
 
-def asset_discovery(ds: DataFrame, system: DataFrame, attrs: DataFrame) -> DataFrame:
+def asset_discovery(
+    ds: DataFrame, system: DataFrame, attrs: DataFrame, ordered: bool = False
+) -> DataFrame:
     per_dataset = attrs.groupBy("dataset_id").agg(
         F.count("column_name").alias("column_count"),
         count_where(F.col("quality_critical")).alias("critical_columns"),
     )
     shown = ["dataset_id", "catalog_name", "domain_id", "classification", "is_cde", "system_name"]
-    return (
+    found = (
         ds.join(system.select("system_id", "system_name"), "system_id")
         .join(per_dataset, "dataset_id", "left")
         .groupBy(*shown)
@@ -261,8 +267,8 @@ def asset_discovery(ds: DataFrame, system: DataFrame, attrs: DataFrame) -> DataF
             F.sum(zero_if_null("column_count")).alias("column_count"),
             F.sum(zero_if_null("critical_columns")).alias("critical_columns"),
         )
-        .orderBy("domain_id", "classification")
     )
+    return found.orderBy("domain_id", "classification") if ordered else found
 
 
 def quality_scorecard(
@@ -403,11 +409,19 @@ def privacy_compliance(
 
 
 def risk_summary(risk: DataFrame, test: DataFrame, as_of: AsOf, days: int = 365) -> DataFrame:
-    """By category and severity; a risk counts once per control test, or once without any."""
-    per_control = test.groupBy("risk_id", "control_id").agg(
-        F.count(F.lit(1)).alias("n"), count_where(F.col("outcome") == "PASS").alias("passed")
+    """By category and severity; a risk counts once per control test, or once without any.
+
+    Only tests of the risks of the period are counted.
+    """
+    kept = risk.where(since("created_at", as_of, days))
+    per_control = (
+        test.join(kept.select("risk_id"), "risk_id", "left_semi")
+        .groupBy("risk_id", "control_id")
+        .agg(
+            F.count(F.lit(1)).alias("n"), count_where(F.col("outcome") == "PASS").alias("passed")
+        )
     )
-    rows = risk.where(since("created_at", as_of, days)).join(per_control, "risk_id", "left")
+    rows = kept.join(per_control, "risk_id", "left")
     n = F.coalesce("n", F.lit(1))
     score = rating_score("likelihood") * rating_score("impact")
     scored_rows = F.sum(F.when(score.isNotNull(), n))
@@ -505,12 +519,13 @@ def etl_quality(ds: DataFrame, res: DataFrame, as_of: AsOf, days: int = 7) -> Da
 # --- monitoring --------------------------------------------------------------------------
 
 
-def recent_registrations(ds: DataFrame, as_of: AsOf, days: int = 1) -> DataFrame:
-    return (
-        ds.where(since("updated_at", as_of, days))
-        .select("dataset_id", "catalog_name", "dv_layer", "classification", "updated_at")
-        .orderBy(F.desc("updated_at"))
+def recent_registrations(
+    ds: DataFrame, as_of: AsOf, days: int = 1, ordered: bool = False
+) -> DataFrame:
+    found = ds.where(since("updated_at", as_of, days)).select(
+        "dataset_id", "catalog_name", "dv_layer", "classification", "updated_at"
     )
+    return found.orderBy(F.desc("updated_at")) if ordered else found
 
 
 def row_count_history(

@@ -6,7 +6,9 @@ consistency need a shuffle of their own: keys are counted on the map side first,
 repeated key is one row per map task when it is shuffled.
 
 Every rule gives one row: rule_id, rule_type, dataset_id, column_name, row_count,
-failed_count, rate (percent of good rows, NULL on an empty table), threshold, outcome.
+failed_count, rate (percent of good rows, NULL on an empty table), threshold, outcome. A rule
+that cannot run (unknown type, missing table or column, unusable configuration) gives a row
+with outcome ERROR and no counts; the other rules run.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,16 +66,32 @@ class Rule:
 
 
 def load_rules(registry: DataFrame) -> list[Rule]:
-    """Enabled rules of a registry table. Rules shape the plan, so they come to the driver."""
+    """Enabled rules of a registry table.
+
+    Rules shape the plan, so they come to the driver: meant for registries of up to some
+    tens of thousands of rules, whatever the size of the data. A configuration that is not
+    a JSON object is kept as an error of its rule.
+    """
     rows = registry.where("enabled_flag").select(
         "rule_id", "rule_type", "dataset_id", "column_name", "config_json"
     )
     return [
-        Rule(r.rule_id, r.rule_type, r.dataset_id, r.column_name, json.loads(r.config_json or "{}"))
+        Rule(r.rule_id, r.rule_type, r.dataset_id, r.column_name, _config(r.config_json))
         for r in rows.toLocalIterator()
     ]
 
 
+UNREADABLE = "_unreadable"
+
+
+def _config(text: str | None) -> dict:
+    try:
+        found = json.loads(text or "{}")
+    except ValueError:
+        found = None
+    return found if isinstance(found, dict) else {UNREADABLE: text}
+
+
 def outcome(
     rate: Column | str, threshold: Column | float, warn_margin: float = DEFAULT_WARN_MARGIN
 ) -> Column:
@@ -184,29 +203,80 @@ def run_rules(
 ) -> DataFrame:
     """Runs enabled rules over the tables named by their ``dataset_id``.
 
-    Row rules share one scan per table (split only beyond ``RULES_PER_AGGREGATE`` rules);
-    UNIQUENESS adds one job each, CONSISTENCY takes its parent from ``config['parent']``.
+    Row rules share one scan per table (split only beyond ``RULES_PER_AGGREGATE`` rules).
+    UNIQUENESS adds one job each; CONSISTENCY takes ``parent`` and ``parent_column`` from
+    its configuration, ACCURACY ``source``, ``keys``, ``source_column``, ``tol_abs`` and
+    ``tol_pct``, SCHEMA_DRIFT the expected ``columns`` with their types.
     """
     live = [r for r in rules if r.enabled_flag]
+    if not live:
+        raise ValueError("there is no enabled rule")
     parts: list[DataFrame] = []
-    for name in dict.fromkeys(r.dataset_id for r in live):
-        row_rules = [r for r in live if r.dataset_id == name and r.rule_type in ROW_RULES]
-        for i in range(0, len(row_rules), RULES_PER_AGGREGATE):
-            parts.append(_one_pass(tables[name], row_rules[i : i + RULES_PER_AGGREGATE], as_of))
+    broken: list[Rule] = []
+    by_table: dict[str, list[Rule]] = {}
     for r in live:
-        if r.rule_type == "UNIQUENESS":
-            counted = _duplicates(tables[r.dataset_id], r.columns)
-        elif r.rule_type == "CONSISTENCY":
-            parent_cols = [c.strip() for c in r.config["parent_column"].split(",")]
-            counted = _orphans(
-                tables[r.dataset_id], tables[r.config["parent"]], r.columns, parent_cols
-            )
-        elif r.rule_type in ROW_RULES:
+        try:
+            counted = _counted(r, tables, as_of)
+        except (KeyError, ValueError, TypeError, AttributeError, AnalysisException):
+            broken.append(r)
             continue
+        if counted is None:
+            by_table.setdefault(r.dataset_id, []).append(r)
         else:
-            raise ValueError(f"rule {r.rule_id}: {r.rule_type} needs two frames; call it directly")
-        parts.append(counted.select(*_labelled(r), "row_count", "failed_count"))
-    return _judged(union_all(parts), warn_margin)
+            parts.append(counted.select(*_labelled(r), "row_count", "failed_count"))
+    for name, row_rules in by_table.items():
+        for i in range(0, len(row_rules), RULES_PER_AGGREGATE):
+            parts.append(_one_pass(tables[name], row_rules[i : i + RULES_PER_AGGREGATE], as_of))
+    done = [_judged(union_all(parts), warn_margin)] if parts else []
+    return union_all(done + [_not_run(broken, next(iter(tables.values())))] * bool(broken))
+
+
+def _counted(r: Rule, tables: Mapping[str, DataFrame], as_of: AsOf | None) -> DataFrame | None:
+    """Row and failure counts of a rule with a job of its own; None for a row rule.
+
+    Building the plan analyses it, so whatever is missing shows here.
+    """
+    if UNREADABLE in r.config:
+        raise ValueError(f"rule {r.rule_id} has an unreadable configuration")
+    float(r.threshold)
+    df, cfg = tables[r.dataset_id], r.config
+    if r.rule_type in ROW_RULES:
+        df.agg(_failed_count(r, as_of))
+        return None
+    if r.rule_type == "UNIQUENESS":
+        return _duplicates(df, r.columns)
+    if r.rule_type == "CONSISTENCY":
+        parent_cols = [c.strip() for c in cfg["parent_column"].split(",")]
+        return _orphans(df, tables[cfg["parent"]], r.columns, parent_cols)
+    if r.rule_type == "ACCURACY":
+        (col,) = r.columns
+        source = tables[cfg["source"]].withColumnRenamed(cfg.get("source_column", col), col)
+        found = accuracy_vs_source(
+            df, source, cfg["keys"], col, float(cfg.get("tol_abs", 0)), float(cfg.get("tol_pct", 0))
+        )
+        failed = F.col("mismatched") + F.col("missing_in_source") + F.col("missing_in_actual")
+        return found.select("row_count", failed.alias("failed_count"))
+    if r.rule_type == "SCHEMA_DRIFT":
+        wanted, present = dict(cfg["columns"]), dict(df.dtypes)
+        names = {*wanted, *present}
+        drifted = sum(wanted.get(n) != present.get(n) for n in names)
+        return df.sparkSession.range(1).select(
+            F.lit(len(names)).cast("bigint").alias("row_count"),
+            F.lit(drifted).cast("bigint").alias("failed_count"),
+        )
+    raise ValueError(f"rule {r.rule_id} has the unknown type {r.rule_type}")
+
+
+def _not_run(rules: Sequence[Rule], any_table: DataFrame) -> DataFrame:
+    data = [(r.rule_id, r.rule_type, r.dataset_id, r.column_name) for r in rules]
+    return any_table.sparkSession.createDataFrame(
+        data, "rule_id string, rule_type string, dataset_id string, column_name string"
+    ).select(
+        "*",
+        *[F.lit(None).cast("bigint").alias(c) for c in ("row_count", "failed_count")],
+        *[F.lit(None).cast("double").alias(c) for c in ("rate", "threshold")],
+        F.lit("ERROR").alias("outcome"),
+    )
 
 
 def _single(df: DataFrame, rule: Rule, as_of: AsOf | None = None, **kw) -> DataFrame:
@@ -350,11 +420,17 @@ def accuracy_vs_source(
 def timeliness(
     df: DataFrame, ts: str, max_age_days: int, as_of: AsOf, group: Sequence[str] = ()
 ) -> DataFrame:
-    """Age in days of the newest row, per group if given; FAIL beyond ``max_age_days``."""
-    newest = df.groupBy(*group).agg(F.max(ts).alias("newest"))
+    """Age in days of the newest row, per group if given; FAIL beyond ``max_age_days``.
+
+    No rows pass, as for every rule; rows without any time fail.
+    """
+    newest = df.groupBy(*group).agg(F.max(ts).alias("newest"), F.count(F.lit(1)).alias("_n"))
     age = days_crossed("newest", moment(as_of))
-    return newest.withColumn("age_days", age).withColumn(
-        "outcome", F.when(F.col("age_days") <= max_age_days, "PASS").otherwise("FAIL")
+    fine = (F.col("age_days") <= max_age_days) | (F.col("_n") == 0)
+    return (
+        newest.withColumn("age_days", age)
+        .withColumn("outcome", F.when(fine, "PASS").otherwise("FAIL"))
+        .drop("_n")
     )
 
 
@@ -415,15 +491,32 @@ def row_count_check(
 
 
 def reconcile_counts(
-    source: DataFrame, target: DataFrame, errors: DataFrame, keys: Sequence[str]
+    source: DataFrame, target: DataFrame, errors: DataFrame | Column, keys: Sequence[str]
 ) -> DataFrame:
     """Source, target and error rows per load session, with outcome and success rate.
 
+    ``errors`` is a frame, or a predicate of the source rows that are errors; a predicate
+    saves reading the source twice.
+
     PASS when the target holds the source rows less the errors, WARN when errors stay
     below five percent of the source, else FAIL. The three inputs are tagged and counted
     in one aggregation instead of being joined.
     """
     names = ("source_count", "target_count", "error_count")
+    if isinstance(errors, Column):
+        sides = [
+            source.select(*keys, F.lit(1).alias("_s"), errors.cast("int").alias("_e")),
+            target.select(*keys, F.lit(None).cast("int").alias("_s"), F.lit(None).cast("int").alias("_e")),
+        ]
+        return _reconciled(
+            union_all(sides)
+            .groupBy(*keys)
+            .agg(
+                count_where(F.col("_s").isNotNull()).alias("source_count"),
+                count_where(F.col("_s").isNull()).alias("target_count"),
+                count_where(F.col("_e") == 1).alias("error_count"),
+            )
+        )
     tagged = union_all(
         [df.select(*keys, F.lit(n).alias("_side")) for n, df in zip(names, (source, target, errors))]
     )

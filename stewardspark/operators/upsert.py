@@ -1,5 +1,9 @@
 """Snapshot DML: old snapshot and changes in, new snapshot out.
 
+One rule holds for repeated source keys, whatever the plan: several source rows for a target
+row that is to be updated are an error; source rows without a target row are all inserted;
+a merge that updates nothing never fails.
+
 Parquet has no row-level MERGE, so each function builds the next snapshot as a plan.
 Updates left-join the target to the changes: a small change set is broadcast and the
 target is not shuffled. Inserts anti-join the changes to the target's *matched* keys,
@@ -51,7 +55,8 @@ def update_from(
 ) -> DataFrame:
     """Target with ``columns`` replaced where a source row has equal keys.
 
-    Two source rows for one matched target row are an error, raised while the plan runs.
+    Two source rows for one matched target row are an error, raised while the plan runs,
+    also when no updated column is read.
     """
     names = _key_names(keys)
     src = _with_keys(source, keys, key_expr)
@@ -60,7 +65,6 @@ def update_from(
     changes = src.groupBy(*names).agg(
         F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*columns)).alias("_new")
     )
-    clash = F.raise_error(F.lit(CLASH))
     joined = _with_keys(target, keys, key_expr).join(changes, names, "left")
     types = dict(target.dtypes)
 
@@ -68,11 +72,15 @@ def update_from(
         if c not in columns:
             return F.col(c)
         new = F.col(f"_new.{c}").cast(types[c])
-        return (
-            F.when(F.col("_n") > 1, clash).when(F.col("_n") == 1, new).otherwise(F.col(c)).alias(c)
-        )
+        return F.when(F.col("_n") == 1, new).otherwise(F.col(c)).alias(c)
+
+    return _guarded(joined, F.col("_n") > 1).select(*[value(c) for c in target.columns])
 
-    return joined.select(*[value(c) for c in target.columns])
+
+def _guarded(df: DataFrame, clash: Column) -> DataFrame:
+    """Fails on a row with ``clash``; as a filter it survives column pruning."""
+    error = F.raise_error(F.lit(CLASH)).cast("boolean")
+    return df.where(F.when(clash, error).otherwise(F.lit(True)))
 
 
 def _full_merge(
@@ -86,7 +94,8 @@ def _full_merge(
     """The merge as one full outer join on the keys; each side moves once.
 
     Rows without a full key match nothing: they are passed by the join, so that they do
-    not gather in one task. Two source rows for one key are an error, matched or not.
+    not gather in one task. The source is counted per key, so the join sees a repeated key
+    once; the rows of repeated keys without a target row are added from the source itself.
     """
     names = _key_names(keys)
     types = dict(target.dtypes)
@@ -104,23 +113,29 @@ def _full_merge(
 
     def merged(c: str) -> Column:
         given = F.col(f"_new.{c}") if c in source.columns else F.lit(None)
-        out = F.when(F.col("_n") > 1, F.raise_error(F.lit(CLASH))).when(
-            F.col("_known").isNull(), inserted(c, given)
-        )
+        out = F.when(F.col("_known").isNull(), inserted(c, given))
         if c in updates:
             out = out.when(F.col("_n") == 1, given.cast(types[c]))
         return out.otherwise(F.col(c)).alias(c)
 
-    rest = src.where(~whole).select(
-        *[
-            inserted(c, F.col(c) if c in source.columns else F.lit(None)).alias(c)
-            for c in target.columns
-        ]
-    )
+    def shaped(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *[
+                inserted(c, F.col(c) if c in source.columns else F.lit(None)).alias(c)
+                for c in target.columns
+            ]
+        )
+
+    known = F.col("_known").isNotNull()
+    if updates:
+        joined = _guarded(joined, known & (F.col("_n") > 1))
+    repeated = src.where(whole).join(changes.where("_n > 1").select(*names), names, "left_semi")
     return (
-        joined.select(*[merged(c) for c in target.columns])
+        joined.where(known | (F.col("_n") == 1))
+        .select(*[merged(c) for c in target.columns])
         .unionByName(tgt.where(~whole).select(*target.columns))
-        .unionByName(rest)
+        .unionByName(shaped(src.where(~whole)))
+        .unionByName(shaped(unmatched(repeated.select(*source.columns), target, keys, key_expr)))
     )
 
 
@@ -138,8 +153,9 @@ def upsert(
     ``update_cols=[]`` only inserts and leaves every target row as it is. Columns outside
     ``insert_cols`` are NULL in inserted rows. ``key_expr`` (say ``F.upper``) is applied to
     both sides before keys are compared. ``large_source`` tells that the source is about
-    as big as the target: then one full outer join is cheaper than sparing the target. The
-    source plan is read up to three times otherwise, so store a costly one first.
+    as big as the target: then one full outer join is cheaper than sparing the target; it
+    changes the plan only. The source plan is read up to three times, so store a costly one
+    first.
     """
     known = [c for c in source.columns if c in target.columns]
     updates = [c for c in known if c not in keys] if update_cols is None else list(update_cols)

@@ -55,6 +55,17 @@ def today_health(
     return shown.join(last, "dataset_id", "left")
 
 
+def with_scope(rows: DataFrame, ds: DataFrame) -> DataFrame:
+    """Adds class and domain of the dataset that a dataset-scoped control points at."""
+    scoped = ds.select(
+        F.col("dataset_id").alias("scope_id"), F.lit("DATASET").alias("scope_type"),
+        "classification", F.col("domain_id").alias("domain_name"),
+    )
+    return rows.join(scoped, ["scope_type", "scope_id"], "left").select(
+        *rows.columns, "classification", "domain_name"
+    )
+
+
 def dq_results_enriched(
     res: DataFrame, run: DataFrame, ds: DataFrame, rule: DataFrame, party: DataFrame
 ) -> DataFrame:

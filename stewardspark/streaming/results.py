@@ -3,22 +3,25 @@
 Functions that need no stream-only feature take a batch frame as well; a watermark has no
 effect there, so the batch result is the reference for the finished stream. In append mode
 a window is emitted once the watermark passes its end, and rows later than ``delay`` are
-dropped: equality holds for closed windows and for disorder below the delay.
+dropped. A stream that has come to its end is closed by a ``StreamEnd``: then every window,
+session and pair is emitted, and the result equals the batch one for disorder below the delay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.common import newest, running_max
 from ..operators.views import dq_results_enriched
-from ..session import scratch_path
+from ..session import drop_folder, folder_names, scratch_path
 
 EVENT_TIME = "created_at"
+# Event time of the row that ends a stream: later than any window, session or timeout.
+END_TIME = "9999-01-01 00:00:00"
 
 
 def with_watermark(df: DataFrame, column: str, delay: str) -> DataFrame:
@@ -26,19 +29,54 @@ def with_watermark(df: DataFrame, column: str, delay: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Runs an append stream over all input at hand into Parquet in the shared folder."""
+class StreamEnd:
+    """The end of a stream, as one row far in the future that is read after all others.
+
+    ``stream`` is the input followed by that row once ``write`` has been called. The row moves
+    the watermark past everything before it; its own window never closes, so it shows nowhere.
+    ``values`` are what it needs to pass the filters on its way, those that Spark adds for
+    join keys included: a key has to be given, one that nothing else has.
+    """
+
+    def __init__(self, source: DataFrame, at: str, **values: str):
+        spark = source.sparkSession
+        self.folder = scratch_path(spark, "stream-end")
+        given = {at: END_TIME, **values}
+        self.row = spark.range(1).select(
+            *[F.lit(given.get(f.name)).cast(f.dataType).alias(f.name) for f in source.schema]
+        )
+        self.row.where("false").write.parquet(self.folder)
+        self.stream = source.unionByName(spark.readStream.schema(source.schema).parquet(self.folder))
+
+    def write(self) -> None:
+        self.row.write.mode("append").parquet(self.folder)
+
+
+def drain(stream: DataFrame, label: str, ends: Sequence[StreamEnd] = ()) -> DataFrame:
+    """Runs an append stream over all input at hand into Parquet in the shared folder.
+
+    With ``ends`` it is then resumed from its checkpoint to read the end rows, which empties
+    its state into the result.
+    """
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    done = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", f"{path}-progress")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    done.awaitTermination()
+
+    def run() -> None:
+        (
+            stream.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", f"{path}-progress")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+
+    run()
+    if ends:
+        for end in ends:
+            end.write()
+        run()
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -123,20 +161,31 @@ def stream_latest(
 ) -> StreamingQuery:
     """Keeps the newest result per key in ``target``, one snapshot folder per micro-batch.
 
-    Start times are compared, so a late older row never replaces a newer one. A repeated
-    micro-batch rewrites its own folder from the folder before it, which makes it
-    idempotent. Read the outcome with ``latest_snapshot``.
+    Start times are compared, so a late older row never replaces a newer one. A result whose
+    run is not known yet waits in the snapshot and is tried again with the next micro-batch.
+    A repeated micro-batch rewrites its own folder from the one before it, which makes it
+    idempotent; folders before that one are removed. Read the outcome with
+    ``latest_snapshot``. The state holds one row per key and is rewritten per micro-batch.
     """
     spark = results.sparkSession
     order = [F.desc(c) for c in NEWEST_FIRST]
     started = run.select("run_id", "started_at")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = newest(batch.join(started, "run_id"), keys, order)
-        if batch_id > 0:
-            previous = spark.read.schema(rows.schema).parquet(_version(target, batch_id - 1))
+        before = [v for v in _versions(spark, target) if v < batch_id]
+        arrived = batch
+        if before:
+            waiting = spark.read.schema(batch.schema).parquet(_version(target, before[-1], "waiting"))
+            arrived = arrived.unionByName(waiting)
+        rows = newest(arrived.join(started, "run_id"), keys, order)
+        if before:
+            previous = spark.read.schema(rows.schema).parquet(_version(target, before[-1]))
             rows = newest(rows.unionByName(previous), keys, order)
+        held = arrived.join(started, "run_id", "left_anti").select(*batch.columns)
+        held.write.mode("overwrite").parquet(_version(target, batch_id, "waiting"))
         rows.write.mode("overwrite").parquet(_version(target, batch_id))
+        for old in before[:-1]:
+            drop_folder(spark, f"{target}/version={old}")
 
     return (
         results.writeStream.foreachBatch(merge)
@@ -146,14 +195,19 @@ def stream_latest(
     )
 
 
-def _version(target: str, batch_id: int) -> str:
-    return f"{target}/version={batch_id}"
+def _version(target: str, number: int, part: str = "rows") -> str:
+    return f"{target}/version={number}/{part}"
+
+
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """Finished snapshots, oldest first; the rows are written last."""
+    numbers = [int(n.split("=")[1]) for n in folder_names(spark, target) if n.startswith("version=")]
+    return sorted(n for n in numbers if "_SUCCESS" in folder_names(spark, _version(target, n)))
 
 
-def latest_snapshot(query: StreamingQuery, target: str, like: DataFrame) -> DataFrame:
-    """The snapshot of the last finished micro-batch of ``stream_latest``."""
-    last = query.lastProgress["batchId"]
-    return like.sparkSession.read.parquet(_version(target, last))
+def latest_snapshot(spark: SparkSession, target: str) -> DataFrame:
+    """The newest finished snapshot of ``stream_latest``, whichever run has written it."""
+    return spark.read.parquet(_version(target, _versions(spark, target)[-1]))
 
 
 def stream_dedup_daily(results: DataFrame, delay: str = "1 day") -> DataFrame:

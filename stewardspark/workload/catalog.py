@@ -6,18 +6,33 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import catalog as c
+from ..operators import quality
+from ..operators.common import counts_side_by_side
+from ..plans import nightly_sync
+from ..sources.driver_tables import DRIVER_SCHEMAS
 from ..sources.projections import PROJECTIONS
 from .registry import AS_OF, query
 
-LAYER = """CASE WHEN upper({c}) LIKE '%RAW%' OR upper({c}) LIKE '%BRONZE%' THEN 'BRONZE'
-  WHEN upper({c}) LIKE '%STAGING%' OR upper({c}) LIKE '%SILVER%' THEN 'SILVER'
-  WHEN upper({c}) LIKE '%MART%' OR upper({c}) LIKE '%GOLD%' THEN 'GOLD' ELSE 'SILVER' END"""
-SEMANTIC = """CASE WHEN upper({n}) LIKE '%EMAIL%' THEN 'EMAIL' WHEN upper({n}) LIKE '%PHONE%' THEN 'PHONE'
-  WHEN upper({n}) LIKE '%SSN%' OR upper({n}) LIKE '%SOCIAL%' THEN 'SSN'
-  WHEN upper({n}) LIKE '%_ID' OR upper({n}) LIKE 'ID_%' THEN 'IDENTIFIER'
-  WHEN upper({t}) LIKE '%TIMESTAMP%' OR upper({t}) LIKE '%DATE%' THEN 'TEMPORAL'
-  WHEN upper({t}) LIKE '%NUMBER%' OR upper({t}) LIKE '%DECIMAL%' THEN 'NUMERIC' ELSE 'GENERAL' END"""
-CRITICAL = "upper({n}) IN ('CUSTOMER_ID','ACCOUNT_ID','TRANSACTION_ID','BALANCE','AMOUNT')"
+
+def _first(labels: list[str], *tests: str) -> str:
+    """The label at the place of the first test that holds; the last label otherwise."""
+    return f"{labels}[list_position([{', '.join(tests)}, TRUE], TRUE)]"
+
+
+def _has(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '{pattern}', 'is')"
+
+
+LAYER = _first(
+    ["BRONZE", "SILVER", "GOLD", "SILVER"],
+    _has("{c}", "raw|bronze"), _has("{c}", "staging|silver"), _has("{c}", "mart|gold"),
+)
+SEMANTIC = _first(
+    ["EMAIL", "PHONE", "SSN", "IDENTIFIER", "TEMPORAL", "NUMERIC", "GENERAL"],
+    _has("{n}", "email"), _has("{n}", "phone"), _has("{n}", "ssn|social"), _has("{n}", "^id.|.id$"),
+    _has("{t}", "timestamp|date"), _has("{t}", "number|decimal"),
+)
+CRITICAL = "regexp_full_match({n}, '((customer|account|transaction)_id|balance|amount)', 'i')"
 NOW = f"TIMESTAMP '{AS_OF} 00:00:00'"
 
 
@@ -33,9 +48,12 @@ def _(t):
 @query(
     "dv_layer_short",
     "dim_dataset",
-    """SELECT dataset_id, CASE WHEN schema_name ILIKE '%raw%' THEN 'BRONZE'
-  WHEN schema_name ILIKE '%staging%' THEN 'SILVER' WHEN schema_name ILIKE '%mart%' THEN 'GOLD'
-  ELSE 'SILVER' END AS dv_layer FROM dim_dataset""",
+    "SELECT dataset_id, "
+    + _first(
+        ["BRONZE", "SILVER", "GOLD", "SILVER"],
+        _has("schema_name", "raw"), _has("schema_name", "staging"), _has("schema_name", "mart"),
+    )
+    + " AS dv_layer FROM dim_dataset",
 )
 def _(t):
     return t.dim_dataset.select(
@@ -127,8 +145,7 @@ def table_meta(t):
     )
 
 
-TRACKED = """(schema_name LIKE '%DBT%' OR schema_name LIKE '%STAGING%' OR schema_name LIKE '%MART%'
-  OR schema_name LIKE '%RAW%' OR schema_name LIKE '%SILVER%' OR schema_name LIKE '%GOLD%')"""
+TRACKED = "regexp_matches(schema_name, 'DBT|STAGING|MART|RAW|SILVER|GOLD')"
 
 
 @query(
@@ -173,22 +190,132 @@ _INSERTED = {
 _NEW = ", ".join(f"{_INSERTED.get(col, 's.' + col)} AS {col}" for col in _DATASET_COLUMNS)
 
 
+def _registered(updated, inserted, layer: str, where: str = "TRUE") -> str:
+    """Registry after a registration: known rows with their updated columns, then the new ones."""
+    given = {
+        "catalog_name": "catalog_name", "object_type": "object_type", "dv_layer": layer,
+        "description": "CASE WHEN is_cde THEN description ELSE 'dbt model: ' || object_name END",
+        "classification": "coalesce(upper(nullif(classification, '')), 'INTERNAL')",
+        "is_cde": "coalesce(is_cde, FALSE)", "domain_id": "coalesce(nullif(domain_id, ''), 'ANALYTICS')",
+        "database_name": "database_name", "schema_name": "schema_name", "object_name": "object_name",
+        "updated_at": NOW,
+    }
+    source = ", ".join(f"{v} AS {c}" for c, v in given.items())
+    old = ", ".join(
+        f"if(s.key IS NULL, k.{c}, s.{c}) AS {c}" if c in updated else f"k.{c} AS {c}" for c in _DATASET_COLUMNS
+    )
+    new = ", ".join(f"{inserted.get(c, 's.' + c)} AS {c}" for c in _DATASET_COLUMNS)
+    return f"""WITH k AS ({KNOWN}),
+s AS (SELECT 'dbt_' || database_name || '_' || schema_name || '_' || object_name AS key, {source} FROM dim_dataset WHERE {where})
+SELECT k.key AS dataset_id, {old} FROM k LEFT JOIN s USING (key)
+UNION ALL BY NAME SELECT s.key AS dataset_id, {new} FROM s ANTI JOIN k USING (key)"""
+
+
+_DATASET_COLUMNS = [col for col in PROJECTIONS["dim_dataset"].columns if col != "dataset_id"]
+_DEFAULTS = {
+    "system_id": "'DBT_PROD'", "domain_id": "'ANALYTICS'", "platform": "'SPARK'", "classification": "'INTERNAL'",
+    "is_cde": "FALSE", "retention_policy_id": "NULL", "certification": "'DRAFT'", "created_at": NOW,
+}
+_OWN = {c: v for c, v in _DEFAULTS.items() if c not in ("domain_id", "classification", "is_cde")}
+_SHORT_LAYER = _first(
+    ["BRONZE", "SILVER", "GOLD", "SILVER"],
+    _has("schema_name", "raw"), _has("schema_name", "staging"), _has("schema_name", "mart"),
+)
+
+
 @query(
     "register_datasets",
     "dim_dataset",
-    f"""WITH k AS ({KNOWN}),
-s AS (SELECT 'dbt_' || database_name || '_' || schema_name || '_' || object_name AS key, catalog_name,
-  database_name, schema_name, object_name, object_type, {LAYER.format(c='schema_name')} AS dv_layer,
-  CASE WHEN is_cde THEN description ELSE 'dbt model: ' || object_name END AS description
-  FROM dim_dataset WHERE {TRACKED})
-SELECT k.key AS dataset_id, {_MERGED} FROM k LEFT JOIN s ON s.key = k.key
-UNION ALL BY NAME
-SELECT s.key AS dataset_id, {_NEW} FROM s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.key = s.key)""",
+    _registered(c.SYNC_UPDATES, _DEFAULTS, LAYER.format(c="schema_name"), TRACKED),
 )
 def _(t):
     return c.register_datasets(table_meta(t), known_registry(t), AS_OF)
 
 
+def _model_meta(t):
+    """Metadata as a model's own settings give it: domain, class and personal data."""
+    return t.dim_dataset.select(
+        F.col("database_name").alias("table_catalog"),
+        F.col("schema_name").alias("table_schema"),
+        F.col("object_name").alias("table_name"),
+        _table_type().alias("table_type"),
+        F.when(F.col("is_cde"), F.col("description")).alias("comment"),
+        F.col("domain_id").alias("domain"),
+        "classification",
+        F.col("is_cde").alias("contains_pii"),
+    )
+
+
+@query(
+    "register_by_hook",
+    "dim_dataset",
+    _registered(c.HOOK_UPDATES, _OWN, LAYER.format(c="schema_name")),
+)
+def _(t):
+    return c.register_datasets(
+        _model_meta(t), known_registry(t), AS_OF, c.HOOK_UPDATES, tracked_only=False
+    )
+
+
+@query("register_by_etl", "dim_dataset", _registered(c.ETL_UPDATES, _OWN, _SHORT_LAYER))
+def _(t):
+    return c.register_datasets(
+        _model_meta(t), known_registry(t), AS_OF, c.ETL_UPDATES, tracked_only=False, short_layer=True
+    )
+
+
+# --- metadata scans feeding the registries ------------------------------------------------
+
+_SCANNED = {name: [f.split(" ", 1) for f in ddl.split(", ")] for name, ddl in DRIVER_SCHEMAS.items()}
+_SCAN_ROWS = ", ".join(f"('{n}')" for n in _SCANNED)
+_SCAN_COLUMNS = ", ".join(f"('{n}', '{c}', '{k}')" for n, cols in _SCANNED.items() for c, k in cols)
+
+
+def column_meta(t):
+    place = t.dim_dataset.select("dataset_id", "database_name", "schema_name", "object_name")
+    return t.map_dataset_attribute.join(place, "dataset_id").select(
+        F.col("database_name").alias("table_catalog"),
+        F.col("schema_name").alias("table_schema"),
+        F.col("object_name").alias("table_name"),
+        "column_name",
+        "data_type",
+        F.lit(None).cast("string").alias("comment"),
+    )
+
+
+def _scanned(t):
+    return {("LAKE", "RAW_FEED", name): t[name] for name in _SCANNED}
+
+
+@query(
+    "register_scanned_tables",
+    "dim_dataset",
+    f"""SELECT * FROM dim_dataset UNION ALL BY NAME
+SELECT 'dbt_LAKE_RAW_FEED_' || n AS dataset_id, 'LAKE.RAW_FEED.' || n AS catalog_name, 'DBT_PROD' AS system_id, 'ANALYTICS' AS domain_id,
+  'SPARK' AS platform, 'LAKE' AS database_name, 'RAW_FEED' AS schema_name, n AS object_name, 'TABLE' AS object_type, 'BRONZE' AS dv_layer,
+  'INTERNAL' AS classification, FALSE AS is_cde, 'dbt model: ' || n AS description, 'DRAFT' AS certification, {NOW} AS created_at, {NOW} AS updated_at
+FROM (VALUES {_SCAN_ROWS}) v(n)""",
+)
+def _(t):
+    meta = c.describe_tables(t.spark, _scanned(t))
+    return c.register_datasets(meta, t.dim_dataset, AS_OF)
+
+
+@query(
+    "register_scanned_columns",
+    "dim_dataset map_dataset_attribute",
+    f"""SELECT map_id, dataset_id, column_name, term_id, cde_id, quality_critical, updated_at FROM map_dataset_attribute
+UNION ALL BY NAME SELECT 'attr_dbt_LAKE_RAW_FEED_' || n || '_' || x AS map_id, 'dbt_LAKE_RAW_FEED_' || n AS dataset_id, x AS column_name,
+  {CRITICAL.format(n="x")} AS quality_critical, {NOW} AS updated_at FROM (VALUES {_SCAN_COLUMNS}) v(n, x, k)""",
+)
+def _(t):
+    tables = _scanned(t)
+    registry = c.register_datasets(c.describe_tables(t.spark, tables), t.dim_dataset, AS_OF)
+    return c.register_attributes(
+        c.describe_columns(t.spark, tables), registry, t.map_dataset_attribute.drop("data_type"), AS_OF
+    )
+
+
 @query(
     "register_attributes",
     "dim_dataset map_dataset_attribute",
@@ -209,16 +336,8 @@ SELECT map_id, dataset_id, column_name, NULL, NULL, semantic_type, quality_criti
 WHERE NOT EXISTS (SELECT 1 FROM map_dataset_attribute a WHERE a.map_id = s.map_id)""",
 )
 def _(t):
-    place = t.dim_dataset.select("dataset_id", "database_name", "schema_name", "object_name")
     renamed = F.when(F.col("column_name") == "NOTES", "REMARKS").otherwise(F.col("column_name"))
-    cols = t.map_dataset_attribute.join(place, "dataset_id").select(
-        F.col("database_name").alias("table_catalog"),
-        F.col("schema_name").alias("table_schema"),
-        F.col("object_name").alias("table_name"),
-        renamed.alias("column_name"),
-        "data_type",
-        F.lit(None).cast("string").alias("comment"),
-    )
+    cols = column_meta(t).withColumn("column_name", renamed)
     attrs = t.map_dataset_attribute.drop("data_type").withColumn(
         "semantic_type", F.lit(None).cast("string")
     )
@@ -239,6 +358,68 @@ def _(t):
     )
 
 
+# --- the nightly sync ----------------------------------------------------------------------
+
+_COUNTED = ("lineitem", "orders", "events", "documents")
+
+
+@query(
+    "nightly_row_counts",
+    "",
+    "\nUNION ALL ".join(
+        f"""SELECT '{n}_rowcount_2024-02-05' AS run_id, 'row_count_check' AS rule_id, '{n}' AS dataset_id,
+  if(count(*) >= 5000, 'PASS', 'FAIL') AS outcome, CAST(count(*) AS VARCHAR) AS row_count, {NOW} AS updated_at FROM {n}"""
+        for n in _COUNTED
+    )
+    + "\nUNION ALL SELECT 'part_rowcount_2024-02-04', 'row_count_check', 'part', 'PASS', CAST(count(*) AS VARCHAR), TIMESTAMP '2024-02-04' FROM part",
+)
+def _(t):
+    # Two of today's counts are there already, with another limit; one is yesterday's.
+    known = quality.row_count_check({n: t[n] for n in _COUNTED[:2]}, 10**12, AS_OF).unionByName(
+        quality.row_count_check({"part": t.part}, 0, "2024-02-04")
+    )
+    counted = nightly_sync.record_row_counts(known, {n: t[n] for n in _COUNTED}, AS_OF, 5000)
+    return counted.select(
+        "run_id", "rule_id", "dataset_id", "outcome",
+        F.get_json_object("metrics_summary", "$.row_count").alias("row_count"), "updated_at",
+    )
+
+
+@query(
+    "nightly_sync",
+    "dim_dataset map_dataset_attribute lineage_node dq_result process process_run control_test",
+    f"""WITH today AS (SELECT dataset_id FROM dim_dataset WHERE updated_at::DATE = DATE '{AS_OF}'),
+new AS (SELECT count(*) AS n FROM dim_dataset WHERE {TRACKED}),
+old_nodes AS (SELECT count(*) AS n FROM lineage_node WHERE updated_at::DATE = DATE '{AS_OF}' AND node_id NOT IN (SELECT dataset_id FROM today)),
+s AS (SELECT (SELECT count(*) FROM today) + (SELECT n FROM new) AS datasets,
+  (SELECT count(*) FROM map_dataset_attribute) + 10 * (SELECT n FROM new) AS attributes)
+SELECT 'dbt_sync_20240205_000000' AS batch_id, datasets AS datasets_synced, attributes AS attributes_synced,
+  datasets + (SELECT n FROM old_nodes) AS nodes_created,
+  (SELECT count(*) FROM dq_result WHERE created_at::DATE = DATE '{AS_OF}') + {len(_COUNTED)} AS quality_checks_run,
+  (SELECT count(*) FROM process) + 1 AS processes, (SELECT count(*) FROM process_run) + 1 AS runs,
+  (SELECT count(*) FROM control_test) + 2 AS log_rows, 'Datasets processed: ' || datasets AS last_entry FROM s""",
+)
+def _(t):
+    names = ("dim_dataset", "map_dataset_attribute", "lineage_node", "dq_result", "process", "process_run", "control_test")
+    registry = {n: t[n] for n in names}
+    registry["map_dataset_attribute"] = t.map_dataset_attribute.drop("data_type")
+    out = nightly_sync.sync(
+        registry, table_meta(t), column_meta(t), {n: t[n] for n in _COUNTED}, AS_OF
+    )
+    last = out["control_test"].where(
+        (F.col("control_id") == nightly_sync.SYNC_CONTROL) & F.col("test_id").endswith("_complete")
+    )
+    counts = {"processes": "process", "runs": "process_run", "log_rows": "control_test"}
+    sizes = counts_side_by_side({k: out[n] for k, n in counts.items()})
+    # One row each, held together by the batch.
+    key = F.lit(nightly_sync.batch_id(AS_OF)).alias("batch_id")
+    return (
+        out["summary"].drop("completed_at")
+        .join(sizes.select(key, "*"), "batch_id")
+        .join(last.select(key, F.col("details").alias("last_entry")), "batch_id")
+    )
+
+
 def _profile_sql(table: str, columns: list[str]) -> str:
     return "\nUNION ALL ".join(
         f"SELECT '{x}' AS column_name, count(*) AS row_count, count(*) - count({x}) AS null_count, "

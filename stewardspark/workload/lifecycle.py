@@ -60,7 +60,7 @@ def _(t):
         "l_quantity",
         F.col("l_shipdate").alias("created_at"),
     )
-    return k.result_owner_as_of(facts, t.map_dataset_owner, bucket="month")
+    return k.result_owner_as_of(facts, t.map_dataset_owner, bucket="day")
 
 
 @query(
@@ -75,9 +75,21 @@ def _(t):
     return k.version_in_force(t.data_contract, "2024-01-01T12:00:00")
 
 
-def _overlap_sql(table: str, key: str, ident: str) -> str:
+@query(
+    "policy_in_force",
+    "policy_registry",
+    """SELECT policy_type, max_by(policy_id, rank) AS policy_id, max_by(version, rank) AS version FROM (
+  SELECT *, struct_pack(a := effective_from, b := list_transform(string_split(version, '.'), lambda z: z::INT), c := policy_id) AS rank
+  FROM policy_registry WHERE effective_from <= DATE '2024-01-15' AND coalesce(effective_to > DATE '2024-01-15', TRUE)) GROUP BY policy_type""",
+)
+def _(t):
+    found = k.version_in_force(t.policy_registry, "2024-01-15", "policy_type", "policy_id")
+    return found.select("policy_type", "policy_id", "version")
+
+
+def _overlap_sql(table: str, key: str, ident: str, kind: str = "TIMESTAMP") -> str:
     return f"""SELECT * FROM (SELECT {key}, {ident}, effective_from, effective_to,
-  max(coalesce(effective_to, TIMESTAMP '9999-12-31')) OVER (PARTITION BY {key} ORDER BY effective_from, {ident}
+  max(coalesce(effective_to, {kind} '9999-12-31')) OVER (PARTITION BY {key} ORDER BY effective_from, {ident}
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered_until FROM {table}) WHERE effective_from < covered_until"""
 
 
@@ -95,6 +107,13 @@ def _(t):
     return k.interval_overlaps(t.map_dataset_owner, "dataset_id", "map_id")
 
 
+@query(
+    "policy_overlaps", "policy_registry", _overlap_sql("policy_registry", "policy_type", "policy_id", "DATE")
+)
+def _(t):
+    return k.interval_overlaps(t.policy_registry, "policy_type", "policy_id")
+
+
 RETENTION = f"""SELECT d.dataset_id, d.retention_policy_id, CAST(date_diff('day', d.created_at, {NOW}) AS INTEGER) AS age_days,
   r.legal_hold_flag, date_diff('day', d.created_at, {NOW}) > r.duration_days AND NOT r.legal_hold_flag AS expired,
   CASE WHEN date_diff('day', d.created_at, {NOW}) > r.duration_days AND NOT r.legal_hold_flag THEN r.disposition ELSE 'KEEP' END AS action

@@ -14,7 +14,6 @@ from .metrics import LATEST
 from .registry import query
 from .views import ENRICHED, ENRICHED_TABLES
 
-HOUR = "INTERVAL '1' HOUR"
 GAP = "12 hours"
 
 
@@ -22,13 +21,16 @@ def _results(t):
     return project(t.stream("events"), "dq_result")
 
 
+def _ended(t, **values):
+    return s.StreamEnd(_results(t), s.EVENT_TIME, **values)
+
+
 TUMBLING = """SELECT time_bucket(INTERVAL '1' HOUR, created_at) AS window_start,
   time_bucket(INTERVAL '1' HOUR, created_at) + INTERVAL '1' HOUR AS window_end, outcome, count(*) AS results
 FROM dq_result GROUP BY 1, 2, 3"""
 SLIDING = """SELECT w AS window_start, w + INTERVAL '6' HOUR AS window_end, outcome, count(*) AS results FROM (
   SELECT outcome, unnest([time_bucket(INTERVAL '2' HOUR, created_at), time_bucket(INTERVAL '2' HOUR, created_at) - INTERVAL '2' HOUR,
     time_bucket(INTERVAL '2' HOUR, created_at) - INTERVAL '4' HOUR]) AS w FROM dq_result) GROUP BY 1, 2, 3"""
-CLOSED = f"WHERE {{end}} <= (SELECT max(ts) - {HOUR} FROM events)"
 
 
 @query("dq_outcomes_tumbling", "dq_result", TUMBLING)
@@ -41,22 +43,16 @@ def _(t):
     return s.outcome_windows(t.dq_result, "6 hours", "2 hours")
 
 
-@query(
-    "stream_outcomes_tumbling",
-    "dq_result",
-    f"SELECT * FROM ({TUMBLING}) {CLOSED.format(end='window_end')}",
-)
+@query("stream_outcomes_tumbling", "dq_result", TUMBLING)
 def _(t):
-    return s.drain(s.outcome_windows(_results(t), "1 hour"), "outcomes-tumbling")
+    end = _ended(t)
+    return s.drain(s.outcome_windows(end.stream, "1 hour"), "outcomes-tumbling", [end])
 
 
-@query(
-    "stream_outcomes_sliding",
-    "dq_result",
-    f"SELECT * FROM ({SLIDING}) {CLOSED.format(end='window_end')}",
-)
+@query("stream_outcomes_sliding", "dq_result", SLIDING)
 def _(t):
-    return s.drain(s.outcome_windows(_results(t), "6 hours", "2 hours"), "outcomes-sliding")
+    end = _ended(t)
+    return s.drain(s.outcome_windows(end.stream, "6 hours", "2 hours"), "outcomes-sliding", [end])
 
 
 SESSIONS = """WITH f AS (SELECT rule_id, created_at AS ts, lag(created_at) OVER (PARTITION BY rule_id ORDER BY created_at) AS before
@@ -82,14 +78,10 @@ def _(t):
     return s.stream_failure_sessions(t.dq_result, GAP)
 
 
-@query(
-    "stream_failure_sessions",
-    "dq_result",
-    SESSIONS
-    + f" WHERE session_end <= (SELECT max(ts) FILTER (event_type = 'error') - {HOUR} FROM events)",
-)
+@query("stream_failure_sessions", "dq_result", SESSIONS)
 def _(t):
-    return s.drain(s.stream_failure_sessions(_results(t), GAP), "failure-sessions")
+    end = _ended(t, outcome="FAIL")
+    return s.drain(s.stream_failure_sessions(end.stream, GAP), "failure-sessions", [end])
 
 
 @query("stream_dq_results_enriched", ENRICHED_TABLES, ENRICHED)
@@ -110,7 +102,7 @@ def _(t):
     # The run table is small per key but read by every micro-batch.
     done = s.stream_latest(results, t.dq_run, target, f"{target}-progress")
     done.awaitTermination()
-    return s.latest_snapshot(done, target, t.dq_run)
+    return s.latest_snapshot(t.spark, target)
 
 
 @query(
@@ -128,10 +120,8 @@ def _(t):
 @query(
     "stream_run_pairs",
     "process_run",
-    """WITH e AS (SELECT max(started_at) AS s, max(ended_at) AS x FROM process_run)
-SELECT run_id, process_id, started_at, ended_at, CASE WHEN ended_at IS NULL THEN 'UNFINISHED' ELSE status END AS status,
-  CASE WHEN ended_at IS NULL THEN NULL ELSE error_message END AS error_message
-FROM process_run, e WHERE ended_at IS NOT NULL OR started_at + INTERVAL '4' HOUR < least(s, x) - INTERVAL '1' HOUR""",
+    """SELECT run_id, process_id, started_at, ended_at, CASE WHEN ended_at IS NULL THEN 'UNFINISHED' ELSE status END AS status,
+  CASE WHEN ended_at IS NULL THEN NULL ELSE error_message END AS error_message FROM process_run""",
 )
 def _(t):
     runs = project(t.stream("orders"), "process_run")
@@ -139,7 +129,10 @@ def _(t):
     ends = project(t.stream("orders"), "process_run").where("ended_at IS NOT NULL").select(
         "run_id", "ended_at", "status", "error_message"
     )
-    return s.drain(stream_run_pairs(starts, ends, "4 hours"), "run-pairs")
+    first = s.StreamEnd(starts, "started_at", run_id="end of starts")
+    last = s.StreamEnd(ends, "ended_at", run_id="end of ends")
+    pairs = stream_run_pairs(first.stream, last.stream, "4 hours")
+    return s.drain(pairs, "run-pairs", [first, last])
 
 
 @query(

@@ -9,10 +9,26 @@ from ..operators import views as v
 from .metrics import LATEST
 from .registry import query
 
-TODAY = """WITH l AS ({latest})
-SELECT ds.dataset_id, ds.domain_id AS domain_name, ds.classification, ds.certification,
-  l.started_at AS last_dq_run_at, l.outcome AS last_dq_outcome
-FROM dim_dataset ds LEFT JOIN l ON l.dataset_id = ds.dataset_id AND l.rn = 1"""
+# The checks look every name up by its key, one lookup per column, instead of joining.
+
+
+def _of(table: str, key: str, value: str, column: str) -> str:
+    return f"(SELECT {column} FROM {table} AS x WHERE x.{key} = {value})"
+
+
+def _party(value: str, column: str) -> str:
+    return _of("dim_party", "party_id", value, column)
+
+
+def _dataset(value: str, column: str) -> str:
+    return _of("dim_dataset", "dataset_id", value, column)
+
+
+TODAY = """WITH l AS ({latest}),
+found AS (SELECT dataset_id, list(struct_pack(run_at := started_at, result := outcome)) AS hits FROM l WHERE rn = 1 GROUP BY dataset_id),
+shown AS (SELECT *, unnest(coalesce((SELECT hits FROM found WHERE found.dataset_id = s.dataset_id), [NULL])) AS hit FROM dim_dataset s)
+SELECT dataset_id, domain_id AS domain_name, classification, certification, hit.run_at AS last_dq_run_at,
+  hit.result AS last_dq_outcome FROM shown"""
 
 
 @query(
@@ -34,13 +50,14 @@ def _(t):
 
 
 ENRICHED_TABLES = "dq_result dq_run dim_dataset dq_rule dim_party"
-ENRICHED = """
-SELECT r.run_id, r.rule_id, r.dataset_id, r.outcome, r.metrics_summary, r.evidence_ref,
-  ds.domain_id AS domain_name, ds.classification, u.started_at, u.ended_at, q.rule_name, q.severity,
-  p.party_name AS owner_name, p.email AS owner_email
-FROM dq_result r JOIN dq_run u ON u.run_id = r.run_id
-LEFT JOIN dim_dataset ds ON ds.dataset_id = r.dataset_id
-LEFT JOIN dq_rule q ON q.rule_id = r.rule_id LEFT JOIN dim_party p ON p.party_id = q.owner_party_id"""
+ENRICHED = f"""
+SELECT run_id, rule_id, dataset_id, outcome, metrics_summary, evidence_ref,
+  {_dataset("r.dataset_id", "domain_id")} AS domain_name, {_dataset("r.dataset_id", "classification")} AS classification,
+  {_of("dq_run", "run_id", "r.run_id", "started_at")} AS started_at, {_of("dq_run", "run_id", "r.run_id", "ended_at")} AS ended_at,
+  {_of("dq_rule", "rule_id", "r.rule_id", "rule_name")} AS rule_name, {_of("dq_rule", "rule_id", "r.rule_id", "severity")} AS severity,
+  {_party("r.owner", "party_name")} AS owner_name, {_party("r.owner", "email")} AS owner_email
+FROM (SELECT *, {_of("dq_rule", "rule_id", "q.rule_id", "owner_party_id")} AS owner FROM dq_result q
+  WHERE run_id IN (SELECT run_id FROM dq_run)) r"""
 
 
 def enriched(t):
@@ -50,23 +67,27 @@ def enriched(t):
 query("vw_dq_results_enriched", ENRICHED_TABLES, ENRICHED)(enriched)
 
 
+_CONTROL = {c: _of("control_registry", "control_id", "k.control_id", c) for c in
+            ("control_name", "severity", "scope_type", "scope_id", "owner_party_id")}
+CONTROLS = f"""SELECT test_id, control_id, {_CONTROL["control_name"]} AS control_name, {_CONTROL["severity"]} AS severity,
+  run_id, executed_at, outcome, details, {_CONTROL["scope_type"]} AS scope_type, {_CONTROL["scope_id"]} AS scope_id,
+  {_party("k.owner", "party_name")} AS owner_name, {_party("k.owner", "email")} AS owner_email
+FROM (SELECT *, {_CONTROL["owner_party_id"]} AS owner FROM control_test k) k"""
+
+
 @query(
     "vw_control_results_enriched",
     "control_test control_registry dim_party",
-    """SELECT t.test_id, t.control_id, c.control_name, c.severity, t.run_id, t.executed_at, t.outcome,
-  t.details, c.scope_type, c.scope_id, p.party_name AS owner_name, p.email AS owner_email
-FROM control_test t LEFT JOIN control_registry c ON c.control_id = t.control_id
-LEFT JOIN dim_party p ON p.party_id = c.owner_party_id""",
+    CONTROLS,
 )
 def _(t):
     return v.control_results_enriched(t.control_test, t.control_registry, t.dim_party)
 
 
-OWNERS = """SELECT ds.dataset_id, ds.domain_id AS domain_name, ds.classification,
-  coalesce(string_agg(DISTINCT p.party_name || ' <' || {email} || '>', '; '
-    ORDER BY p.party_name || ' <' || {email} || '>'), '') AS owner_emails
-FROM dim_dataset ds LEFT JOIN map_dataset_owner m ON m.dataset_id = ds.dataset_id
-LEFT JOIN dim_party p ON p.party_id = m.party_id GROUP BY 1, 2, 3"""
+OWNERS = """SELECT dataset_id, domain_id AS domain_name, classification,
+  coalesce(array_to_string(list_sort(list_distinct(people)), '; '), '') AS owner_emails
+FROM (SELECT *, (SELECT list(p.party_name || ' <' || {email} || '>') FROM dim_party p WHERE p.party_id IN
+  (SELECT party_id FROM map_dataset_owner m WHERE m.dataset_id = s.dataset_id)) AS people FROM dim_dataset s)"""
 OWNER_TABLES = "dim_dataset map_dataset_owner dim_party"
 
 
@@ -75,38 +96,40 @@ def _(t):
     return v.dataset_owners(t.dim_dataset, t.map_dataset_owner, t.dim_party)
 
 
+GLOSSARY = f"""SELECT term_id, term_name, definition, {_of("dim_domain", "domain_id", "g.domain_id", "domain_id")} AS domain_name,
+  {_party("g.steward_party_id", "party_name")} AS steward_name, {{email}} AS steward_email, status FROM dim_term g"""
+
+
 @query(
     "vw_business_glossary",
     "dim_term dim_domain dim_party",
-    """SELECT t.term_id, t.term_name, t.definition, d.domain_id AS domain_name,
-  p.party_name AS steward_name, p.email AS steward_email, t.status
-FROM dim_term t LEFT JOIN dim_domain d ON d.domain_id = t.domain_id
-LEFT JOIN dim_party p ON p.party_id = t.steward_party_id""",
+    GLOSSARY.format(email=_party("g.steward_party_id", "email")),
 )
 def _(t):
     return v.business_glossary(t.dim_term, t.dim_domain, t.dim_party)
 
 
+CONTRACTS = f"""SELECT contract_id, dataset_id, {_dataset("a.dataset_id", "domain_id")} AS domain_name,
+  {_dataset("a.dataset_id", "classification")} AS classification, version, status,
+  {_party("a.producer_party_id", "party_name")} AS producer_name, {{producer}} AS producer_email,
+  {_party("a.consumer_party_id", "party_name")} AS consumer_name, {{consumer}} AS consumer_email FROM data_contract a"""
+
+
 @query(
     "vw_data_contracts",
     "data_contract dim_dataset dim_party",
-    """SELECT c.contract_id, c.dataset_id, ds.domain_id AS domain_name, ds.classification, c.version,
-  c.status, a.party_name AS producer_name, a.email AS producer_email,
-  b.party_name AS consumer_name, b.email AS consumer_email
-FROM data_contract c LEFT JOIN dim_dataset ds ON ds.dataset_id = c.dataset_id
-LEFT JOIN dim_party a ON a.party_id = c.producer_party_id
-LEFT JOIN dim_party b ON b.party_id = c.consumer_party_id""",
+    CONTRACTS.format(producer=_party("a.producer_party_id", "email"), consumer=_party("a.consumer_party_id", "email")),
 )
 def _(t):
     return v.data_contracts(t.data_contract, t.dim_dataset, t.dim_party)
 
 
-RISK_VIEW = """SELECT r.risk_id, r.title, r.category, r.severity, r.likelihood, r.impact, r.status,
-  p.party_name AS risk_owner, {email} AS owner_email
-FROM risk_item r LEFT JOIN dim_party p ON p.party_id = r.owner_party_id{where}"""
+RISK_VIEW = f"""SELECT risk_id, title, category, severity, likelihood, impact, status,
+  {_party("a.owner_party_id", "party_name")} AS risk_owner, {{email}} AS owner_email FROM risk_item a"""
+RISK_EMAIL = _party("a.owner_party_id", "email")
 
 
-@query("vw_risk_dashboard", "risk_item dim_party", RISK_VIEW.format(email="p.email", where=""))
+@query("vw_risk_dashboard", "risk_item dim_party", RISK_VIEW.format(email=RISK_EMAIL))
 def _(t):
     return v.risk_dashboard(t.risk_item, t.dim_party)
 
@@ -128,17 +151,19 @@ ROLES = {
     "pci_analyst": ("PCI_ANALYST", f"{_OPEN} OR classification = 'PCI'"),
     "risk_manager": ("RISK_MANAGER", _OPEN),
 }
-_EMAIL_SQL = (
-    "CASE WHEN {c} IS NULL THEN NULL ELSE '***' || split_part({c}, '@', 2) END"
-)
+# Whatever stands behind the first @, up to the next.
+_EMAIL_SQL = "'***' || regexp_extract({c}, '^[^@]*@([^@]*)', 1)"
+# The fixed text, as long as there is a reference at all.
+_EVIDENCE_SQL = "left('evidence://masked' || evidence_ref, 17)"
+_LABEL = _of("dim_domain", "domain_id", "{c}", "domain_name")
 
 
 def _register_row_access(name: str, role: str, predicate: str) -> None:
     @query(
         f"row_access_{name}",
         "dim_dataset dim_domain",
-        f"""SELECT * FROM (SELECT ds.dataset_id, ds.classification, d.domain_name AS domain_label
-FROM dim_dataset ds LEFT JOIN dim_domain d ON d.domain_id = ds.domain_id) WHERE {predicate}""",
+        f"""SELECT * FROM (SELECT dataset_id, classification, {_LABEL.format(c="s.domain_id")} AS domain_label
+FROM dim_dataset s) WHERE {predicate}""",
     )
     def _(t):
         shown = v.with_domain_label(
@@ -148,16 +173,13 @@ FROM dim_dataset ds LEFT JOIN dim_domain d ON d.domain_id = ds.domain_id) WHERE
         ).drop("domain_id")
         return v.govern(shown, role, "domain_label", "classification")
 
-    evidence = "evidence_ref" if role in p.EVIDENCE_EXEMPT_ROLES else (
-        "CASE WHEN evidence_ref IS NULL THEN NULL ELSE 'evidence://masked' END"
-    )
+    evidence = "evidence_ref" if role in p.EVIDENCE_EXEMPT_ROLES else _EVIDENCE_SQL
     email = "owner_email" if role in p.EMAIL_EXEMPT_ROLES else _EMAIL_SQL.format(c="owner_email")
 
     @query(
         f"governed_dq_results_{name}",
         ENRICHED_TABLES + " dim_domain",
-        f"""WITH e AS ({ENRICHED}), l AS (SELECT e.*, d.domain_name AS domain_label
-  FROM e LEFT JOIN dim_domain d ON d.domain_id = e.domain_name)
+        f"""WITH e AS ({ENRICHED}), l AS (SELECT *, {_LABEL.format(c="e.domain_name")} AS domain_label FROM e)
 SELECT * REPLACE ({evidence} AS evidence_ref, {email} AS owner_email) FROM l WHERE {predicate}""",
     )
     def _(t):
@@ -177,12 +199,9 @@ for _name, (_role, _predicate) in ROLES.items():
 @query(
     "governed_glossary",
     "dim_term dim_domain dim_party",
-    f"""SELECT t.term_id, t.term_name, t.definition, d.domain_id AS domain_name,
-  p.party_name AS steward_name, {_EMAIL_SQL.format(c="p.email")} AS steward_email, t.status,
-  d.domain_name AS domain_label
-FROM dim_term t LEFT JOIN dim_domain d ON d.domain_id = t.domain_id
-LEFT JOIN dim_party p ON p.party_id = t.steward_party_id
-WHERE d.domain_name ILIKE 'retail%' OR d.domain_name ILIKE 'deposit%'""",
+    f"""SELECT * FROM (SELECT *, {_LABEL.format(c="g.domain_name")} AS domain_label
+  FROM ({GLOSSARY.format(email=_EMAIL_SQL.format(c=_party("g.steward_party_id", "email")))}) g)
+WHERE regexp_matches(domain_label, '^(retail|deposit)', 'i')""",
 )
 def _(t):
     view = v.with_domain_label(
@@ -194,13 +213,10 @@ def _(t):
 @query(
     "governed_contracts",
     "data_contract dim_dataset dim_party",
-    f"""SELECT c.contract_id, c.dataset_id, ds.domain_id AS domain_name, ds.classification, c.version,
-  c.status, a.party_name AS producer_name, {_EMAIL_SQL.format(c="a.email")} AS producer_email,
-  b.party_name AS consumer_name, {_EMAIL_SQL.format(c="b.email")} AS consumer_email
-FROM data_contract c LEFT JOIN dim_dataset ds ON ds.dataset_id = c.dataset_id
-LEFT JOIN dim_party a ON a.party_id = c.producer_party_id
-LEFT JOIN dim_party b ON b.party_id = c.consumer_party_id
-WHERE ds.classification IN ('Public', 'Internal', 'PII')""",
+    f"""SELECT * FROM ({CONTRACTS.format(
+        producer=_EMAIL_SQL.format(c=_party("a.producer_party_id", "email")),
+        consumer=_EMAIL_SQL.format(c=_party("a.consumer_party_id", "email")))})
+WHERE classification IN ('Public', 'Internal', 'PII')""",
 )
 def _(t):
     view = v.data_contracts(t.data_contract, t.dim_dataset, t.dim_party)
@@ -210,7 +226,7 @@ def _(t):
 @query(
     "governed_risks",
     "risk_item dim_party",
-    RISK_VIEW.format(email=_EMAIL_SQL.format(c="p.email"), where=""),
+    RISK_VIEW.format(email=_EMAIL_SQL.format(c=RISK_EMAIL)),
 )
 def _(t):
     # No domain and no class: only full-access roles see rows, and this one is not mail-exempt.
@@ -218,6 +234,37 @@ def _(t):
     return v.govern(view, "GOVERNANCE_ANALYST", None, None, v.OWNER_EMAIL_MASK)
 
 
+@query(
+    "governed_today_health",
+    "dim_dataset dq_result dq_run dim_domain",
+    f"""WITH h AS ({TODAY.format(latest=LATEST.format(keys="r.rule_id"))})
+SELECT * FROM (SELECT *, {_LABEL.format(c="h.domain_name")} AS domain_label FROM h)
+WHERE classification IN ('Public', 'Internal') OR regexp_matches(domain_label, '^cards', 'i')""",
+)
+def _(t):
+    view = v.with_domain_label(
+        v.today_health(t.dim_dataset, t.dq_result, t.dq_run), t.dim_domain
+    )
+    return v.govern(view, "CARDS_DATA_ANALYST", "domain_label", "classification")
+
+
+@query(
+    "governed_control_results",
+    "control_test control_registry dim_party dim_dataset dim_domain",
+    f"""WITH c AS ({CONTROLS}), d AS (SELECT *, CASE scope_type WHEN 'DATASET' THEN {_dataset("c.scope_id", "classification")} END AS classification,
+  CASE scope_type WHEN 'DATASET' THEN {_dataset("c.scope_id", "domain_id")} END AS domain_name FROM c)
+SELECT * REPLACE ({_EMAIL_SQL.format(c="owner_email")} AS owner_email)
+FROM (SELECT *, {_LABEL.format(c="d.domain_name")} AS domain_label FROM d)
+WHERE classification IN ('Public', 'Internal') OR regexp_matches(domain_label, '^lending', 'i')""",
+)
+def _(t):
+    rows = v.control_results_enriched(t.control_test, t.control_registry, t.dim_party)
+    view = v.with_domain_label(v.with_scope(rows, t.dim_dataset), t.dim_domain)
+    return v.govern(
+        view, "LENDING_DATA_ANALYST", "domain_label", "classification", v.OWNER_EMAIL_MASK
+    )
+
+
 @query(
     "governed_owners",
     OWNER_TABLES,
@@ -236,8 +283,7 @@ def _(t):
 # --- masks ---------------------------------------------------------------------------------
 
 _SAMPLE_SQL = (
-    "CASE WHEN {c} IS NULL THEN NULL WHEN length({c}) > 10 THEN left({c}, 3) || '*****' || "
-    "right({c}, 2) ELSE '***MASKED***' END"
+    "['***MASKED***', substr({c}, 1, 3) || '*****' || substr({c}, -2)][1 + (length({c}) > 10)::INT]"
 )
 
 
@@ -286,8 +332,7 @@ def _(t):
 @query(
     "mask_evidence",
     "dq_result",
-    """SELECT run_id, rule_id, CASE WHEN evidence_ref IS NULL THEN NULL ELSE 'evidence://masked' END AS evidence_ref
-FROM dq_result""",
+    f"SELECT run_id, rule_id, {_EVIDENCE_SQL} AS evidence_ref FROM dq_result",
 )
 def _(t):
     return t.dq_result.select(

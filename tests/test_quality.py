@@ -79,6 +79,33 @@ def test_many_rules_are_split_into_aggregates(spark):
     assert got == {f"r{i}": 9 - i % 10 for i in range(230)}
 
 
+def test_a_registry_with_all_types_and_broken_rules(spark):
+    ddl = "rule_id string, rule_type string, dataset_id string, column_name string, config_json string, enabled_flag boolean"
+    t = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "k int, v double")
+    other = spark.createDataFrame([(1, 1.0), (2, 9.0)], "k int, v double")
+    registry = spark.createDataFrame(
+        [
+            ("ok", "COMPLETENESS", "t", "v", None, True),
+            ("acc", "ACCURACY", "t", "v", '{"source": "other", "keys": ["k"]}', True),
+            ("drift", "SCHEMA_DRIFT", "t", None, '{"columns": {"k": "int", "v": "string", "w": "int"}}', True),
+            ("no table", "COMPLETENESS", "missing", "v", None, True),
+            ("no column", "VALIDITY", "t", "zz", '{"min_value": 0}', True),
+            ("no check", "VALIDITY", "t", "v", "{}", True),
+            ("bad json", "VALIDITY", "t", "v", "{", True),
+            ("no parent", "CONSISTENCY", "t", "k", "{}", True),
+            ("no type", "MAGIC", "t", "k", None, True),
+            ("no time", "TIMELINESS", "t", "v", '{"max_age_days": 1}', True),
+        ],
+        ddl,
+    )
+    got = {r.rule_id: (r.row_count, r.failed_count, r.outcome) for r in
+           q.run_rules(q.load_rules(registry), {"t": t, "other": other}).collect()}
+    assert got == {
+        "ok": (3, 1, "FAIL"), "acc": (3, 2, "FAIL"), "drift": (3, 2, "FAIL"),
+        **{k: (None, None, "ERROR") for k in ("no table", "no column", "no check", "bad json", "no parent", "no type", "no time")},
+    }
+
+
 def test_load_rules_reads_the_registry(spark):
     registry = spark.createDataFrame(
         [("a", "VALIDITY", "t", "n", '{"min_value": 2}', True),
@@ -130,6 +157,12 @@ def test_timeliness_and_drift(spark, rows):
         [("a", dt.datetime(2024, 1, 1, 23, 59)), ("b", dt.datetime(2024, 1, 9))],
         "g string, t timestamp_ntz",
     )
+    none = spark.createDataFrame([], df.schema)
+    unknown = spark.createDataFrame([("a", None)], df.schema)
+    rule = q.Rule("r", "TIMELINESS", "t", "t", {"max_age_days": 2})
+    for frame, state in ((none, "PASS"), (unknown, "FAIL")):
+        assert one(q.timeliness(frame, "t", 2, "2024-01-10")).outcome == state
+        assert one(q.run_rules([rule], {"t": frame}, "2024-01-10")).outcome == state
     got = q.timeliness(df, "t", 2, "2024-01-10", ["g"])
     assert rows(got, "g", "age_days", "outcome") == [("a", 9, "FAIL"), ("b", 1, "PASS")]
     old = spark.createDataFrame([("x", "int"), ("y", "int"), ("z", "int")], "column_name string, data_type string")
@@ -171,3 +204,22 @@ def test_a_composite_key_is_not_confused_by_separators(spark):
     t = spark.createDataFrame([("a,b", "c"), ("a", "b,c"), ('a","b', "c")], "x string, y string")
     row = one(audits.audit_primary_keys([audits.KeySpec("t", t, ["x", "y"])]))
     assert row.repeated_keys == 0
+
+
+def test_absent_constraints_are_reported(spark, rows):
+    tables = {"dim_term": spark.createDataFrame([("T", None, "Draft")], "term_id string, term_name string, status string")}
+    shown = {w: audits.audit_registry(spark, tables, w) for w in ("primary_key", "foreign_key", "not_null", "vocabulary")}
+    sizes = {w: (df.count(), df.where("status = 'AUDITED'").count()) for w, df in shown.items()}
+    assert sizes == {"primary_key": (31, 1), "foreign_key": (42, 0), "not_null": (18, 1), "vocabulary": (35, 1)}
+    assert rows(shown["not_null"].where("status = 'AUDITED'")) == [("dim_term", "term_name", 1, 1, "AUDITED")]
+    assert rows(shown["vocabulary"].where("table_name = 'dim_cde'")) == []
+    assert shown["primary_key"].where("status = 'ABSENT' AND row_count IS NULL").count() == 30
+
+
+def test_every_declared_reference_is_reported(spark):
+    parent = spark.createDataFrame([("P",)], "party_id string")
+    child = spark.createDataFrame([("P",), ("Q",), (None,)], "owner_party_id string")
+    found = audits.audit_registry(spark, {"dim_party": parent, "risk_item": child}, "foreign_key").collect()
+    assert len(found) == 42
+    (one_,) = [r for r in found if r.status == "AUDITED"]
+    assert (one_.child_table, one_.keyed_rows, one_.orphan_rows) == ("risk_item", 2, 1)

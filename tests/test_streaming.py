@@ -72,6 +72,33 @@ def test_sessions_equal_batch_for_closed_sessions(spark, rows, results):
     assert rows(got, *columns) == closed and closed
 
 
+@pytest.mark.parametrize("slide", [None, "1 hour"])
+def test_an_ended_stream_has_all_windows(spark, rows, results, slide):
+    batch, data = results
+    end = s.StreamEnd(feed(spark, data, DDL, 6), "created_at")
+    got = s.drain(s.outcome_windows(end.stream, "2 hours", slide, "3 hours"), "w", [end])
+    assert rows(got) == rows(s.outcome_windows(batch, "2 hours", slide))
+
+
+def test_an_ended_stream_has_all_sessions(spark, rows, results):
+    batch, data = results
+    end = s.StreamEnd(feed(spark, data, DDL, 5), "created_at", outcome="FAIL")
+    got = s.drain(s.stream_failure_sessions(end.stream, "1 hour", "3 hours"), "s", [end])
+    columns = ("rule_id", "session_start", "session_end", "failures")
+    assert rows(got, *columns) == rows(s.failure_sessions(batch, "1 hour"), *columns)
+
+
+def test_ended_streams_have_all_pairs(spark, rows):
+    starts = [("a", "p", at(0)), ("b", "p", at(1)), ("open", "p", at(60))]
+    ends = [("a", at(1), "SUCCESS", None)]
+    a = s.StreamEnd(feed(spark, starts, "run_id string, process_id string, started_at timestamp_ntz", 1), "started_at", run_id="end of starts")
+    b = s.StreamEnd(feed(spark, ends, "run_id string, ended_at timestamp_ntz, status string, error_message string", 1), "ended_at", run_id="end of ends")
+    got = s.drain(stream_run_pairs(a.stream, b.stream, "4 hours"), "pairs", [a, b])
+    assert rows(got, "run_id", "ended_at", "status") == [
+        ("a", at(1), "SUCCESS"), ("b", None, "UNFINISHED"), ("open", None, "UNFINISHED")
+    ]
+
+
 def test_rows_later_than_the_delay_are_dropped(spark, rows):
     # Late rows are judged by the watermark of the batch before: the drop shows one file later.
     hours = [1, 50, 52, 1, 90]
@@ -95,11 +122,38 @@ def test_latest_does_not_depend_on_arrival(spark, rows, results, shuffled):
     from stewardspark.operators.views import latest_results
 
     columns = ("rule_id", "run_id", "evidence_ref")
-    assert rows(s.latest_snapshot(query, target, run), *columns) == rows(
+    assert rows(s.latest_snapshot(spark, target), *columns) == rows(
         latest_results(batch, run), *columns
     )
 
 
+def test_latest_restarts_idle_and_takes_late_runs(spark, rows):
+    folder, target = scratch_path(spark, "input"), scratch_path(spark, "latest")
+
+    def arrive(*data):
+        spark.createDataFrame(list(data), DDL).coalesce(1).write.mode("append").parquet(folder)
+
+    def go(runs):
+        run = spark.createDataFrame(runs, "run_id string, started_at timestamp_ntz")
+        stream = spark.readStream.schema(DDL).parquet(folder)
+        s.stream_latest(stream, run, target, f"{target}-progress").awaitTermination()
+        return rows(s.latest_snapshot(spark, target), "rule_id", "run_id")
+
+    arrive(("R1", "Q", "D", "PASS", "e1", at(1)), ("R2", "Q", "D", "FAIL", "e2", at(2)))
+    assert go([("R1", at(1))]) == [("Q", "R1")]
+    # Nothing new: the last snapshot still answers.
+    assert go([("R1", at(1))]) == [("Q", "R1")]
+    # The run of the waiting result has been registered meanwhile.
+    arrive(("R1", "P", "D", "PASS", "e3", at(3)))
+    assert go([("R1", at(1)), ("R2", at(2))]) == [("P", "R1"), ("Q", "R2")]
+    for hour in (4, 5, 6):
+        arrive(("R1", "P", "D", "PASS", f"e{hour}", at(hour)))
+        go([("R1", at(1)), ("R2", at(2))])
+    from stewardspark.session import folder_names
+
+    assert len(folder_names(spark, target)) <= 3
+
+
 def test_daily_dedup_keys(spark, rows, results):
     _, data = results
     got = s.drain(s.stream_dedup_daily(feed(spark, data, DDL, 5), "2 days"), "d")

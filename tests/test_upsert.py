@@ -57,6 +57,29 @@ def test_two_source_rows_for_a_matched_key_fail(spark, merge):
     assert u.check_merge_source(source, ["k"]).collect()[0].n == 2
 
 
+def test_the_guard_survives_column_pruning(spark, merge):
+    target = frame(spark, [("x", 1, "old")])
+    source = frame(spark, [("x", 2, "p"), ("x", 3, "q")])
+    with pytest.raises(Exception, match="more than one source row"):
+        merge(target, source, ["k"]).select("k").collect()
+
+
+def test_repeated_source_keys_without_a_target_row_are_all_inserted(spark, rows, merge):
+    target = frame(spark, [("a", 1, "t"), ("b", 2, "t")])
+    source = frame(spark, [("c", 3, "s"), ("c", 4, "s"), ("a", 5, "s")])
+    assert rows(merge(target, source, ["k"], update_cols=["a"])) == [
+        ("a", 5, "t"), ("b", 2, "t"), ("c", 3, "s"), ("c", 4, "s")
+    ]
+
+
+def test_insert_only_never_fails(spark, rows, merge):
+    target = frame(spark, [("a", 1, "t")])
+    source = frame(spark, [("a", 2, "s"), ("a", 3, "s"), ("b", 4, "s"), ("b", 4, "s")])
+    assert rows(merge(target, source, ["k"], update_cols=[])) == [
+        ("a", 1, "t"), ("b", 4, "s"), ("b", 4, "s")
+    ]
+
+
 def test_several_target_rows_take_one_source_row(spark, rows, merge):
     target = frame(spark, [("x", 1, "p"), ("x", 2, "q")])
     source = frame(spark, [("x", 9, "new")])
@@ -83,6 +106,30 @@ def test_upsert_against_dictionary_and_idempotent(spark, rows, merge, old, new):
         assert rows(merge(once, source, ["k"], update_cols=["a"])) == rows(once)
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(st.tuples(KEYS, st.integers(0, 9)), max_size=6),
+    st.lists(st.tuples(KEYS, st.integers(10, 19)), max_size=6),
+    st.booleans(),
+)
+def test_both_plans_agree_on_any_input(spark, rows, old, new, updating):
+    target = frame(spark, [(k, a, "t") for k, a in old])
+    source = frame(spark, [(k, a, "s") for k, a in new])
+    known = {k for k, _ in old if k is not None}
+    keys = [k for k, _ in new if k in known]
+    fails = updating and len(keys) != len(set(keys))
+    for large in (False, True):
+        got = u.upsert(target, source, ["k"], ["a"] if updating else [], large_source=large)
+        if fails:
+            with pytest.raises(Exception, match="more than one source row"):
+                got.select("b").collect()
+            continue
+        given = dict(new) if updating else {}
+        expect = [(k, given.get(k, a) if k is not None else a, "t") for k, a in old]
+        expect += [(k, a, "s") for k, a in new if k is None or k not in known]
+        assert rows(got) == sorted(expect, key=lambda r: tuple((v is not None, str(v)) for v in r))
+
+
 def test_insert_if_absent_keeps_batch_duplicates(spark, rows):
     ddl = "k string, at timestamp_ntz, n int"
     d = __import__("datetime").datetime

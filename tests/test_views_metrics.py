@@ -1,4 +1,3 @@
-import pytest
 from seed import AS_OF, ago
 
 from stewardspark.functions.policies import mask_email
@@ -63,7 +62,7 @@ def test_latest_rates(seed, rows):
         ("DQR-001", None, 99.8), ("DQR-002", 98.5, None), ("DQR-003", 92.3, None),
         ("DQR-005", None, None),
     ]
-    whole = m.latest_dq(seed["dq_result"], seed["dq_run"], scale=0)
+    whole = m.latest_dq(seed["dq_result"], seed["dq_run"], scale=0, ordered=True)
     assert [r.validity_rate for r in whole.collect()][1:3] == [99.0, 92.0]
 
 
@@ -74,24 +73,6 @@ def test_risk_order(seed):
     assert ranked == ["RSK-1", "RSK-2", "RSK-3"]
 
 
-def test_join_orders_agree_on_the_driver_tables(spark, monkeypatch, rows):
-    from stewardspark.sources.projections import Tables
-
-    t = Tables(spark, "/root/testdata/sf0.001")
-
-    def both():
-        return (
-            rows(m.daily_quality_metrics(t.dq_result, t.dim_dataset, t.dim_domain, "2024-02-05")),
-            rows(m.daily_control_metrics(
-                t.control_test, t.control_registry, t.dim_dataset, t.dim_domain, "2024-02-05"
-            )),
-        )
-
-    small = both()
-    monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
-    assert both() == small and small[0] and small[1]
-
-
 def test_daily_quality_totals_and_null_domain(seed, spark):
     got = m.daily_quality_metrics(
         seed["dq_result"], seed["dim_dataset"], seed["dim_domain"], AS_OF
@@ -126,9 +107,7 @@ def test_governance_score_and_unjoined_null_domains(spark):
     ]
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
-def test_both_join_orders_see_a_dataset_that_is_registered_twice(spark, monkeypatch, limit):
-    monkeypatch.setattr(m, "BROADCAST_ROWS", limit)
+def test_a_dataset_that_is_registered_twice_counts_twice(spark):
     ts = __import__("datetime").datetime(2024, 1, 2)
     res = spark.createDataFrame([(ts, "A", "PASS")] * 3, "created_at timestamp_ntz, dataset_id string, outcome string")
     ds = spark.createDataFrame([("A", "D"), ("A", "D")], "dataset_id string, domain_id string")
@@ -137,6 +116,28 @@ def test_both_join_orders_see_a_dataset_that_is_registered_twice(spark, monkeypa
     assert row.total_dq_tests == 6
 
 
+def test_an_empty_domain_name_is_shown_as_null(spark):
+    ts = __import__("datetime").datetime(2024, 1, 2)
+    res = spark.createDataFrame([(ts, "A", "PASS")], "created_at timestamp_ntz, dataset_id string, outcome string")
+    run = spark.createDataFrame([], "started_at timestamp_ntz, ended_at timestamp_ntz, status string")
+    test = spark.createDataFrame([(ts, "C", "PASS")], "executed_at timestamp_ntz, control_id string, outcome string")
+    control = spark.createDataFrame([("C", "DATASET", "A")], "control_id string, scope_type string, scope_id string")
+    ds = spark.createDataFrame([("A", "D")], "dataset_id string, domain_id string")
+    domain = spark.createDataFrame([("D", "")], "domain_id string, domain_name string")
+    (row,) = m.governance_metrics(run, res, test, control, ds, domain, "2024-01-05").collect()
+    assert row.domain_name is None and (row.total_dq_tests, row.total_control_tests) == (1, 1)
+
+
+def test_no_broadcast_is_forced(spark):
+    """A registry side with many rows of one id is merged, not broadcast."""
+    ts = __import__("datetime").datetime(2024, 1, 2)
+    res = spark.createDataFrame([(ts, "A", "PASS")], "created_at timestamp_ntz, dataset_id string, outcome string")
+    ds = spark.createDataFrame([("A", "D")], "dataset_id string, domain_id string")
+    domain = spark.range(3_000_000).selectExpr("'D' AS domain_id", "CAST(id AS STRING) AS domain_name")
+    plan = m.daily_quality_metrics(res, ds, domain, "2024-01-05")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()
+
+
 def test_month_arithmetic(spark):
     def months(day, n):
         return spark.range(1).select(m.months_before(day, n)).first()[0].date().isoformat()
