@@ -33,8 +33,11 @@ def batch_id(as_of: AsOf) -> str:
 def record_row_counts(
     results: DataFrame, tables: Mapping[str, DataFrame], as_of: AsOf, min_rows: int = 0
 ) -> DataFrame:
-    """Result table with today's row count of each table; a second pass overwrites it."""
-    counts = quality.row_count_check(tables, min_rows, as_of)
+    """Result table with today's row count of each table; a second pass overwrites it.
+
+    The counts are stored first: the merge reads its source several times, the tables once.
+    """
+    counts = cut_lineage(quality.row_count_check(tables, min_rows, as_of))
     updates = [c for c in RESULT_UPDATES if c in results.columns]
     return upsert(results, counts, ["run_id", "rule_id"], updates)
 
@@ -43,7 +46,7 @@ def record_row_counts_once(
     results: DataFrame, tables: Mapping[str, DataFrame], as_of: AsOf, min_rows: int = 0
 ) -> DataFrame:
     """Result table with a row count per table, unless the day already has one."""
-    counts = quality.row_count_check(tables, min_rows, as_of)
+    counts = cut_lineage(quality.row_count_check(tables, min_rows, as_of))
     shaped = counts.select(*[c for c in counts.columns if c in results.columns])
     present = results.select(*shaped.columns)
     return insert_if_absent(present, shaped, ["dataset_id", "rule_id"], "created_at")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..operators import catalog as c
 from ..operators import quality
-from ..operators.common import counts_side_by_side
+from ..operators.common import counts_side_by_side, union_all
 from ..plans import nightly_sync
+from ..session import cut_lineage
 from ..sources.driver_tables import DRIVER_SCHEMAS
 from ..sources.projections import PROJECTIONS
 from .registry import AS_OF, query
@@ -378,7 +379,7 @@ def _(t):
     known = quality.row_count_check({n: t[n] for n in _COUNTED[:2]}, 10**12, AS_OF).unionByName(
         quality.row_count_check({"part": t.part}, 0, "2024-02-04")
     )
-    counted = nightly_sync.record_row_counts(known, {n: t[n] for n in _COUNTED}, AS_OF, 5000)
+    counted = nightly_sync.record_row_counts(cut_lineage(known), {n: t[n] for n in _COUNTED}, AS_OF, 5000)
     return counted.select(
         "run_id", "rule_id", "dataset_id", "outcome",
         F.get_json_object("metrics_summary", "$.row_count").alias("row_count"), "updated_at",
@@ -411,13 +412,11 @@ def _(t):
     )
     counts = {"processes": "process", "runs": "process_run", "log_rows": "control_test"}
     sizes = counts_side_by_side({k: out[n] for k, n in counts.items()})
-    # One row each, held together by the batch.
-    key = F.lit(nightly_sync.batch_id(AS_OF)).alias("batch_id")
-    return (
-        out["summary"].drop("completed_at")
-        .join(sizes.select(key, "*"), "batch_id")
-        .join(last.select(key, F.col("details").alias("last_entry")), "batch_id")
-    )
+    parts = [
+        out["summary"].drop("completed_at"), sizes, last.select(F.col("details").alias("last_entry"))
+    ]
+    rows = union_all(parts, allow_missing=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def _profile_sql(table: str, columns: list[str]) -> str:

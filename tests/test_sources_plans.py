@@ -14,7 +14,7 @@ from stewardspark.session import scratch_path, shared_folder
 from stewardspark.sources import snapshots, tables
 
 
-def test_declared_model():
+def test_declared_model(spark):
     assert len(tables.SCHEMAS) == 35 and len(tables.PRIMARY_KEYS) == 31
     assert len(tables.FOREIGN_KEYS) == 42
     assert sum(len(c) for c in tables.NOT_NULL.values()) == 18
