@@ -19,6 +19,9 @@ SHARED_OWNERS = 3
 # Distinct characters that a live-looking value has at least.
 DISTINCT_CHARS = 8
 
+# Words that mark a value as a placeholder.
+PLAIN = "example|sample|changeme|placeholder|dummy|your|xxxx|0123456789|abcdef0|test"
+
 # Base kinds: pattern, the group that holds the value, characters the value needs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # From the lower bound on, a run is found whole, so these two need no later check.
@@ -99,7 +102,7 @@ def candidates(docs: DataFrame, text: str, owner: str, repository: str, doc_id:
 
 def _live_looking(value: Column) -> Column:
     chars = F.size(F.array_distinct(F.split(value, "")))
-    plain = value.rlike(r"(?i)example|sample|changeme|placeholder|dummy|your|xxxx|0123456789|abcdef0|test")
+    plain = value.rlike(f"(?i){PLAIN}")
     return (chars >= DISTINCT_CHARS) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~plain
 
 
@@ -167,3 +170,37 @@ def summary(result: DataFrame) -> DataFrame:
         n(lambda s: s["live"]).alias("n_live"),
         n(lambda s: s["shared"]).alias("n_shared"),
     )
+
+
+def check_sql(shared_owners: int = SHARED_OWNERS) -> str:
+    """The same summary of ``documents`` with the source as owner, in SQL.
+
+    Pieces between matches give the offsets here too; all else is counted from a flat table
+    of candidates.
+    """
+    groups = {"assign": (ASSIGN, 2, 6), "access": (ACCESS, 0, 0), "hex": (HEX, 0, 0), "loose": (LOOSE, 0, 0)}
+    parts = []
+    for rank, (kind, (pattern, group, least)) in enumerate(groups.items()):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"""SELECT doc_id, owner, '{kind}' AS kind, {rank} AS rank, gaps, found, i, regexp_extract(found[i], {quoted}, {group}) AS v
+  FROM (SELECT doc_id, owner, string_split_regex(t, {quoted}) AS gaps, regexp_extract_all(t, {quoted}) AS found FROM d),
+    unnest(range(1, len(found) + 1)) AS u(i) WHERE length(regexp_extract(found[i], {quoted}, {group})) >= {least}"""
+        )
+    every = "\n  UNION ALL ".join(parts)
+    counts = ", ".join(f"count_if(kind = '{k}')::BIGINT AS n_{k}" for k in BASE)
+    base = ", ".join(f"'{k}'" for k in BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS t FROM documents),
+c AS ({every}),
+f AS (SELECT doc_id, owner, kind, rank, v, list_sum(list_transform(gaps[1:i], lambda z: length(z)))
+    + coalesce(list_sum(list_transform(found[1:i - 1], lambda z: length(z))), 0) AS a, length(found[i]) AS n FROM c),
+o AS (SELECT v, count(DISTINCT owner) AS owners FROM f GROUP BY v),
+j AS (SELECT doc_id, kind, rank, a, kind || ':' || a || ':' || (a + n) AS span, owners >= {shared_owners} AS shared,
+  owners = 1 AND len(list_distinct(string_split(v, ''))) >= {DISTINCT_CHARS} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+    AND NOT regexp_matches(v, '{PLAIN}', 'i') AS live FROM f JOIN o USING (v)),
+g AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY a, rank) FILTER (kind IN ({base})) AS base,
+  string_agg(span, ',' ORDER BY a, rank) AS spans, count_if(live)::BIGINT AS n_live, count_if(shared)::BIGINT AS n_shared
+  FROM j WHERE kind IN ({base}) OR live GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared
+FROM d LEFT JOIN g USING (doc_id)"""

@@ -113,7 +113,7 @@ def _(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
-@query("op7_secret_scan")
+@query("op7_secret_scan", secret_scan.check_sql())
 def _(spark, sf_dir):
     return secret_scan.summary(secret_scan.scan(_documents(spark, sf_dir, "doc_id", "text", "source")))
 
