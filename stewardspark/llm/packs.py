@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .rows import column
+from .rows import column, ship
 
 PACK_BYTES = 2 << 20
 PACK_DOCUMENTS = 1 << 16
@@ -29,13 +29,14 @@ _SCHEMA = "ids array<bigint>, sizes array<bigint>, note binary, body binary"
 
 def pack_documents(
     docs: DataFrame, doc_id: str, text: str, note: Callable[[list[bytes]], bytes] | None = None,
-    pack_bytes: int = PACK_BYTES,
+    pack_bytes: int = PACK_BYTES, folder: str | None = None,
 ) -> DataFrame:
     """Columns ``pack``, ``ids``, ``sizes`` (bytes), ``note`` and ``body``.
 
     Null texts count as empty, null ids stay null, every row is kept. ``note`` may add what
     a later pass needs of the texts. A text longer than ``pack_bytes`` is a pack of its own.
     """
+    ship(docs.sparkSession)
     rows = docs.select(column(doc_id).cast("bigint").alias("i"), F.coalesce(column(text), F.lit("")).cast("binary").alias("t"))
 
     def pack(batches):
@@ -61,7 +62,7 @@ def pack_documents(
 
     arrow = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("note", pa.binary()), ("body", pa.binary())])
     spark = docs.sparkSession
-    path = scratch_path(spark, "packs")
+    path = f"{folder}/packs" if folder else scratch_path(spark, "packs")
     # The number is fixed by being written; a task that runs again writes its own file anew.
     number = F.expr("shiftleft(shiftright(m, 33), 20) + (m & 1048575)")
     packed = rows.mapInArrow(pack, _SCHEMA).withColumn("m", F.monotonically_increasing_id())

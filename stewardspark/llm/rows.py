@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 FOLDS = 5
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, so that tasks import it wherever the driver runs."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, f"{top.name}/{file.relative_to(top)}")
+    path = f"{scratch_path(spark, top.name)}.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def column(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -30,6 +57,7 @@ def with_results(
 
     The input columns stay inside the struct, so they never clash with result names.
     """
+    ship(df.sparkSession)
     packed = df.select(F.struct(*[column(c) for c in df.columns]).alias("row"))
     schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), *fields])
     names = schema.fieldNames()
