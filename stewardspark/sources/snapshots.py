@@ -31,11 +31,19 @@ def append(df: DataFrame, root: str, table: str) -> None:
     df.selectExpr(*columns).write.mode("append").parquet(f"{root}/{table}")
 
 
-def publish_snapshot(df: DataFrame, table: str, version: str) -> DataFrame:
-    """Writes the next snapshot of ``table`` and switches the view of that name to it."""
+def publish_snapshot(
+    df: DataFrame, table: str, version: str, folder: str | None = None
+) -> DataFrame:
+    """Writes the next snapshot of ``table`` and switches the view of that name to it.
+
+    Files go to ``folder``, or to the session's warehouse, which then has to be shared.
+    """
     spark = df.sparkSession
     stored = f"{table}__{version}"
-    df.write.mode("errorifexists").format("parquet").saveAsTable(stored)
+    writer = df.write.mode("errorifexists").format("parquet")
+    if folder:
+        writer = writer.option("path", f"{folder}/{stored}")
+    writer.saveAsTable(stored)
     spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {stored}")
     return spark.table(table)
 
@@ -45,10 +53,11 @@ def write_daily(
 ) -> None:
     """Materialises a daily model: one folder per day, rows sorted inside the files.
 
-    A rewrite replaces only the days it holds.
+    A rewrite replaces only the days it holds. Rows are gathered by day, and a day too large
+    for one task is split into several files at run time.
     """
     (
-        df.repartition(day)
+        df.hint("rebalance", day)
         .sortWithinPartitions(day, *sort)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -49,6 +49,12 @@ def test_publish_switches_the_view(spark, rows):
         snapshots.publish_snapshot(spark.range(1).toDF("id"), name, "v2")
 
 
+def test_publish_into_a_given_folder(spark, rows):
+    folder, name = scratch_path(spark, "published"), "snap_" + scratch_path(spark, "x")[-8:]
+    snapshots.publish_snapshot(spark.range(3).toDF("id"), name, "v1", folder)
+    assert spark.read.parquet(f"{folder}/{name}__v1").count() == 3 == spark.table(name).count()
+
+
 def test_daily_write_replaces_only_its_days(spark, rows):
     path = scratch_path(spark, "daily")
     ddl = "metric_date date, domain_name string, n int"
