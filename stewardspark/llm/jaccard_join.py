@@ -8,9 +8,11 @@ and pairs of frequent tokens are indexed instead of single ones, in classes so t
 number stays in proportion to the set. Candidates are verified on the whole sets.
 
 Equal sets are one node from the start. Classes of linked documents are grown in rounds: the
-nodes under a signature are compared with one of them, and only nodes that are not yet
-linked are compared further, so a group of copies costs about one comparison per copy. A
-last round compares every candidate pair whose nodes are still in different classes.
+nodes under a signature are compared with one of them, first with the one that has the fewest
+tokens of its own, and only nodes that are not yet linked are compared further, so a group of
+copies costs about one comparison per copy. A last round compares every candidate pair whose
+nodes are still in different classes. Tokens that no other document holds cannot be shared:
+pairs that are too far apart by their sizes without those tokens are never compared.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,59 +35,78 @@ RARE = 100
 # A class of frequent tokens holds about this many tokens of a set.
 CLASS_TOKENS = 16
 STAR_ROUNDS = 3
-REMEMBERED = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = 0x9E3779B97F4A7C15
 _NOTE = 20
 
 
-class _Words(dict):
-    """Hash of a word, computed once while it is remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: bytes, words: _Words, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes; a text of fewer words is one shingle, none is empty."""
-    found = text.translate(_LOWER).split()
-    if not found:
+_U = np.uint64
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _U(_M))
+_IN_WORD = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
+_powers = np.ones(1, np.uint64)
+
+
+def _power(n: int) -> np.ndarray:
+    """The first ``n`` powers of the multiplier or more, kept by the process."""
+    global _powers
+    while len(_powers) < n:
+        step = pow(_M, len(_powers), 1 << 64)
+        _powers = np.concatenate((_powers, _powers * _U(step)))
+    return _powers
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    """A hash per word of a lower-cased text: a polynomial over its bytes, mixed with its length."""
+    data = np.frombuffer(text, np.uint8)
+    inside = _IN_WORD[data]
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    chars = data[inside]
+    first = np.cumsum(lengths) - lengths
+    place_in = np.arange(len(chars)) - np.repeat(first, lengths)
+    h = np.add.reduceat(_BYTES[chars] * _power(int(lengths.max()))[place_in], first)
+    return _mix(h + lengths.astype(np.uint64))
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct shingle hashes; a text of fewer words is one shingle, none is empty."""
+    h = _word_hashes(text.translate(_LOWER))
+    if not len(h):
+        return h
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = out * np.uint64(_M) + h[k : len(h) - n + 1 + k]
-    return np.unique(_mix(out))
+        out = out * _U(_M) + h[k : len(h) - n + 1 + k]
+    out = np.sort(_mix(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def _note(texts: list[bytes]) -> bytes:
     """Digest and size of each set, twenty bytes per document."""
-    words, out = _Words(), []
+    out = []
     for t in texts:
-        s = shingles(t, words)
+        s = shingles(t)
         out.append(hashlib.blake2b(s.tobytes(), digest_size=_NOTE - 4).digest() + len(s).to_bytes(4, "big"))
     return b"".join(out)
 
 
 def _keys(buckets: int):
     def keys_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        words, seen, sets = _Words(), set(), [np.zeros(0, np.uint64)]
+        seen, sets = set(), [np.zeros(0, np.uint64)]
         for k, t in enumerate(texts_of(row["body"], row["sizes"])):
             digest = row["note"][k * _NOTE : (k + 1) * _NOTE]
             if digest not in seen:
                 seen.add(digest)
-                sets.append(shingles(t, words))
+                sets.append(shingles(t))
         return np.unique(place(np.concatenate(sets), buckets), return_counts=True)
 
     return keys_of
@@ -153,17 +173,20 @@ def members(packs: DataFrame) -> DataFrame:
 
 
 def index(packs: DataFrame, heads: DataFrame, percent: int, rare: int) -> DataFrame:
-    """One row per distinct set that has a signature: ``node``, ``n``, ``keys``, ``body``."""
+    """One row per distinct set that has a signature: ``node``, ``n``, ``s``, ``keys``, ``body``.
+
+    ``s`` is the number of tokens that other documents may hold as well.
+    """
     buckets = bucket_count(packs)
     counts = repeated_keys(packs, _keys(buckets), buckets)
     chosen = heads.groupBy(F.floor(F.col("node") / PACK_DOCUMENTS).cast("bigint").alias("pack")).agg(
         F.collect_list(F.col("node") % PACK_DOCUMENTS).alias("chosen")
     )
     told = counts.unionByName(chosen, allowMissingColumns=True)
-    arrow = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("body", pa.binary())])
+    arrow = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("keys", pa.list_(pa.int64())), ("body", pa.binary())])
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, out, words = right.to_pylist(), [], _Words()
+        rows, out = right.to_pylist(), []
         wanted = [k for r in rows if r["chosen"] is not None for k in r["chosen"]]
         if left.num_rows and wanted:
             found, totals = known([r for r in rows if r["chosen"] is None])
@@ -171,29 +194,27 @@ def index(packs: DataFrame, heads: DataFrame, percent: int, rare: int) -> DataFr
             texts = texts_of(pack["body"], pack["sizes"])
             squeezer = zstandard.ZstdCompressor(level=3)
             for k in sorted(wanted):
-                tokens = shingles(texts[k], words)
-                keys = signatures(tokens, look_up_any(tokens, found, totals, buckets), percent, rare)
+                tokens = shingles(texts[k])
+                held = look_up(place(tokens, buckets), found, totals)
+                keys = signatures(tokens, held, percent, rare)
                 if len(keys):
                     out.append({
                         "node": pack["pack"] * PACK_DOCUMENTS + k, "n": len(tokens),
-                        "keys": keys.astype(np.int64), "body": squeezer.compress(texts[k]),
+                        "s": int((held > 1).sum()), "keys": keys.astype(np.int64), "body": squeezer.compress(texts[k]),
                     })
         return pa.Table.from_pylist(out, schema=arrow)
 
     needed = packs.select("pack", "sizes", "body")
     return needed.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(
-        sign, "node bigint, n bigint, keys array<bigint>, body binary"
+        sign, "node bigint, n bigint, s bigint, keys array<bigint>, body binary"
     )
 
 
-def look_up_any(tokens: np.ndarray, found: np.ndarray, totals: np.ndarray, buckets: int) -> np.ndarray:
-    """Counts of unplaced tokens."""
-    return look_up(place(tokens, buckets), found, totals)
-
-
-def _alike(a: Column, b: Column, percent: int) -> Column:
-    """Sizes that similar sets can have."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Whether two nodes can be similar, by their sizes and the tokens they may share."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    shared = F.least(f"{x}.s", f"{y}.s")
+    return shared * (100 + percent) >= (n + m) * percent
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -203,14 +224,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("either", pa.int64())])
 
     def compare(batches):
-        words, sets = _Words(), {}
+        sets = {}
         reader = zstandard.ZstdDecompressor()
 
         def load(node, data):
             if node not in sets:
                 if len(sets) > 200:
                     sets.clear()
-                sets[node] = shingles(reader.decompress(data), words)
+                sets[node] = shingles(reader.decompress(data))
             return sets[node]
 
         for batch in batches:
@@ -256,8 +277,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _candidates(index: DataFrame) -> DataFrame:
-    """(key, node, n) of the keys that several nodes hold."""
-    flat = index.select(F.explode("keys").alias("key"), "node", "n")
+    """(key, node, n, s) of the keys that several nodes hold."""
+    flat = index.select(F.explode("keys").alias("key"), "node", "n", "s")
     shared = flat.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     return _stored(flat.join(shared, "key", "left_semi"), "candidates")
 
@@ -266,7 +287,7 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct candidate pairs under a key whose nodes are in different classes."""
     return (
         rows.alias("x").join(rows.alias("y"), F.expr("x.key = y.key AND x.node < y.node AND x.class <> y.class"))
-        .where(_alike(F.col("x.n"), F.col("y.n"), percent))
+        .where(_alike("x", "y", percent))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
     )
@@ -328,21 +349,22 @@ def classes(
 
 def _grow(spark: SparkSession, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Classes of linked nodes from all candidate pairs; exact after the last round."""
-    edges = tested = None
+    tested = None
     label = spark.createDataFrame([], "node bigint, class bigint")
     turn = 0
     while turn <= STAR_ROUNDS:
         placed = rows.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
         if turn < STAR_ROUNDS:
-            # One node per key, the same one wherever it is the smallest by this turn's hash.
-            middle = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "class"))
+            # One node per key, the same one wherever it comes first by this turn's order.
+            own = F.col("n") - F.col("s") if turn == 0 else F.lit(0).cast("bigint")
+            middle = F.min(F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)), "node", "n", "s", "class"))
             stars = placed.groupBy("key").agg(
                 middle.alias("m"), (F.min("class") != F.max("class")).alias("open")
-            ).where("open")
+            ).where("open").select("key", "m")
             pairs = (
-                placed.join(stars, "key")
-                .where((F.col("class") != F.col("m.class")) & _alike(F.col("n"), F.col("m.n"), percent))
-                .select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
+                placed.alias("x").join(stars, "key")
+                .where((F.col("x.class") != F.col("m.class")) & _alike("x", "m", percent))
+                .select(F.least("x.node", "m.node").alias("a"), F.greatest("x.node", "m.node").alias("b"))
                 .distinct()
             )
         else:
@@ -357,13 +379,27 @@ def _grow(spark: SparkSession, rows: DataFrame, nodes: DataFrame, percent: int)
             continue
         new = _stored(verified(pairs, nodes, percent), "links")
         if not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            label = components(edges)
+            label = _joined(label, new)
         tested = pairs if tested is None else tested.unionByName(pairs)
         turn += 1
     return label
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after new links; only classes that a new link touches are looked at again."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    fresh = ends.join(label, "node", "left_anti").select("node", F.col("node").alias("class"))
+    known = label.unionByName(fresh)
+    between = (
+        links.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
+        .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    )
+    merged = components(between).toDF("class", "into")
+    return _stored(
+        known.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class")), "labels"
+    )
+
+
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are the smallest of their component, columns unchanged.
 
