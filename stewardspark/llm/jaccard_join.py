@@ -7,12 +7,13 @@ token with the other's prefix. Where a prefix has to use frequent tokens, it is
 and pairs of frequent tokens are indexed instead of single ones, in classes so that their
 number stays in proportion to the set. Candidates are verified on the whole sets.
 
-Equal sets are one node from the start. Classes of linked documents are grown in rounds: the
-nodes under a signature are compared with one of them, first with the one that has the fewest
-tokens of its own, and only nodes that are not yet linked are compared further, so a group of
-copies costs about one comparison per copy. A last round compares every candidate pair whose
-nodes are still in different classes. Tokens that no other document holds cannot be shared:
-pairs that are too far apart by their sizes without those tokens are never compared.
+Equal sets are one node from the start. Classes of linked documents are grown in two rounds.
+First the nodes under a signature are compared with one of them, the one that has the fewest
+tokens of its own, so a group of copies costs about one comparison per copy. Signatures whose
+nodes are then in different classes tie these classes into groups, and all nodes of a group
+that are still apart are compared block by block, without emitting pairs. Tokens that no
+other document holds cannot be shared: pairs that are too far apart by their sizes without
+those tokens are never compared.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import drop_folder, scratch_path
 from .packs import PACK_DOCUMENTS, bucket_count, known, look_up, pack_documents, place, repeated_keys, texts_of
 
 SHINGLE = 5
@@ -34,7 +35,11 @@ PERCENT = 80
 RARE = 100
 # A class of frequent tokens holds about this many tokens of a set.
 CLASS_TOKENS = 16
-STAR_ROUNDS = 3
+# Nodes and tokens of a block; two blocks are compared in one task.
+BLOCK_NODES = 256
+BLOCK_TOKENS = 200_000
+# Tokens whose common occurrences are counted at once.
+SLICE_TOKENS = 8_192
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = 0x9E3779B97F4A7C15
@@ -155,11 +160,24 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, r
     return np.unique(np.concatenate(out))
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows, written to the shared folder and read back."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class _Work:
+    """A folder of tables in between, removed at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.count = spark, scratch_path(spark, "jaccard"), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows, written to the shared folder and read back."""
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def end(self, result: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "jaccard-result")
+        result.write.parquet(path)
+        drop_folder(self.spark, self.folder)
+        return self.spark.read.schema(result.schema).parquet(path)
 
 
 def members(packs: DataFrame) -> DataFrame:
@@ -247,20 +265,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(compare, "a bigint, b bigint, common bigint, either bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(work: _Work, edges: DataFrame) -> DataFrame:
     """(node, class): the smallest node reachable, for every node of an edge.
 
     Each step takes the smallest class among the neighbours and then follows it once, so
     long chains halve. Every step is written to the shared folder.
     """
-    both = _stored(
+    both = work.keep(
         edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        .unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges",
+        .unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     )
-    label = _stored(
+    label = work.keep(
         both.groupBy("u").agg(F.min("v").alias("m")).select(
             F.col("u").alias("node"), F.least("u", "m").alias("class")
-        ), "classes",
+        )
     )
     while True:
         near = both.join(label.toDF("v", "c"), "v").groupBy("u").agg(F.min("c").alias("c"))
@@ -270,23 +288,23 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = closer.join(label.toDF("class", "next"), "class", "left").select(
             "node", "old", F.least("class", F.coalesce("next", "class")).alias("class")
         )
-        step = _stored(jumped, "classes")
+        step = work.keep(jumped)
         label = step.select("node", "class")
         if step.where("class <> old").isEmpty():
             return label
 
 
-def _candidates(index: DataFrame) -> DataFrame:
+def _candidates(work: _Work, index: DataFrame) -> DataFrame:
     """(key, node, n, s) of the keys that several nodes hold."""
     flat = index.select(F.explode("keys").alias("key"), "node", "n", "s")
     shared = flat.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    return _stored(flat.join(shared, "key", "left_semi"), "candidates")
+    return work.keep(flat.join(shared, "key", "left_semi"))
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs under a key whose nodes are in different classes."""
+    """Distinct candidate pairs under a key."""
     return (
-        rows.alias("x").join(rows.alias("y"), F.expr("x.key = y.key AND x.node < y.node AND x.class <> y.class"))
+        rows.alias("x").join(rows.alias("y"), F.expr("x.key = y.key AND x.node < y.node"))
         .where(_alike("x", "y", percent))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
@@ -301,24 +319,24 @@ def links(
     This is the join itself; its output grows with the square of a group of near copies.
     ``classes`` gives the linked groups without it.
     """
-    packs = pack_documents(docs, doc_id, text, _note)
-    heads = _heads(packs)
-    nodes = _stored(index(packs, heads, percent, rare), "index")
-    rows = _candidates(nodes).withColumn("class", F.col("node"))
+    work = _Work(docs.sparkSession)
+    packs = pack_documents(docs, doc_id, text, _note, folder=work.folder)
+    heads = _heads(work, packs)
+    nodes = work.keep(index(packs, heads, percent, rare))
+    found = verified(_pairs(_candidates(work, nodes), percent), nodes, percent)
     named = heads.select("node", "first_id")
-    found = verified(_pairs(rows, percent), nodes, percent)
-    return (
+    return work.end(
         found.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
         .select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("other_id"), "common", "either")
     )
 
 
-def _heads(packs: DataFrame) -> DataFrame:
+def _heads(work: _Work, packs: DataFrame) -> DataFrame:
     """One node per distinct set: its number, the smallest id and the digest."""
-    return _stored(
+    return work.keep(
         members(packs).where("n > 0").groupBy("digest").agg(
             F.min("node").alias("node"), F.min("doc_id").alias("first_id")
-        ), "heads",
+        )
     )
 
 
@@ -331,73 +349,113 @@ def classes(
     null text, is its own component. Rows that share an id are documents of their own; a
     null id is never the smallest unless all ids of the component are null.
     """
-    spark = docs.sparkSession
-    packs = pack_documents(docs, doc_id, text, _note)
-    heads = _heads(packs)
-    nodes = _stored(index(packs, heads, percent, rare), "index")
-    rows = _candidates(nodes)
-    label = _grow(spark, rows, nodes, percent)
+    work = _Work(docs.sparkSession)
+    packs = pack_documents(docs, doc_id, text, _note, folder=work.folder)
+    heads = _heads(work, packs)
+    nodes = work.keep(index(packs, heads, percent, rare))
+    label = _grow(work, _candidates(work, nodes), nodes, percent)
     named = heads.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     smallest = named.groupBy("class").agg(F.min("first_id").alias("component_id"))
     resolved = named.select("digest", "class").join(smallest, "class").select("digest", "component_id")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return (
+    return work.end(
         members(packs).join(resolved, "digest", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     )
 
 
-def _grow(spark: SparkSession, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Classes of linked nodes from all candidate pairs; exact after the last round."""
-    tested = None
-    label = spark.createDataFrame([], "node bigint, class bigint")
-    turn = 0
-    while turn <= STAR_ROUNDS:
-        placed = rows.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        if turn < STAR_ROUNDS:
-            # One node per key, the same one wherever it comes first by this turn's order.
-            own = F.col("n") - F.col("s") if turn == 0 else F.lit(0).cast("bigint")
-            middle = F.min(F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)), "node", "n", "s", "class"))
-            stars = placed.groupBy("key").agg(
-                middle.alias("m"), (F.min("class") != F.max("class")).alias("open")
-            ).where("open").select("key", "m")
-            pairs = (
-                placed.alias("x").join(stars, "key")
-                .where((F.col("x.class") != F.col("m.class")) & _alike("x", "m", percent))
-                .select(F.least("x.node", "m.node").alias("a"), F.greatest("x.node", "m.node").alias("b"))
-                .distinct()
-            )
-        else:
-            still = placed.groupBy("key").agg((F.min("class") != F.max("class")).alias("open")).where("open")
-            pairs = _pairs(placed.join(still.select("key"), "key", "left_semi"), percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = _stored(pairs, "pairs")
-        if pairs.isEmpty():
-            # Nothing left for this middle node: compare all that is still apart, then stop.
-            turn = STAR_ROUNDS if turn < STAR_ROUNDS else STAR_ROUNDS + 1
-            continue
-        new = _stored(verified(pairs, nodes, percent), "links")
-        if not new.isEmpty():
-            label = _joined(label, new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        turn += 1
-    return label
-
-
-def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+def _grow(work: _Work, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Classes of linked nodes from all candidate pairs."""
+    # One node per key, the same one wherever it comes first in this order.
+    middle = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), F.xxhash64("node"), "node", "n", "s"))
+    stars = rows.groupBy("key").agg(middle.alias("m"))
+    pairs = work.keep(
+        rows.alias("x").join(stars, "key")
+        .where((F.col("x.node") != F.col("m.node")) & _alike("x", "m", percent))
+        .select(F.least("x.node", "m.node").alias("a"), F.greatest("x.node", "m.node").alias("b"))
+        .distinct()
+    )
+    label = work.keep(rows.select("node", F.col("node").alias("class")).distinct())
+    label = _joined(work, label, work.keep(verified(pairs, nodes, percent)))
+    return _joined(work, label, work.keep(_apart(work, rows.join(label, "node"), nodes, percent)))
+
+
+def _joined(work: _Work, label: DataFrame, links: DataFrame) -> DataFrame:
     """Classes after new links; only classes that a new link touches are looked at again."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    fresh = ends.join(label, "node", "left_anti").select("node", F.col("node").alias("class"))
-    known = label.unionByName(fresh)
+    if links.isEmpty():
+        return label
     between = (
-        links.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
+        links.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b")
         .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     )
-    merged = components(between).toDF("class", "into")
-    return _stored(
-        known.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class")), "labels"
+    merged = components(work, between).toDF("class", "into")
+    return work.keep(
+        label.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class"))
+    )
+
+
+def _apart(work: _Work, placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links among candidates that are still in different classes.
+
+    Classes that share a key form a group; its nodes are dealt into blocks by hash, and each
+    pair of blocks is one small group of rows, compared in a task. A block has a bounded
+    number of nodes and tokens; a node is sent once per block of its group.
+    """
+    ties = work.keep(
+        placed.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"))
+        .where("first <> last").select("key", "first")
+    )
+    if ties.isEmpty():
+        return placed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    open_rows = work.keep(placed.join(ties, "key").select("node", "n", "class", "first").distinct())
+    edges = open_rows.where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    group_of = components(work, edges.distinct()).toDF("class", "tied")
+    inside = work.keep(open_rows.select("node", "n", "class").distinct().join(group_of, "class"))
+    sizes = inside.groupBy("tied").agg(
+        F.greatest(
+            F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_TOKENS)
+        ).cast("int").alias("blocks")
+    )
+    dealt = (
+        inside.join(sizes, "tied")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("node", "class", "tied", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        .join(nodes.select("node", "body"), "node")
     )
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, own, kind = (table.column(c).to_numpy() for c in ("node", "own", "class"))
+        reader = zstandard.ZstdDecompressor()
+        sets = [shingles(reader.decompress(x)) for x in table.column("body").to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        common = _common(sets)
+        fits = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        fits &= (kind[:, None] != kind[None, :]) & (node[:, None] < node[None, :])
+        if table.column("low")[0].as_py() != table.column("high")[0].as_py():
+            fits &= own[:, None] != own[None, :]
+        i, j = np.nonzero(fits)
+        return pa.Table.from_pydict({"a": node[i], "b": node[j]}, schema=arrow)
+
+    return dealt.groupBy("tied", "low", "high").applyInArrow(compare, "a bigint, b bigint")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common tokens of every two sets."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens, place_of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[place_of]
+    owner, column = owner[keep], column[place_of[keep]]
+    for start in range(0, int(shared.sum()), SLICE_TOKENS):
+        here = (column >= start) & (column < start + SLICE_TOKENS)
+        held = np.zeros((len(sets), SLICE_TOKENS), np.float32)
+        held[owner[here], column[here] - start] = 1
+        out += held @ held.T
+    return out.astype(np.int64)
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
