@@ -46,6 +46,29 @@ def _group_keys(keys: Sequence[str]) -> dict[str, Column]:
     }
 
 
+def _bucketed(
+    df: DataFrame, group: Sequence[str], at: str, bucket: str, split_rows: int | None, finer: str
+) -> DataFrame:
+    """Adds the time bucket of each row.
+
+    With ``split_rows``, a (key, bucket) of more rows is cut at the ``finer`` unit: rows are
+    counted per (key, bucket) with partial counts, and the few full ones are joined back; that
+    join is split by Spark where it is skewed. A bucket is cut for all its rows or for none,
+    so buckets stay in time order.
+    """
+    plain = df.withColumn("_bucket", F.date_trunc(bucket, at))
+    if split_rows is None:
+        return plain
+    full = (
+        plain.groupBy(*group, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > split_rows)
+        .select(*group, "_bucket", F.lit(True).alias("_full"))
+    )
+    cut = F.when(F.col("_full"), F.date_trunc(finer, at)).otherwise(F.col("_bucket"))
+    return plain.join(full, [*group, "_bucket"], "left").withColumn("_bucket", cut).drop("_full")
+
+
 def running_max(
     df: DataFrame,
     keys: Sequence[str],
@@ -55,6 +78,8 @@ def running_max(
     out: str,
     bucket: str = "day",
     include_current: bool = False,
+    split_rows: int | None = None,
+    finer: str = "minute",
 ) -> DataFrame:
     """Running maximum of ``value`` per key in ``order``, split by time.
 
@@ -62,14 +87,12 @@ def running_max(
     from a second window over one row per (key, bucket). A key that holds most rows is
     thus spread over its buckets instead of filling one task. ``at`` leads ``order`` and
     rows without it are left out; callers that keep such rows give them a time first. The
-    join of the two keeps the window's partitioning.
+    join of the two keeps the window's partitioning. ``split_rows`` cuts full buckets finer.
     """
     group = _group_keys(keys)
-    keyed = (
-        df.where(F.col(at).isNotNull())
-        .withColumns(group)
-        .withColumn("_bucket", F.date_trunc(bucket, at))
-        .withColumn("_value", value)
+    keyed = _bucketed(
+        df.where(F.col(at).isNotNull()).withColumns(group).withColumn("_value", value),
+        list(group), at, bucket, split_rows, finer,
     )
     inside = (
         Window.partitionBy(*group, "_bucket")
@@ -101,13 +124,16 @@ def last_known(
     start: str,
     payload: Sequence[str],
     bucket: str = "day",
+    split_rows: int | None = None,
+    finer: str = "minute",
 ) -> DataFrame:
     """As-of join: each fact with the payload of the newest history row not after it.
 
     Facts and history are merged in time order inside (key, time bucket); the newest row
     of earlier buckets is carried in from one row per (key, bucket). No pairs are built
     and a hot key is split by time. Equal starts resolve to the greatest payload; a NULL
-    key or time finds nothing, and such facts are passed around the shuffle.
+    key or time finds nothing, and such facts are passed around the shuffle. ``split_rows``
+    cuts the buckets of a hot key finer, at the price of a count and a join.
     """
     group = _group_keys(keys)
     types = dict(history.dtypes)
@@ -127,12 +153,12 @@ def last_known(
         F.struct(*payload).alias("_payload"),
         F.lit(0).alias("_kind"),
     )
-    merged = (
+    merged = _bucketed(
         facts.withColumns(group)
         .withColumn("_at", F.col(at))
         .withColumn("_kind", F.lit(1))
-        .unionByName(known, allowMissingColumns=True)
-        .withColumn("_bucket", F.date_trunc(bucket, "_at"))
+        .unionByName(known, allowMissingColumns=True),
+        list(group), "_at", bucket, split_rows, finer,
     )
     inside = (
         Window.partitionBy(*group, "_bucket")

@@ -27,15 +27,17 @@ def result_owner_as_of(
     owners: DataFrame,
     ts: str = "created_at",
     bucket: str = "day",
+    split_rows: int | None = None,
 ) -> DataFrame:
     """Each fact with the ownership that last began before it, if that is still in force.
 
     Of owners that began at the same time the greatest party id counts. An ownership that
-    had ended by then leaves the owner NULL.
+    had ended by then leaves the owner NULL. Give ``split_rows`` where a dataset may hold more
+    facts in a bucket than a task should sort.
     """
     payload = ["party_id", "role_type", "effective_from", "effective_to"]
     known = last_known(
-        facts, owners, ["dataset_id"], ts, "effective_from", payload, bucket
+        facts, owners, ["dataset_id"], ts, "effective_from", payload, bucket, split_rows
     )
     held = in_force(F.col(ts), "effective_from", "effective_to")
     return known.select(

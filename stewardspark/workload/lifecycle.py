@@ -60,7 +60,7 @@ def _(t):
         "l_quantity",
         F.col("l_shipdate").alias("created_at"),
     )
-    return k.result_owner_as_of(facts, t.map_dataset_owner, bucket="day")
+    return k.result_owner_as_of(facts, t.map_dataset_owner, bucket="month", split_rows=1_000_000)
 
 
 @query(

@@ -20,9 +20,11 @@ def hot_key(rng) -> str | None:
     return rng.choices(["hot", "a", "b", "c", None], [12, 2, 2, 1, 1])[0]
 
 
-@pytest.mark.parametrize("bucket", ["hour", "day", "year"])
+@pytest.mark.parametrize(
+    "bucket, split", [("hour", None), ("day", None), ("year", None), ("year", 10), ("day", 2)]
+)
 @pytest.mark.parametrize("seed_value", [1, 2])
-def test_last_known_against_brute_force(spark, bucket, seed_value):
+def test_last_known_against_brute_force(spark, bucket, split, seed_value):
     rng = random.Random(seed_value)
     facts = [(i, hot_key(rng), at(rng.randrange(400)) if i % 17 else None) for i in range(150)]
     history = [
@@ -31,7 +33,7 @@ def test_last_known_against_brute_force(spark, bucket, seed_value):
     got = last_known(
         spark.createDataFrame(facts, "id int, k string, ts timestamp_ntz"),
         spark.createDataFrame(history, "k string, since timestamp_ntz, who string"),
-        ["k"], "ts", "since", ["who", "since"], bucket,
+        ["k"], "ts", "since", ["who", "since"], bucket, split, "hour",
     )
     found = {r.id: r.who for r in got.collect()}
     expect = {}
@@ -44,13 +46,24 @@ def test_last_known_against_brute_force(spark, bucket, seed_value):
     assert found == expect
 
 
-@pytest.mark.parametrize("bucket", ["hour", "month"])
+def test_a_hot_key_is_cut_into_many_buckets(spark):
+    """One key with most facts of a month: no window group holds more than a finer bucket."""
+    from stewardspark.operators.common import _bucketed
+
+    rows = [("hot", at(i / 50)) for i in range(5000)] + [("a", at(5)), ("b", at(7))]
+    df = spark.createDataFrame(rows, "_k0 string, ts timestamp_ntz")
+    cut = _bucketed(df, ["_k0"], "ts", "month", 1000, "hour").groupBy("_k0", "_bucket").count()
+    assert cut.where("_k0 = 'hot'").count() == 100 and cut.agg(F.max("count")).first()[0] == 50
+    assert cut.where("_k0 <> 'hot'").count() == 2
+
+
+@pytest.mark.parametrize("bucket, split", [("hour", None), ("month", None), ("month", 5)])
 @pytest.mark.parametrize("include_current", [True, False])
-def test_running_max_against_brute_force(spark, bucket, include_current):
+def test_running_max_against_brute_force(spark, bucket, split, include_current):
     rng = random.Random(7)
     data = [(i, hot_key(rng), at(rng.randrange(900)), rng.randrange(1000)) for i in range(200)]
     df = spark.createDataFrame(data, "id int, k string, ts timestamp_ntz, v int")
-    got = running_max(df, ["k"], ["ts", "id"], "ts", F.col("v"), "top", bucket, include_current)
+    got = running_max(df, ["k"], ["ts", "id"], "ts", F.col("v"), "top", bucket, include_current, split, "day")
     found = {r.id: r.top for r in got.collect()}
     for i, key, ts, v in data:
         seen = [w for j, kk, t, w in data if kk == key and (t, j) < (ts, i)]
