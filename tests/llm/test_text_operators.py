@@ -247,6 +247,24 @@ def test_jaccard_join(spark, rare):
     assert [got[i] for i, _ in rows] == [(len(s), c) for s, c in zip(sets, want)]
 
 
+def test_jaccard_join_in_many_blocks(spark, monkeypatch):
+    """Copies that are linked through each other only, compared across blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 3)
+    draw = random.Random(21)
+    base = [f"w{draw.randrange(40)}" for _ in range(80)]
+    rows = []
+    for i in range(60):
+        if i % 20 == 0:
+            copy = list(base)
+        copy = list(copy)
+        copy[draw.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = brute.classes(len(rows), brute.linked([brute.shingles(t) for _, t in rows]))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(frame, rare=2).collect()}
+    assert [got[i] for i, _ in rows] == want and len(set(want)) < len(rows)
+
+
 @pytest.mark.parametrize("rare", [1, jaccard_join.RARE])
 def test_jaccard_links(spark, rare):
     rows = near_copies(12)
