@@ -29,8 +29,8 @@ LENGTH = 100
 GRAM = 32  # a power of two
 # Occurrences from which on an anchor's strings are dealt out one by one.
 HOT = 20_000
-# Positions hashed at once.
-SLICE = 1 << 20
+# Positions hashed at once, few enough for a processor's cache.
+SLICE = 1 << 15
 
 _NO_ID = np.int64(2**63 - 1)
 _U = np.uint64
