@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .packs import bucket_count, known, look_up, pack_documents, place, repeated_keys, squeeze, texts_of, unsqueeze
+from .rows import write_table
 
 LENGTH = 100
 GRAM = 32  # a power of two
@@ -347,11 +348,9 @@ def deduplicate(
     packs = pack_documents(docs, doc_id, text)
     buckets = bucket_count(packs)
     counts = repeated_keys(packs, _keys(buckets, length, gram), buckets)
-    spark = docs.sparkSession
-    path = scratch_path(spark, "suffix-runs")
     cut = runs(packs, counts, buckets, length, gram, hot)
-    cut.write.option("compression", "none").parquet(path)
-    found = repeats(spark.read.schema(cut.schema).parquet(path), length)
+    path = scratch_path(docs.sparkSession, "suffix-runs")
+    found = repeats(write_table(cut, path, compression="none"), length)
     fields = [
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()),
         ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
