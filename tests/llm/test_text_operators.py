@@ -131,6 +131,45 @@ def test_pii_adds_loose_spans(spark):
     assert all(s.startswith("phone:") for s in found[:60]) and not any(found[60:120])
 
 
+IBANS = (
+    "AT611904300234573201 BE68539007547034 CH9300762011623852957 CZ6508000000192000145399 DE89370400440532013000 "
+    "DK5000400440116243 ES9121000418450200051332 FI2112345600000785 FR1420041010050500013M02606 GB29NWBK60161331926819 "
+    "IE29AIBK93115212345678 IT60X0542811101000000123456 LU280019400644750000 NL91ABNA0417164300 NO9386011117947 "
+    "PL61109010140000071219812874 PT50000201231234567890154 SE4550000000058398257466"
+).split()
+
+
+@pytest.mark.parametrize("iban", IBANS)
+def test_pii_iban_of_every_country(iban):
+    assert {i[:2] for i in IBANS} == pii._COUNTRIES
+    spaced = " ".join(iban[k : k + 4] for k in range(0, len(iban), 4))
+    for body in (iban, spaced):
+        for before, after in (("", ""), ("konto ", " heute"), ("(", ")"), ("compte ", " AB 1234 CD"), ("", "é")):
+            text = before + body + after
+            span = (len(before), pii.KINDS.index("iban"), len(before) + len(body))
+            assert span in pii.loose_spans(text, pii.base_spans(text)), text
+            assert pii.votes(text, span, False)[5:7] == "++"
+
+
+def test_pii_iban_ends():
+    """Neighbours end where the next begins; a wrong number has its country's length."""
+    two, wrong, short = "BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 01", "AB12 3456 7890"
+    assert pii.iban_spans(two) == [(0, 19), (20, 47)]
+    assert pii.iban_spans(f"AB12 CDEF 1234 {two}") == [(15, 34), (35, 62)]
+    assert pii.iban_spans(wrong + " AB") == [(0, 27)] and pii.iban_spans(short) == []
+
+
+def test_pii_adds_ibans(spark):
+    texts = [f"iban {i}" if k % 2 else f"konto {i[:4]} {' '.join(i[j : j + 4] for j in range(4, len(i), 4))}" for i in IBANS for k in range(4)]
+    texts += [f"order QX{10 + k} {1000 + k} 2000 {3000 + k} of the page" for k in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = pii.candidates(frame)
+    found = {r["doc_id"]: r["spans"].split(",") for r in pii.detect(spans, pii.fit(spans)).collect()}
+    for k, text in enumerate(texts[:-60]):
+        assert f"iban:{text.index(' ') + 1}:{len(text)}" in found[k], text
+    assert not any(s.startswith("iban") for k in range(len(texts) - 60, len(texts)) for s in found[k])
+
+
 def test_secret_base_spans(tricky):
     frame, rows = tricky
     found = {r["doc_id"]: r for r in secret_scan.summary(secret_scan.scan(frame)).collect()}
