@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop_folder, scratch_path
 from .packs import PACK_DOCUMENTS, bucket_count, known, look_up, pack_documents, place, repeated_keys, texts_of
+from .rows import column
 
 SHINGLE = 5
 PERCENT = 80
@@ -459,10 +460,28 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are the smallest of their component, columns unchanged.
+    """One row of each component, columns unchanged: the one with the smallest id.
 
-    Ids are taken to be unique; rows that share the smallest id all stay.
+    Rows are told apart by a number of their own, so ids may repeat or be null. Null ids come
+    last; among rows that share the smallest id the one with the smallest number stays. Rows
+    without words are components of their own and all stay.
     """
-    kept = classes(docs, doc_id, text, **options).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept")), "left_semi")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "numbered")
+    # The number is fixed by being written.
+    rows = docs.select(
+        F.struct(*[column(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("node")
+    )
+    rows.write.option("compression", "zstd").parquet(path)
+    numbered = spark.read.schema(rows.schema).parquet(path)
+    texts = numbered.select("node", F.col("row").getField(text).alias("text"))
+    found = classes(texts, "node", "text", **options).select(F.col("doc_id").alias("node"), "component_id")
+    own = F.col("row").getField(doc_id).cast("bigint")
+    order = F.struct(own.isNull().alias("unnamed"), own.alias("id"), "node")
+    kept = (
+        numbered.select("node", order.alias("order")).join(found, "node")
+        .groupBy("component_id").agg(F.min("order").alias("least")).select("least.node")
+    )
+    return numbered.join(kept, "node", "left_semi").select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns]
+    )

@@ -326,6 +326,29 @@ def test_one_per_class(spark):
     assert {r["doc_id"] for r in jaccard_join.one_per_class(frame).collect()} == want
 
 
+def test_one_per_class_with_repeated_and_null_ids(spark):
+    """Of each class of rows one row stays, whatever the ids."""
+    draw = random.Random(17)
+    ids = [None, None, *range(12)]
+    rows = [(draw.choice(ids), t, f"s{i}") for i, (_, t) in enumerate(near_copies(14))]
+    alone = " ".join(f"alone{i}" for i in range(9))
+    rows += [(3, "five six seven eight nine ten", "a"), (5, "five six seven eight nine ten", "b"), (5, alone, "c")]
+    rows += [(1, alone + " x", "d"), (1, alone + " x", "d"), (None, None, "e"), (None, alone + " y z", "f"), (2, alone + " y z", "g")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    sets = [brute.shingles(t) for _, t, _ in rows]
+    groups = {}
+    for r, c in zip(rows, brute.classes(len(rows), brute.linked(sets))):
+        groups.setdefault(c, []).append(r)
+    got = Counter(tuple(r) for r in jaccard_join.one_per_class(frame).collect())
+    # Rows that share the smallest id of their class are equals; exactly one of them stays.
+    for members in groups.values():
+        least = min((r[0] is None, r[0] or 0) for r in members)
+        first = {r for r in members if (r[0] is None, r[0] or 0) == least}
+        stays = next(r for r in first if got[r])
+        got[stays] -= 1
+    assert not +got
+
+
 # -- decontamination ---------------------------------------------------------------------
 
 
