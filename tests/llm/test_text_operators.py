@@ -369,6 +369,16 @@ def test_decontamination(spark, block_chars):
     assert got == {i: brute.leaks(t, named) for i, t in rows}
 
 
+def test_decontaminate_unnamed_items(spark):
+    """Passages of items without an id leave the corpus too; only a name is missing."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "x " + passage), (2, "clean text"), (3, "named one two")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, passage), (None, "one two"), (7, "one two")], "item_id bigint, text string")
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()] == [2]
+    found = decontamination.contamination(decontamination.occurrences(docs, bench, unnamed=True)).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in found} == {1: (12, 0), 2: (0, 0), 3: (2, 1)}
+
+
 # -- mixing ------------------------------------------------------------------------------
 
 
