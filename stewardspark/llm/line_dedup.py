@@ -1,10 +1,10 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
 Of every ``run`` consecutive lines the smallest line hash is selected, so two documents
-that share a run of that length share a selected fingerprint. Positions whose fingerprint
-occurs more than once are extended both ways: every run of that length around them is
-compared with its first occurrence in the corpus, and runs that came earlier elsewhere
-join up to the longest repeated stretch, which is deleted.
+that share a run of that length share a selected fingerprint. Runs whose selected line hash is
+selected at another place as well are compared with their first occurrence in the corpus by
+digest, and overlapping runs that came earlier join up to the longest repeated stretch,
+which is deleted.
 """
 
 from __future__ import annotations
@@ -33,55 +33,88 @@ def _key(doc_id: str, text: str) -> dict[str, Column]:
 _KEY = ["_unnamed", "_id", "_content"]
 
 
-def fingerprints(docs: DataFrame, doc_id: str, text: str, run: int) -> DataFrame:
-    """Selected line hashes, each with the runs (start, digest) that selected it."""
-    starts = F.sequence(F.lit(0), F.size("lines") - run)
+def _words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def _windows(run: int, words: int | None) -> Column:
+    """(start, size) of all runs: ``run`` lines, or fewer that hold ``words`` words."""
+    count = F.size("lines")
+
+    def starts(size: int) -> Column:
+        return F.when(count >= size, F.sequence(F.lit(0), count - size)).otherwise(F.array().cast("array<int>"))
+
+    def sized(size: int) -> Column:
+        found = starts(size)
+        if size < run:
+            held = lambda p: F.aggregate(F.slice("counts", p + 1, size), F.lit(0), lambda x, y: x + y)
+            found = F.filter(found, lambda p: held(p) >= words)
+        return F.transform(found, lambda p: F.struct(p.alias("start"), F.lit(size).alias("size")))
+
+    return F.concat(*[sized(n) for n in ([run] if words is None else range(1, run + 1))])
+
+
+def fingerprints(docs: DataFrame, doc_id: str, text: str, run: int, words: int | None = None) -> DataFrame:
+    """Selected line hashes and their lines, each with the runs (start, size, digest) that selected it."""
     marks = F.transform("lines", lambda line, i: F.struct(F.xxhash64(line).alias("h"), (-i).alias("i")))
     lines = docs.select(*[c.alias(n) for n, c in _key(doc_id, text).items()], split_lines(column(text)).alias("lines"))
+    if words is None:
+        lines = lines.where(F.size("lines") >= run)
+    else:
+        lines = lines.withColumn("counts", F.transform("lines", _words))
     # Identical rows are one document; the smallest hash wins, the later line on a tie.
-    windows = (
-        lines.where(F.size("lines") >= run)
-        .withColumn("marks", marks)
-        .select(
-            *_KEY,
-            F.explode(
-                F.transform(
-                    starts,
-                    lambda p: F.struct(
-                        F.array_min(F.slice("marks", p + 1, run)).alias("mark"),
-                        p.alias("start"),
-                        F.md5(F.concat_ws("\n", F.slice("lines", p + 1, run)).cast("binary")).alias("digest"),
-                    ),
-                )
-            ).alias("w"),
-        )
+    windows = lines.withColumn("marks", marks).select(
+        *_KEY,
+        F.explode(
+            F.transform(
+                _windows(run, words),
+                lambda w: F.struct(
+                    F.array_min(F.slice("marks", w["start"] + 1, w["size"])).alias("mark"),
+                    w["start"].alias("start"),
+                    w["size"].alias("size"),
+                    F.md5(F.concat_ws("\n", F.slice("lines", w["start"] + 1, w["size"])).cast("binary")).alias("digest"),
+                ),
+            )
+        ).alias("w"),
     )
-    return windows.select(*_KEY, "w.mark.h", "w.start", "w.digest")
+    return windows.select(*_KEY, "w.mark.h", (-F.col("w.mark.i")).alias("line"), "w.start", "w.size", "w.digest")
 
 
-def later_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """Per document the starts of all runs that occur earlier in the corpus."""
-    selected = fingerprints(docs, doc_id, text, run)
-    # One count per fingerprint and place; a run repeated inside a document counts as well.
-    repeated = selected.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    runs = selected.join(repeated, "h", "left_semi").select(*_KEY, "start", "digest")
+def repeated_places(selected: DataFrame) -> DataFrame:
+    """The runs whose selected line hash is selected at two places or more.
+
+    Neighbouring runs that select the same line have one place; a repeat inside a document
+    is another.
+    """
+    apart = " OR ".join(f"min({c}) < max({c})" for c in (*_KEY, "line"))
+    repeated = selected.groupBy("h").agg(F.expr(apart).alias("apart")).where("apart").select("h")
+    return selected.join(repeated, "h", "left_semi")
+
+
+def later_runs(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, words: int | None = None
+) -> DataFrame:
+    """Per document the runs (start, size) that occur earlier in the corpus."""
+    selected = fingerprints(docs, doc_id, text, run, words)
+    runs = repeated_places(selected).select(*_KEY, "start", "size", "digest")
     place = F.struct(*_KEY, "start")
     first = runs.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("last > first")
     return (
         runs.join(first.select("digest", "first"), "digest")
         .where(place > F.col("first"))
         .groupBy(*_KEY)
-        .agg(F.collect_set("start").alias("starts"))
+        .agg(F.collect_set(F.struct("start", "size")).alias("starts"))
     )
 
 
 def deduplicate(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, words: int | None = None
 ) -> DataFrame:
     """``row`` with ``lines``, ``kept`` (line numbers that stay) and ``kept_text``.
 
     A line goes if it lies in a run of ``run`` lines that occurs earlier: in a document with
-    a smaller id, or further up in the same one. Documents of fewer lines stay whole. Null
+    a smaller id, or further up in the same one. With ``words``, fewer lines that hold so many
+    words (parted by blanks) are a run as well; without, shorter documents stay whole. Null
     text counts as empty (one empty line) and comes back null; rows without an id come last.
     Rows that share id and text are one document; those that share only the id are ordered
     by content.
@@ -90,8 +123,10 @@ def deduplicate(
         F.struct(*[column(c) for c in docs.columns]).alias("row"),
         *[c.alias(n) for n, c in _key(doc_id, text).items()],
     )
-    later = later_runs(docs, doc_id, text, run)
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + run - 1))))
+    later = later_runs(docs, doc_id, text, run, words)
+    gone = F.array_distinct(
+        F.flatten(F.transform("starts", lambda w: F.sequence(w["start"], w["start"] + w["size"] - 1)))
+    )
     everything = F.sequence(F.lit(0), F.size("lines") - 1)
     body = F.col("row").getField(text)
     return (
@@ -118,9 +153,11 @@ def summary(result: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
-def without_later_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def without_later_runs(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, words: int | None = None
+) -> DataFrame:
     """The documents with later repeated runs cut from their text; all rows and columns stay."""
-    result = deduplicate(docs, doc_id, text, run)
+    result = deduplicate(docs, doc_id, text, run, words)
     return result.select(
         *[
             F.col("kept_text").alias(c) if c == text else F.col("row").getField(c).alias(c)

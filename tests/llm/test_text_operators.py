@@ -245,6 +245,34 @@ def test_line_dedup(spark, run):
     assert [got[i] for i, _ in rows] == ["\n".join(k) for k in want]
 
 
+def test_line_dedup_by_words(spark):
+    """One or two repeated lines go if they hold the words; three lines go anyway."""
+    draw = random.Random(8)
+    lines = [" ".join(f"w{k}" for _ in range(n)) for k, n in enumerate((1, 2, 3, 4, 6, 9))]
+    rows = [(i, "\n".join(draw.choice(lines) for _ in range(draw.randrange(7)))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["row"]["doc_id"]: r["kept_text"] for r in line_dedup.deduplicate(frame, words=7).collect()}
+    seen = set()
+    for i, t in rows:
+        own, gone = t.split("\n"), set()
+        for p in range(len(own)):
+            for n in range(1, min(3, len(own) - p) + 1):
+                run = tuple(own[p : p + n])
+                if n == 3 or sum(len(x.split()) for x in run) >= 7:
+                    gone.update(range(p, p + n) if run in seen else ())
+                    seen.add(run)
+        assert got[i] == "\n".join(x for k, x in enumerate(own) if k not in gone)
+
+
+def test_line_dedup_selects_places(spark):
+    """A line that two runs of one document select is one place, not a repeat."""
+    rows = [(1, "\n".join(f"only {i}" for i in range(40))), (2, "a\nb\nc\nd"), (3, "x\na\nb\nc\nd")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = line_dedup.repeated_places(line_dedup.fingerprints(frame, "doc_id", "text", 3))
+    assert {r["_id"] for r in found.collect()} == {2, 3}
+    assert [tuple(r) for r in line_dedup.later_runs(frame).selectExpr("_id", "sort_array(starts.start)").collect()] == [(3, [1, 2])]
+
+
 def test_line_dedup_odd(odd):
     frame, rows = odd
     distinct = in_order({(r[0], r[1]): r for r in rows}.values())
