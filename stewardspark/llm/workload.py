@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 from ..sources.driver_tables import read_driver, stream_driver
-from . import decontamination, jaccard_join, language, line_dedup, mixing, pii, secret_scan, streaming_dedup
-from . import suffix_dedup, toxicity
+from . import decontamination, jaccard_join, language, line_dedup, mixing, pii, prefix_trie, secret_scan
+from . import streaming_dedup, suffix_dedup, toxicity
 from .rows import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ def _(spark, sf_dir):
     model = toxicity.fit(docs, read_driver(spark, sf_dir, "labels"))
     found = toxicity.rate(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), model)
     return found.select("row.doc_id", "row.held_out", "score", "predicted")
+
+
+@query("op12_prefix_trie", prefix_trie.check_sql())
+def _(spark, sf_dir):
+    return prefix_trie.summary(read_driver(spark, sf_dir, "conversations"))
