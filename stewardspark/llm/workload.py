@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path
 from ..sources.driver_tables import read_driver, stream_driver
 from . import decontamination, jaccard_join, language, line_dedup, mixing, pii, prefix_trie, secret_scan
-from . import streaming_dedup, suffix_dedup, toxicity
+from . import sequence_packing, streaming_dedup, suffix_dedup, toxicity
 from .rows import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ def _(spark, sf_dir):
 @query("op12_prefix_trie", prefix_trie.check_sql())
 def _(spark, sf_dir):
     return prefix_trie.summary(read_driver(spark, sf_dir, "conversations"))
+
+
+@query("op13_vector_packing")
+def _(spark, sf_dir):
+    return sequence_packing.summary(sequence_packing.pack(sequence_packing.tokens(_documents(spark, sf_dir, "doc_id", "text"))))
