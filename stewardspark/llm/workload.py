@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path
 from ..sources.driver_tables import read_driver, stream_driver
 from . import decontamination, jaccard_join, language, line_dedup, mixing, pii, prefix_trie, secret_scan
-from . import sequence_packing, streaming_dedup, suffix_dedup, toxicity
+from . import sequence_packing, spelling, streaming_dedup, suffix_dedup, toxicity
 from .rows import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,11 @@ def _(spark, sf_dir):
     return found.select("row.doc_id", "row.held_out", "score", "predicted")
 
 
+@query("op11_spelling_variants")
+def _(spark, sf_dir):
+    return spelling.groups(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query("op12_prefix_trie", prefix_trie.check_sql())
 def _(spark, sf_dir):
     return prefix_trie.summary(read_driver(spark, sf_dir, "conversations"))

@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
 BLANK = r"[\x20\x09-\x0D]"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,3 +123,63 @@ def leaks(text, items, window=10):
                 hit.update(range(i, i + m))
                 names.add(str(name))
     return len(words), len(hit), len(names), sha(",".join(sorted(names)))
+
+
+def spelling(docs, least=6, count=5, ratio=5):
+    """Rows (word, form, root, n, n_near, form_n) of documents (id, text), every pair of words compared."""
+    found = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            found[run if h % 199 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    words = {w: n for w, n in found.items() if len(w) >= least and n >= count}
+
+    def one_edit(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    near = {w: [v for v in words if one_edit(w, v)] for w in words}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return [(w, form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items()]
+
+
+def spliced(rows, group=100, most=6):
+    """Rebuilt conversations {c: [(role, text)]} of rows (conv_id, turn, role, text)."""
+    own = {}
+    for c, turn, role, text in sorted(
+        (r for r in rows if r[0] is not None),
+        key=lambda r: (r[1] is not None, r[1] or 0, hashlib.md5(f"{len(r[2] or '')}:{r[2] or ''}{r[3] or ''}".encode()).digest()),
+    ):
+        own.setdefault(c, []).append((role or "", text or ""))
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        out[c] = own.get(c - c % group, [])[:h] + turns[h:]
+    return out
+
+
+def prefixes(convs):
+    """Rows of the trie of conversations {c: turns}."""
+    members = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    out = []
+    for node, cs in members.items():
+        below = [x for x in members if x[: len(node)] == node]
+        children = [x for x in below if len(x) == len(node) + 1]
+        leaves = [x for x in below if not any(len(y) == len(x) + 1 and y[:-1] == x for y in members)]
+        saved = sum((len(members[x]) - 1) * len(x[-1][1]) for x in below if x)
+        ends = ",".join(str(c) for c in sorted(cs) if len(convs[c]) == len(node))
+        out.append((min(cs), len(node), min(members[node[:-1]]) if node else None, len(cs), len(children), len(leaves), saved, sha(ends)))
+    return out
