@@ -36,8 +36,8 @@ RATIO = 5
 # One of so many runs of letters loses a letter, by its checksum.
 THINNED = 199
 # Letter groups of a trie's own levels, and of the levels by which it is dealt out.
-GROUPS = 32
-COARSE = (4, 8, 16)
+GROUPS = 26
+COARSE = (3, 6, 12)
 # Words and queries of one task; larger shards are dealt into blocks.
 SHARD_WORDS = 20_000
 SHARD_QUERIES = 100_000
