@@ -1,13 +1,15 @@
-"""Sinks: append, daily materialisation and reading back with the declared schemas."""
+"""Sinks: append, daily materialisation, versioned tables, reading back with the declared schemas."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.clock import moment
 from ..session import scratch_path
-from ..sources import snapshots
+from ..sources import snapshots, versioned
+from .dml import MERGED, run_changes
 from .metrics import governance_metrics
-from .registry import ORACLES, QUERIES, query
+from .registry import AS_OF, ORACLES, QUERIES, TELEMETRY_AS_OF, query
 
 
 def _written_daily(t):
@@ -34,3 +36,50 @@ def _(t):
     again = t.dq_result.withColumn("run_id", F.concat("run_id", F.lit("-again")))
     snapshots.append(again, root, "dq_result")
     return snapshots.read_table(t.spark, root, "dq_result")
+
+
+def _versioned(t, rows, order):
+    root = scratch_path(t.spark, "versioned")
+    versioned.create(rows.repartitionByRange(order), root)
+    return root
+
+
+@query("merge_touched_files", "process_run", MERGED)
+def _(t):
+    root = _versioned(t, t.process_run, "run_id")
+    versioned.merge(
+        root, run_changes(t), ["run_id"], ["ended_at", "status"], ["run_id", "process_id", "ended_at", "status"]
+    )
+    return versioned.read(t.spark, root)
+
+
+def _inserted(t):
+    root = _versioned(t, t.process_run, "run_id")
+    versioned.merge(root, run_changes(t), ["run_id"], update_cols=[])
+    return versioned.read(t.spark, root)
+
+
+QUERIES["insert_touched_files"] = _inserted
+ORACLES["insert_touched_files"] = ORACLES["upsert_insert_only"]
+
+
+def _updated(t):
+    root = _versioned(t, t.process_run, "started_at")
+    versioned.update(
+        t.spark, root, F.col("ended_at").isNull(), {"ended_at": moment(AS_OF), "status": F.lit("FAILED")}
+    )
+    return versioned.read(t.spark, root)
+
+
+QUERIES["update_touched_files"] = _updated
+ORACLES["update_touched_files"] = ORACLES["update_where"]
+
+
+def _purged(t):
+    root = _versioned(t, t.access_log, "ts")
+    versioned.purge(t.spark, root, "ts", 90, TELEMETRY_AS_OF)
+    return versioned.read(t.spark, root)
+
+
+QUERIES["purge_touched_files"] = _purged
+ORACLES["purge_touched_files"] = ORACLES["purge_older_than"]
