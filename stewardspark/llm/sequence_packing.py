@@ -14,6 +14,7 @@ whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -35,8 +36,10 @@ END_ID = 1
 POOL_EXAMPLES = 4096
 POOL_TOKENS = 4 << 20
 # Words whose ids a task remembers, and the longest such word.
-MEMORY = 1 << 18
+MEMORY = 1 << 19
 MEMORY_CHARS = 64
+# Texts that are encoded at once.
+SLICE = 256
 
 
 class Limits(NamedTuple):
@@ -56,10 +59,28 @@ class Piece(NamedTuple):
 # -- token ids ------------------------------------------------------------------------------
 
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
+# Lower-case Latin-1 letters, or anything else that is not blank.
+_RUNS = re.compile(r"[a-zªµºß-öø-ÿ]+|[^\x20\x09-\x0Da-zªµºß-öø-ÿ]+")
+
+
+def parts(text: str) -> list[str]:
+    """Pieces of a text whose ids, one after another, are those of the text.
+
+    The tokenizer lower-cases and never joins what blanks part, nor a letter and anything
+    else but the apostrophe of a contraction. Texts with apostrophes or with characters
+    outside Latin-1, whose lower case may depend on more than themselves, are cut at blanks.
+    """
+    if "'" not in text:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _BLANK.split(text)
+        return _RUNS.findall(text.lower())
+    return _BLANK.split(text)
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that never joins what blanks separate, remembered by word."""
+    """Ids of texts, remembered by their parts."""
 
     def __init__(self, path: str | None = None, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,27 +98,46 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit numbers."""
-        return [self._one(t) for t in texts]
-
-    def _one(self, text: str) -> bytes:
-        words = _BLANK.split(text)
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            pass
-        if len(self.known) > self.memory:
-            self.known = {}
-        # Words too long to be remembered are looked up for this text only.
-        here = self._encode({w for w in words if w not in self.known})
-        self.known.update((w, ids) for w, ids in here.items() if len(w) <= MEMORY_CHARS)
-        return b"".join([here[w] if w in here else self.known[w] for w in words])
+        cut = [parts(t) for t in texts]
+        known = self.known
+        new = self._encode(set().union(*cut).difference(known))
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for w in new:
+            if len(w) > MEMORY_CHARS:
+                del known[w]
+        if len(known) > self.memory:
+            known.clear()
+        return out
 
     def _encode(self, words: set[str]) -> dict[str, bytes]:
         order = sorted(words)
-        found = self.tokenizer.encode_batch(order, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(order, add_special_tokens=False)
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(order, found)}
 
 
+# A worker keeps it from task to task.
+_encoder = functools.lru_cache(maxsize=1)(Encoder)
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str, prompt: str | None) -> DataFrame:
+    before = F.coalesce(column(prompt), F.lit("")) if prompt else F.lit("")
+    return docs.select(column(doc_id).alias("id"), before.alias("prompt"), F.coalesce(column(text), F.lit("")).alias("text"))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str | None, end: int) -> Iterator[pa.RecordBatch]:
+    encoder, last = _encoder(path), np.array([end], "<u4").tobytes()
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            first = encoder(batch.column(1).to_pylist())
+            rest = encoder(batch.column(2).to_pylist())
+            ids = pa.array([a + b + last for a, b in zip(first, rest)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), ids, pa.array([len(a) // 4 for a in first], pa.int64())], names=["id", "ids", "n_prompt"]
+            )
+
+
 def tokens(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None, path: str | None = None,
     end: int = END_ID,
@@ -109,22 +149,9 @@ def tokens(
     a tokenizer file, the public word-level one if left out.
     """
     ship(docs.sparkSession)
-    before = F.coalesce(column(prompt), F.lit("")) if prompt else F.lit("")
-    rows = docs.select(column(doc_id).alias("id"), before.alias("prompt"), F.coalesce(column(text), F.lit("")).alias("text"))
-    last = np.array([end], "<u4").tobytes()
-    kinds = f"id {rows.schema['id'].dataType.simpleString()}, ids binary, n_prompt bigint"
-
-    def encode(batches: Iterator[pa.RecordBatch]):
-        encoder = Encoder(path)
-        for batch in batches:
-            first = encoder(batch.column(1).to_pylist())
-            rest = encoder(batch.column(2).to_pylist())
-            ids = pa.array([a + b + last for a, b in zip(first, rest)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), ids, pa.array([len(a) // 4 for a in first], pa.int64())], names=["id", "ids", "n_prompt"]
-            )
-
-    return rows.mapInArrow(encode, kinds)
+    rows = _texts(docs, doc_id, text, prompt)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(lambda batches: _encoded(batches, path, end), f"id {kind}, ids binary, n_prompt bigint")
 
 
 # -- packing ----------------------------------------------------------------------------------
@@ -206,6 +233,68 @@ def _ready(done: list[list[Piece]], limits: Limits) -> Iterator[list[Piece]]:
             yield from powers_of_two(pieces)
 
 
+def _packed(batches: Iterator[pa.RecordBatch], limits: Limits, pool: int, pool_tokens: int) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 33
+    # Of the examples that are not packed yet: id, ids and length of the prompt.
+    held: dict[int, tuple] = {}
+    waiting, size, rest, kind, count = [], 0, [], None, 0
+
+    def rows(done: list[list[Piece]]) -> pa.RecordBatch:
+        nonlocal number
+        out = [[] for _ in _PIECES]
+        for pieces in _ready(done, limits):
+            offset = 0
+            for p in pieces:
+                name, ids, prompt = held[p.item]
+                end = p.start + p.length
+                row = (name, p.start, ids[4 * p.start : 4 * end], max(0, end - max(p.start, prompt)), len(ids) // 4, number, offset)
+                for values, v in zip(out, row):
+                    values.append(v)
+                offset += p.length
+            number += 1
+        kinds = [kind, *(pa.binary() if c == "ids" else pa.int64() for c in _PIECES[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=_PIECES)
+
+    def flush(last: bool = False) -> pa.RecordBatch:
+        nonlocal waiting, size, rest
+        done, open_pieces = sequences(rest + waiting, limits)
+        if last and open_pieces:
+            done.append([Piece(*p[:3]) for p in open_pieces])
+            open_pieces = []
+        made = rows(done)
+        # What goes back to the pool keeps the place it was cut at.
+        rest, waiting, size = open_pieces, [], sum(p[2] for p in open_pieces)
+        for item in set(held) - {p[0] for p in rest}:
+            del held[item]
+        return made
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for name, ids, prompt in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+            data = ids.as_py()
+            held[count] = (name.as_py(), data, prompt)
+            waiting.append((count, 0, len(data) // 4, min(prompt, len(data) // 4)))
+            size += len(data) // 4
+            count += 1
+            if len(waiting) >= pool or size >= pool_tokens:
+                yield flush()
+    if held:
+        yield flush(last=True)
+
+
+_PIECES = ["id", "start", "ids", "n_loss", "example_tokens", "sequence_id", "offset"]
+
+
+def _schema(rows: DataFrame) -> str:
+    kind = rows.schema["id"].dataType.simpleString()
+    return f"id {kind}, " + ", ".join(f"{c} {'binary' if c == 'ids' else 'bigint'}" for c in _PIECES[1:])
+
+
+def _checked(limits: Limits) -> None:
+    if min(limits) < 1:
+        raise ValueError(f"limits have to be positive: {limits}")
+
+
 def pack(
     examples: DataFrame, limits: Limits = Limits(), pool: int = POOL_EXAMPLES, pool_tokens: int = POOL_TOKENS
 ) -> DataFrame:
@@ -216,65 +305,23 @@ def pack(
     lies in one piece, the pieces of a sequence follow each other without gaps, and each
     sequence keeps all limits. An example without ids gives no row.
     """
-    if min(limits) < 1:
-        raise ValueError(f"limits have to be positive: {limits}")
+    _checked(limits)
     ship(examples.sparkSession)
-    kind = examples.schema["id"].dataType.simpleString()
-    schema = (
-        f"id {kind}, start bigint, ids binary, n_loss bigint, example_tokens bigint, sequence_id bigint, offset bigint"
-    )
+    rows = examples.select("id", "ids", "n_prompt")
+    return rows.mapInArrow(lambda batches: _packed(batches, limits, pool, pool_tokens), _schema(rows))
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        number = TaskContext.get().partitionId() << 33
-        held: dict[int, tuple] = {}
-        waiting, size, rest, names = [], 0, [], None
-
-        def rows(done):
-            nonlocal number
-            out = [[] for _ in range(7)]
-            for pieces in _ready(done, limits):
-                offset = 0
-                for p in pieces:
-                    name, ids, prompt = held[p.item]
-                    end = p.start + p.length
-                    row = (name, p.start, ids[4 * p.start : 4 * end], max(0, end - max(p.start, prompt)), len(ids) // 4, number, offset)
-                    for values, v in zip(out, row):
-                        values.append(v)
-                    offset += p.length
-                number += 1
-            arrays = [pa.array(out[0], names), *(pa.array(v, pa.binary() if k == 1 else pa.int64()) for k, v in enumerate(out[1:]))]
-            return pa.RecordBatch.from_arrays(
-                arrays, names=["id", "start", "ids", "n_loss", "example_tokens", "sequence_id", "offset"]
-            )
 
-        def flush(last=False):
-            nonlocal waiting, size, rest
-            done, open_pieces = sequences(rest + waiting, limits)
-            if last and open_pieces:
-                done.append([Piece(*p[:3]) for p in open_pieces])
-                open_pieces = []
-            made = rows(done)
-            # What goes back to the pool keeps the place it was cut at.
-            rest, waiting, size = open_pieces, [], sum(p[2] for p in open_pieces)
-            for item in set(held) - {p[0] for p in rest}:
-                del held[item]
-            return made
-
-        count = 0
-        for batch in batches:
-            names = batch.schema.field(0).type
-            for name, ids, prompt in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                data = ids.as_py()
-                held[count] = (name.as_py(), data, prompt)
-                waiting.append((count, 0, len(data) // 4, min(prompt, len(data) // 4)))
-                size += len(data) // 4
-                count += 1
-                if len(waiting) >= pool or size >= pool_tokens:
-                    yield flush()
-        if held:
-            yield flush(last=True)
-
-    return examples.select("id", "ids", "n_prompt").mapInArrow(run, schema)
+def pack_texts(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None, path: str | None = None,
+    end: int = END_ID, limits: Limits = Limits(),
+) -> DataFrame:
+    """``pack`` of the ``tokens`` of texts, both in one pass of a task over its rows."""
+    _checked(limits)
+    ship(docs.sparkSession)
+    rows = _texts(docs, doc_id, text, prompt)
+    return rows.mapInArrow(
+        lambda batches: _packed(_encoded(batches, path, end), limits, POOL_EXAMPLES, POOL_TOKENS), _schema(rows)
+    )
 
 
 def summary(pieces: DataFrame) -> DataFrame:

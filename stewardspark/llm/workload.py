@@ -163,4 +163,4 @@ def _(spark, sf_dir):
 
 @query("op13_vector_packing")
 def _(spark, sf_dir):
-    return sequence_packing.summary(sequence_packing.pack(sequence_packing.tokens(_documents(spark, sf_dir, "doc_id", "text"))))
+    return sequence_packing.summary(sequence_packing.pack_texts(_documents(spark, sf_dir, "doc_id", "text")))
