@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions.clock import AsOf, moment, on_day, since
 from ..functions.ratios import count_where, percent
 from ..session import drop_folder, scratch_path
 from .common import union_all
+from .forest import Steps, ancestors, circles, covered, forest
 from .upsert import upsert
 
 
@@ -210,6 +212,93 @@ def manager_chain(party: DataFrame, max_depth: int | None = None) -> DataFrame:
     )
 
 
+def manager_tree(party: DataFrame) -> DataFrame:
+    """The parties as intervals, see ``forest``: one row per party instead of one per ancestor."""
+    return forest(party, "party_id", "manager_party_id")
+
+
+def managers_of(tree: DataFrame) -> DataFrame:
+    """The rows of ``manager_chain`` from the intervals of ``manager_tree``."""
+    return ancestors(tree).select(
+        F.col("node").alias("party_id"), F.col("above").alias("manager_id"), F.col("distance").cast("int").alias("level")
+    )
+
+
+def reports_of(tree: DataFrame) -> DataFrame:
+    """Every party with the number of its managers, of its reports at all levels, and its top.
+
+    Parties in a circle of managers are marked; their top is the smallest of the circle.
+    """
+    ring = circles(tree).select("node", F.lit(True).alias("circular"))
+    return tree.join(ring, "node", "left").select(
+        F.col("node").alias("party_id"), F.col("root").alias("top_id"), F.col("depth").alias("levels_up"),
+        (F.col("size") - 1).alias("reports"), F.coalesce("circular", F.lit(False)).alias("circular"),
+    )
+
+
+# --- reachability by intervals ---------------------------------------------------------------
+
+
+class ReachIndex(NamedTuple):
+    """A spanning forest of a graph as intervals, and the edges that are not part of it."""
+
+    nodes: DataFrame
+    jumps: DataFrame
+
+
+def reach_index(edges: DataFrame, direction: str = "downstream", active_only: bool = True) -> ReachIndex:
+    """Index for ``reached_from``, built once and kept as two tables.
+
+    Every node hangs below its smallest neighbour against the direction; circles are opened.
+    What lies below a node in this forest is an interval, so a walk needs a step only for an
+    edge outside the forest. ``jumps`` has those edges: (root, at) of the source and the
+    interval of the target.
+    """
+    src, tgt = ("src_node_id", "tgt_node_id") if direction == "downstream" else ("tgt_node_id", "src_node_id")
+    steps = Steps(edges.sparkSession, "reach")
+    live = edges.where("active_flag") if active_only else edges
+    hops = steps.keep(
+        live.select(F.col(src).alias("parent"), F.col(tgt).alias("node"))
+        .where("parent IS NOT NULL AND node IS NOT NULL AND parent <> node").distinct()
+    )
+    below = hops.groupBy("node").agg(F.min("parent").alias("parent"))
+    tree = forest(below.unionByName(hops.select(F.col("parent").alias("node")).distinct(), allowMissingColumns=True))
+    inside = tree.where("parent IS NOT NULL").select("node", "parent")
+    place = tree.select("node", "root", "pre", "size")
+    jumps = (
+        hops.join(inside, ["node", "parent"], "left_anti")
+        .join(place.select(F.col("node").alias("parent"), F.col("root").alias("root"), F.col("pre").alias("at")), "parent")
+        .join(place.select("node", F.col("root").alias("to_root"), F.col("pre").alias("low"), (F.col("pre") + F.col("size")).alias("high")), "node")
+        .select("root", "at", F.col("node").alias("target"), "to_root", "low", "high")
+    )
+    return ReachIndex(*steps.end(tree, jumps))
+
+
+def reached_from(index: ReachIndex, seeds: DataFrame) -> DataFrame:
+    """(seed, node_id): all nodes that each ``node_id`` of ``seeds`` reaches, itself left out.
+
+    A round follows all edges outside the forest from what is covered so far, for all seeds at
+    once; there are as many rounds as such edges in a row, however long the paths are.
+    """
+    steps = Steps(seeds.sparkSession, "reached")
+    place = index.nodes.select("node", "root", F.col("pre").alias("low"), (F.col("pre") + F.col("size")).alias("high"))
+    start = seeds.select(F.col("node_id").alias("node")).distinct().join(place, "node")
+    fresh = steps.keep(start.select(F.col("node").alias("seed"), "root", "low", "high"))
+    known = [fresh]
+    while not fresh.isEmpty():
+        sources = index.jumps.select("root", "at", "to_root", F.col("low").alias("to_low"), F.col("high").alias("to_high"))
+        met = covered(sources, "at", fresh, "low", "high", ["root"])
+        ends = steps.keep(
+            met.select("seed", F.col("to_root").alias("root"), F.col("to_low").alias("low"), F.col("to_high").alias("high")).distinct()
+        )
+        spans = union_all(known).withColumnsRenamed({"low": "_low", "high": "_high"})
+        fresh = steps.keep(covered(ends, "low", spans, "_low", "_high", ["seed", "root"], "left_anti"))
+        known.append(fresh)
+    nodes = index.nodes.select("root", "pre", F.col("node").alias("node_id"))
+    found = covered(nodes, "pre", union_all(known), "low", "high", ["root"]).where("node_id <> seed")
+    return steps.end(found.select("seed", "node_id").distinct())[0]
+
+
 def lineage_node_counts(nodes: DataFrame, as_of: AsOf, days: int = 1) -> DataFrame:
     return nodes.where(since("updated_at", as_of, days)).agg(
         F.count(F.lit(1)).alias("total_nodes"),

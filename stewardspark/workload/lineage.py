@@ -257,3 +257,40 @@ SELECT party_id, manager_id, CAST(min(level) AS INTEGER) AS level FROM up GROUP
 )
 def _(t):
     return g.manager_chain(t.dim_party)
+
+
+_UP = """SELECT * FROM (WITH RECURSIVE up(party_id, manager_id, level) AS (
+  SELECT party_id, manager_party_id, 1 FROM dim_party WHERE manager_party_id IS NOT NULL
+  UNION ALL SELECT u.party_id, p.manager_party_id, u.level + 1 FROM up u JOIN dim_party p ON p.party_id = u.manager_id
+  WHERE p.manager_party_id IS NOT NULL)
+SELECT party_id, manager_id, CAST(min(level) AS INTEGER) AS level FROM up GROUP BY 1, 2)"""
+
+
+@query("manager_intervals", "dim_party", _UP)
+def _(t):
+    return g.managers_of(g.manager_tree(t.dim_party))
+
+
+@query(
+    "manager_reports",
+    "dim_party",
+    f"""WITH a AS ({_UP}), p AS (SELECT party_id FROM dim_party)
+SELECT party_id, coalesce((SELECT arg_max(manager_id, level) FROM a WHERE a.party_id = p.party_id), party_id) AS top_id,
+  (SELECT count(*) FROM a WHERE a.party_id = p.party_id) AS levels_up,
+  (SELECT count(*) FROM a WHERE a.manager_id = p.party_id) AS reports, FALSE AS circular FROM p""",
+)
+def _(t):
+    return g.reports_of(g.manager_tree(t.dim_party))
+
+
+@query(
+    "lineage_reach_all",
+    "lineage_edge",
+    """WITH RECURSIVE e AS (SELECT DISTINCT src_node_id AS s, tgt_node_id AS d FROM lineage_edge WHERE active_flag AND src_node_id <> tgt_node_id),
+walk(seed, node_id) AS (SELECT s, d FROM e UNION SELECT w.seed, e.d FROM walk w JOIN e ON e.s = w.node_id)
+SELECT seed, node_id FROM walk WHERE seed <> node_id""",
+)
+def _(t):
+    edges = t.lineage_edge
+    seeds = edges.select(F.col("src_node_id").alias("node_id")).distinct()
+    return g.reached_from(g.reach_index(edges), seeds)
