@@ -43,7 +43,7 @@ def test_language(stages):
 
 def test_lines(stages):
     before, after = ordered(stages[1][1]), ordered(stages[2][1])
-    want = ["\n".join(lines) for lines in brute.repeated_lines([r.text for r in before])]
+    want = ["\n".join(lines) for lines in brute.repeated_lines([r.text for r in before], words=50)]
     assert [r.text for r in after] == want
     assert [(r.doc_id, r.lang, r.source, r.n_chars) for r in after] == [
         (r.doc_id, r.lang, r.source, r.n_chars) for r in before
