@@ -95,11 +95,11 @@ def build(items: list[tuple[str | None, str | None]], window: int) -> tuple[dict
     return vocabulary, [Patterns(n, w, base) for n, w in sorted(by_length.items())]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int, unnamed: bool) -> Iterator[list]:
+def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int) -> Iterator[list]:
     """Items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
     rows = benchmark.select(column(item).cast("string").alias("i"), column(text).alias("t"))
-    for i, t in rows.where("t IS NOT NULL" if unnamed else "t IS NOT NULL AND i IS NOT NULL").toLocalIterator():
+    for i, t in rows.where("t IS NOT NULL").toLocalIterator():
         block.append((i, t))
         size += len(t)
         if size >= block_chars:
@@ -117,19 +117,19 @@ _HITS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()),
 
 def occurrences(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS, unnamed: bool = False,
+    item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``row`` with ``n_words`` and ``hits`` (first word, length, items of each occurrence).
 
     The documents stay where they are; only tables of at most ``block_chars`` of benchmark
     text are sent to the tasks, once per block. A null or empty text has no words and no
     hits; items without words are skipped; items that share an id count once; an empty
-    benchmark gives no hits. Items without an id are skipped unless ``unnamed``; then they
-    give hits like any other, without a name in ``items``.
+    benchmark gives no hits. Items without an id give hits like any other, without a name
+    in ``items``.
     """
     sc = docs.sparkSession.sparkContext
     result = None
-    for block in _blocks(benchmark, item, item_text, block_chars, unnamed):
+    for block in _blocks(benchmark, item, item_text, block_chars):
         tables = sc.broadcast(build(block, window))
 
         def scan(row, tables=tables, nested=result is not None):
@@ -184,8 +184,5 @@ def contamination(hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, columns unchanged.
-
-    Items without an id are searched for as well.
-    """
-    return occurrences(docs, benchmark, unnamed=True, **options).where(F.size("hits") == 0).select("row.*")
+    """The documents without any occurrence of a benchmark window, columns unchanged."""
+    return occurrences(docs, benchmark, **options).where(F.size("hits") == 0).select("row.*")

@@ -49,7 +49,7 @@ _WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'a
 @query(
     "op6_decontamination",
     f"""WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
 c AS (SELECT item, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0),
 p AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM c, unnest(range(1, len(w) - m + 2)) AS t(i)),
 q AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g

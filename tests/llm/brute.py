@@ -94,16 +94,18 @@ def classes(n, pairs):
     return [top(i) for i in range(n)]
 
 
-def repeated_lines(texts, run=3):
+def repeated_lines(texts, run=3, words=None):
     """Per text (in order of precedence) the lines that stay."""
     seen, out = set(), []
     for t in texts:
         lines, gone = (t or "").split("\n"), set()
-        for p in range(len(lines) - run + 1):
-            g = tuple(lines[p : p + run])
-            if g in seen:
-                gone.update(range(p, p + run))
-            seen.add(g)
+        for p in range(len(lines)):
+            for size in range(1, min(run, len(lines) - p) + 1):
+                g = tuple(lines[p : p + size])
+                if size == run or (words is not None and sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in g) >= words):
+                    if g in seen:
+                        gone.update(range(p, p + size))
+                    seen.add(g)
         out.append([x for i, x in enumerate(lines) if i not in gone])
     return out
 
@@ -121,7 +123,7 @@ def leaks(text, items, window=10):
         for i in range(len(words) - m + 1) if m else ():
             if tuple(words[i : i + m]) in grams:
                 hit.update(range(i, i + m))
-                names.add(str(name))
+                names.update([] if name is None else [str(name)])
     return len(words), len(hit), len(names), sha(",".join(sorted(names)))
 
 

@@ -240,7 +240,7 @@ def test_line_dedup(spark, run):
     draw = random.Random(7)
     rows = [(i, "\n".join(draw.choice("abcdef") for _ in range(draw.randrange(12)))) for i in range(80)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = {r["row"]["doc_id"]: r["kept_text"] for r in line_dedup.deduplicate(frame, run=run).collect()}
+    got = {r["row"]["doc_id"]: r["kept_text"] for r in line_dedup.deduplicate(frame, run=run, words=None).collect()}
     want = brute.repeated_lines([t for _, t in rows], run)
     assert [got[i] for i, _ in rows] == ["\n".join(k) for k in want]
 
@@ -252,16 +252,24 @@ def test_line_dedup_by_words(spark):
     rows = [(i, "\n".join(draw.choice(lines) for _ in range(draw.randrange(7)))) for i in range(60)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r["row"]["doc_id"]: r["kept_text"] for r in line_dedup.deduplicate(frame, words=7).collect()}
-    seen = set()
-    for i, t in rows:
-        own, gone = t.split("\n"), set()
-        for p in range(len(own)):
-            for n in range(1, min(3, len(own) - p) + 1):
-                run = tuple(own[p : p + n])
-                if n == 3 or sum(len(x.split()) for x in run) >= 7:
-                    gone.update(range(p, p + n) if run in seen else ())
-                    seen.add(run)
-        assert got[i] == "\n".join(x for k, x in enumerate(own) if k not in gone)
+    want = brute.repeated_lines([t for _, t in rows], words=7)
+    assert [got[i] for i, _ in rows] == ["\n".join(k) for k in want]
+
+
+def test_line_dedup_leaves_no_long_passage(spark, corpus):
+    """No later copy of a line of more than fifty words stays."""
+    kept = line_dedup.without_later_runs(corpus[0]).collect()
+    lines = [x for r in kept for x in (r["text"] or "").split("\n") if len(x.split()) > 50]
+    assert len(lines) == len(set(lines)) > 100
+
+
+def test_line_dedup_extends_matches_both_ways(spark):
+    """A match is one stretch with its source, as long as both sides continue alike."""
+    first = [f"line {i}" for i in range(20)]
+    rows = [(1, "\n".join(first)), (2, "\n".join(["own", *first[3:15], "end", *first[16:19]])), (3, "\n".join(["x", "y", *first[3:15]]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((r["_id"], r["start"], r["size"], r["source"]["_id"], r["source_start"]) for r in line_dedup.matches(frame).collect())
+    assert found == [(2, 1, 12, 1, 3), (2, 14, 3, 1, 16), (3, 2, 12, 1, 3)]
 
 
 def test_line_dedup_selects_places(spark):
@@ -270,14 +278,14 @@ def test_line_dedup_selects_places(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = line_dedup.repeated_places(line_dedup.fingerprints(frame, "doc_id", "text", 3))
     assert {r["_id"] for r in found.collect()} == {2, 3}
-    assert [tuple(r) for r in line_dedup.later_runs(frame).selectExpr("_id", "sort_array(starts.start)").collect()] == [(3, [1, 2])]
+    assert [tuple(r) for r in line_dedup.later_runs(frame).selectExpr("_id", "starts.start", "starts.size").collect()] == [(3, [1], [4])]
 
 
 def test_line_dedup_odd(odd):
     frame, rows = odd
     distinct = in_order({(r[0], r[1]): r for r in rows}.values())
     got = sorted(((r["row"]["doc_id"], r["row"]["text"]), r["kept_text"]) for r in line_dedup.deduplicate(frame).collect() if r["row"]["doc_id"] is not None and r["row"]["text"] is not None)
-    kept = dict(zip(((r[0], r[1]) for r in distinct), brute.repeated_lines([r[1] for r in distinct])))
+    kept = dict(zip(((r[0], r[1]) for r in distinct), brute.repeated_lines([r[1] for r in distinct], words=50)))
     assert len(got) == sum(r[0] is not None and r[1] is not None for r in rows)
     for key, text in got:
         assert text == "\n".join(kept[key])
@@ -393,8 +401,7 @@ def test_decontamination(spark, block_chars):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     found = decontamination.contamination(decontamination.occurrences(docs, bench, block_chars=block_chars))
     got = {r["doc_id"]: tuple(r)[1:5] for r in found.collect()}
-    named = [i for i in items if i[0] is not None]
-    assert got == {i: brute.leaks(t, named) for i, t in rows}
+    assert got == {i: brute.leaks(t, items) for i, t in rows}
 
 
 def test_decontaminate_unnamed_items(spark):
@@ -403,7 +410,7 @@ def test_decontaminate_unnamed_items(spark):
     docs = spark.createDataFrame([(1, "x " + passage), (2, "clean text"), (3, "named one two")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(None, passage), (None, "one two"), (7, "one two")], "item_id bigint, text string")
     assert [r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()] == [2]
-    found = decontamination.contamination(decontamination.occurrences(docs, bench, unnamed=True)).collect()
+    found = decontamination.contamination(decontamination.occurrences(docs, bench)).collect()
     assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in found} == {1: (12, 0), 2: (0, 0), 3: (2, 1)}
 
 
