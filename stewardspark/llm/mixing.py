@@ -2,7 +2,9 @@
 
 Token shares are raised to an exponent between 0 (all sources alike) and 1 (as they are).
 The exponent is bisected: the largest that reaches the target entropy, or, if that repeats
-a source too often, the smallest that keeps the repetition limit. The weights are then
+a source too often, the smallest that keeps the repetition limit. A budget that no exponent
+can meet within the limit is lowered to what the limit allows. The budget is dealt out by
+largest remainder, so the quotas of the sources add up to it. The weights are then
 realised as permutations: each source is read in a new pseudo-random order per epoch until
 its share of the token budget is used up, and the reading is cut into blocks that each
 hold the sources in their target proportions.
@@ -10,6 +12,7 @@ hold the sources in their target proportions.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +28,8 @@ EPOCHS = 4.0
 BLOCK_TOKENS = 1_000_000
 # Five jobs of eight bisection steps each.
 STEPS, STEPS_PER_JOB = 40, 8
+# Ranges in which remainders are counted.
+RANGES = 4096
 # Rows per slice of a source whose running sums are taken together.
 SLICE_ROWS = 50_000
 
@@ -54,7 +59,8 @@ def counted(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
 class Mixture:
     exponent: float
     tokens: int
-    budget: int
+    budget: int  # what is dealt out
+    asked: int  # the budget asked for; more than ``budget`` where the repetition limit forbids it
     total: float  # sum of the raised shares
 
 
@@ -63,12 +69,16 @@ def solve(
 ) -> Mixture | None:
     """The exponent for ``sources`` (key, tokens); None without any token.
 
-    Only sums per tried exponent reach the driver, whatever the number of sources.
+    Every source alike is read ``budget / tokens`` times at exponent 1, which is the least that
+    the most repeated one can be read. A budget that breaks the limit even so is lowered to
+    ``epochs`` times the tokens, and the sources are read as they are. Only sums per tried
+    exponent reach the driver, whatever the number of sources.
     """
     top = sources.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     if not top["t"]:
         return None
-    tokens, budget = int(top["t"]), int(top["t"] if budget is None else budget)
+    tokens, asked = int(top["t"]), int(top["t"] if budget is None else budget)
+    budget = min(asked, math.floor(tokens * epochs))
     share = F.col("tokens") / F.lit(float(tokens))
 
     def measures(exponents: list[float]) -> dict[float, tuple[float, float, float]]:
@@ -103,18 +113,42 @@ def solve(
 
     ends = measures([0.0, 1.0])
     exponent = 1.0 if ends[1.0][0] >= entropy else bisect(lambda m: m[0] >= entropy)[0]
-    if measures([exponent])[exponent][1] > epochs:
-        exponent = 1.0 if ends[1.0][1] > epochs else bisect(lambda m: m[1] > epochs)[1]
-    return Mixture(exponent, tokens, budget, measures([exponent])[exponent][2])
+    if asked > budget:
+        exponent = 1.0
+    elif measures([exponent])[exponent][1] > epochs:
+        exponent = bisect(lambda m: m[1] > epochs)[1]
+    return Mixture(exponent, tokens, budget, asked, measures([exponent])[exponent][2])
 
 
 def quotas(sources: DataFrame, mixture: Mixture) -> DataFrame:
-    """Sources with their weight (nine decimals) and their tokens of the budget."""
+    """Sources with their weight and their tokens of the budget, by largest remainder.
+
+    Every source gets the whole tokens due to it; those that are left over go to the largest
+    remainders, equal ones in order of the keys. Remainders are counted in ranges, so only
+    the sources of one range are ranked, however many there are.
+    """
     share = F.col("tokens") / F.lit(float(mixture.tokens))
-    weight = F.round(F.pow(share, F.lit(mixture.exponent)) / mixture.total, 9)
-    return sources.withColumn("weight", weight).withColumn(
-        "quota", F.floor(F.col("weight") * float(mixture.budget)).cast("bigint")
+    due = F.pow(share, F.lit(mixture.exponent)) / mixture.total
+    planned = (
+        sources.withColumn("weight", due).withColumn("due", F.col("weight") * float(mixture.budget))
+        .withColumn("quota", F.floor("due").cast("bigint")).withColumn("rest", F.col("due") - F.col("quota"))
+        .withColumn("range", F.floor(F.col("rest") * RANGES).cast("int"))
     )
+    counts = {r["range"]: (r["n"], r["q"]) for r in planned.groupBy("range").agg(F.count("*").alias("n"), F.sum("quota").alias("q")).collect()}
+    left = max(0, mixture.budget - sum(q for _, q in counts.values()))
+    last = RANGES
+    for last in sorted(counts, reverse=True):
+        if counts[last][0] > left:
+            break
+        left -= counts[last][0]
+    else:
+        last -= 1
+    inside = planned.where(F.col("range") == last)
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("rest"), "key"))
+    chosen = inside.withColumn("rank", rank).withColumn("quota", F.col("quota") + (F.col("rank") <= left).cast("bigint"))
+    others = planned.where(F.col("range") != last).withColumn("quota", F.col("quota") + (F.col("range") > last).cast("bigint"))
+    columns = [*sources.columns, "weight", "quota"]
+    return chosen.select(*columns).unionByName(others.select(*columns))
 
 
 def realise(rows: DataFrame, plan: DataFrame, budget: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -165,7 +199,8 @@ def mix(
     Columns: block, position (from 1 in the block), source, epoch (from 0), doc_id,
     n_tokens. Null sources are a source of their own. Documents without tokens, or with
     null text, are never drawn; no tokens at all give an empty result. Repeated rows are
-    drawn once each.
+    drawn once each. A budget beyond what ``epochs`` allows is lowered, see ``solve``. Of a
+    text only its number of tokens is kept, so very long ones move nothing.
     """
     rows = counted(docs, doc_id, text, source)
     spark = docs.sparkSession
@@ -207,8 +242,9 @@ o AS (SELECT CASE WHEN (SELECT -sum(p * ln(p)) >= {entropy} * ln(count(*)) FROM
   ELSE (SELECT low FROM b WHERE step = {STEPS}) END AS a),
 f AS (SELECT CASE WHEN {at("a")} <= {epochs} THEN a WHEN {at("1.0")} > {epochs} THEN 1.0::DOUBLE
   ELSE (SELECT high FROM c WHERE step = {STEPS}) END AS a FROM o),
-q AS (SELECT source, tokens, floor(round(pow(p, a) / (SELECT sum(pow(p, a)) FROM s), 9)
-  * (SELECT sum(tokens) FROM t)::DOUBLE)::BIGINT AS quota FROM s, f),
+z AS (SELECT source, tokens, pow(p, a) / (SELECT sum(pow(p, a)) FROM s) * (SELECT sum(tokens) FROM t)::DOUBLE AS due FROM s, f),
+q AS (SELECT source, tokens, floor(due)::BIGINT + (row_number() OVER (ORDER BY due - floor(due) DESC, source)
+  <= (SELECT sum(tokens) FROM t) - sum(floor(due)::BIGINT) OVER ())::BIGINT AS quota FROM z),
 e AS (SELECT r.*, tokens, quota, epoch, md5(doc_id || ':' || epoch) AS o
   FROM r JOIN q USING (source), unnest(range(ceil(quota / tokens)::BIGINT)) AS u(epoch)),
 w AS (SELECT *, epoch * tokens + coalesce(sum(n) OVER (PARTITION BY source, epoch ORDER BY o, doc_id, n

@@ -448,6 +448,42 @@ def test_mixing_keeps_the_repetition_limit(spark):
     assert len(drawn) == 20 and set(drawn.values()) == {3}
 
 
+def plan_of(spark, tokens, **options):
+    sources = spark.createDataFrame([(f"s{i:03d}", t, 1) for i, t in enumerate(tokens)], "key string, tokens bigint, docs bigint")
+    mixture = mixing.solve(sources, **options)
+    rows = mixing.quotas(sources, mixture).collect()
+    return mixture, {r["key"]: r["quota"] for r in rows}
+
+
+def test_mixing_loses_no_small_source(spark):
+    """Beside two sources of a million millions of tokens, 400 tokens stay 400."""
+    mixture, found = plan_of(spark, [10**12, 10**12, 400], entropy=0.0)
+    assert mixture.exponent == 1.0 and found == {"s000": 10**12, "s001": 10**12, "s002": 400}
+
+
+def test_mixing_quotas_add_up(spark, monkeypatch):
+    draw = random.Random(9)
+    tokens = [draw.randrange(1, 10 ** draw.randrange(1, 9)) for _ in range(300)] + [7] * 50
+    for ranges in (mixing.RANGES, 1, 3):
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        for budget in (None, 12_345, 10**9):
+            mixture, found = plan_of(spark, tokens, entropy=0.9, epochs=1e9, budget=budget)
+            assert sum(found.values()) == mixture.budget == (budget or sum(tokens))
+    due = {f"s{i:03d}": (t / sum(tokens)) ** mixture.exponent / mixture.total * mixture.budget for i, t in enumerate(tokens)}
+    left = mixture.budget - sum(map(math.floor, due.values()))
+    more = sorted(due, key=lambda k: (math.floor(due[k]) - due[k], k))[:left]
+    assert found == {k: math.floor(x) + (k in more) for k, x in due.items()}
+
+
+def test_mixing_lowers_a_budget_beyond_the_limit(spark):
+    """Two sources of 1,000 tokens read at most four times give 8,000 tokens, not 20,000."""
+    mixture, found = plan_of(spark, [1000, 1000], epochs=4.0, budget=20_000)
+    assert (mixture.budget, mixture.asked, mixture.exponent) == (8000, 20_000, 1.0) and set(found.values()) == {4000}
+    docs = spark.createDataFrame([(i, "a b c d e", f"s{i % 2}") for i in range(400)], "doc_id bigint, text string, source string")
+    drawn = Counter(r["doc_id"] for r in mixing.mix(docs, epochs=4.0, budget=20_000).collect())
+    assert set(drawn.values()) == {4} and len(drawn) == 400
+
+
 def test_mixing_odd(odd):
     frame, rows = odd
     got = mixing.mix(frame, entropy=0.0).collect()
