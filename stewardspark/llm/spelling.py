@@ -39,7 +39,7 @@ THINNED = 199
 GROUPS = 26
 COARSE = (3, 6, 12)
 # Words and queries of one task; larger shards are dealt into blocks.
-SHARD_WORDS = 20_000
+SHARD_WORDS = 60_000
 SHARD_QUERIES = 100_000
 # Distinct words that a task counts before it sends them.
 HELD_WORDS = 200_000
