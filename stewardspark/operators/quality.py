@@ -17,8 +17,8 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -133,25 +133,57 @@ def _labelled(rule: Rule) -> list[Column]:
 # --- row rules: one aggregate per table ------------------------------------------------------
 
 
-def failure(rule: Rule) -> Column:
-    """Predicate of a row that breaks a completeness or validity rule. NULLs are valid."""
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+_TIMES = ("date", "timestamp", "timestamp_ntz")
+
+
+def _family(kind: str | None) -> str | None:
+    """``number``, ``time`` or ``text`` for the kinds of columns that values are compared with."""
+    if kind is None:
+        return None
+    name = kind.split("(")[0]
+    return "number" if name in _NUMBERS else "time" if name in _TIMES else "text" if name == "string" else None
+
+
+def _bound(value, family: str | None) -> Column:
+    """A bound of a range as what the column holds; one that cannot be that is an error of the rule."""
+    if family == "number" and isinstance(value, str):
+        value = float(value)
+    elif family == "time":
+        return moment(str(value))
+    return F.lit(value)
+
+
+def failure(rule: Rule, kind: str | None = None) -> Column:
+    """Predicate of a row that breaks a completeness or validity rule. NULLs are valid.
+
+    With the ``kind`` of its column, values are compared as what they are: in a text column a
+    number is compared with the text's number, and text that is none breaks the rule.
+    """
     c = F.col(rule.columns[0])
     if rule.rule_type == "COMPLETENESS":
         return c.isNull()
-    cfg = rule.config
+    cfg, family = rule.config, _family(kind)
     broken: list[Column] = []
-    if cfg.get("min_value") is not None:
-        broken.append(c < F.lit(cfg["min_value"]))
-    if cfg.get("max_value") is not None:
-        broken.append(c > F.lit(cfg["max_value"]))
+    low, high = cfg.get("min_value"), cfg.get("max_value")
+    numeric = any(isinstance(v, int | float) for v in (low, high)) or cfg.get("precision") is not None
+    number = c.try_cast("double") if family == "text" and numeric else c
+    if family == "text" and numeric:
+        broken.append(c.isNotNull() & number.isNull())
+    if low is not None:
+        broken.append(number < _bound(low, family))
+    if high is not None:
+        broken.append(number > _bound(high, family))
     if cfg.get("precision") is not None:
         digits, scale = int(cfg["precision"]), int(cfg.get("scale", 0))
-        broken.append(F.round(c, scale) != c)
-        broken.append(F.abs(c) >= F.lit(float(10 ** (digits - scale))))
+        broken.append(F.round(number, scale) != number)
+        broken.append(F.abs(number) >= F.lit(float(10 ** (digits - scale))))
     if cfg.get("allowed") is not None:
-        broken.append(~c.isin(list(cfg["allowed"])))
+        allowed = list(cfg["allowed"])
+        alike = family is None or all(isinstance(v, str) == (family == "text") for v in allowed)
+        broken.append(~c.isin(allowed) if alike and family != "time" else ~c.cast("string").isin([str(v) for v in allowed]))
     if cfg.get("pattern") is not None:
-        broken.append(~c.rlike(cfg["pattern"]))
+        broken.append(~(c if family in (None, "text") else c.cast("string")).rlike(cfg["pattern"]))
     if not broken:
         raise ValueError(f"rule {rule.rule_id} has no check in its configuration")
     out = broken[0]
@@ -160,21 +192,36 @@ def failure(rule: Rule) -> Column:
     return out
 
 
-def _failed_count(rule: Rule, as_of: AsOf | None) -> Column:
+def _failed_count(rule: Rule, as_of: AsOf | None, kind: str | None = None) -> Column:
     if rule.rule_type != "TIMELINESS":
-        return count_where(failure(rule))
+        return count_where(failure(rule, kind))
     if as_of is None:
         raise ValueError("timeliness rules need as_of")
-    age = days_crossed(F.max(rule.columns[0]), moment(as_of))
+    family = _family(kind)
+    if family == "number":
+        raise ValueError(f"rule {rule.rule_id} asks for the age of a number")
+    # Text that is no time has no age, like a NULL.
+    time = F.col(rule.columns[0]).try_cast("timestamp_ntz") if family == "text" else F.col(rule.columns[0])
+    age = days_crossed(F.max(time), moment(as_of))
     late = age.isNull() | (age > int(rule.config["max_age_days"]))
     return F.when(F.count(F.lit(1)) == 0, 0).when(late, 1).otherwise(0).cast("bigint")
 
 
+def _kind_of(df: DataFrame, rule: Rule) -> str | None:
+    """The kind of a rule's column, None if it is not a column by this very name."""
+    return dict(df.dtypes).get(rule.columns[0]) if rule.columns else None
+
+
+def _check_pattern(spark: SparkSession, pattern: str) -> None:
+    """Fails on a pattern that the engine cannot read, before any table is scanned."""
+    spark.sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).collect()
+
+
 def _one_pass(df: DataFrame, rules: Sequence[Rule], as_of: AsOf | None) -> DataFrame:
     """All row rules of one table from a single aggregate."""
     counted = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[_failed_count(r, as_of).alias(f"_f{i}") for i, r in enumerate(rules)],
+        *[_failed_count(r, as_of, _kind_of(df, r)).alias(f"_f{i}") for i, r in enumerate(rules)],
     )
 
     def rows(rule: Rule) -> Column:
@@ -206,18 +253,18 @@ def run_rules(
     Row rules share one scan per table (split only beyond ``RULES_PER_AGGREGATE`` rules).
     UNIQUENESS adds one job each; CONSISTENCY takes ``parent`` and ``parent_column`` from
     its configuration, ACCURACY ``source``, ``keys``, ``source_column``, ``tol_abs`` and
-    ``tol_pct``, SCHEMA_DRIFT the expected ``columns`` with their types.
+    ``tol_pct``, SCHEMA_DRIFT the expected ``columns`` with their types. Without an enabled
+    rule there are no rows.
     """
     live = [r for r in rules if r.enabled_flag]
-    if not live:
-        raise ValueError("there is no enabled rule")
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
     parts: list[DataFrame] = []
     broken: list[Rule] = []
     by_table: dict[str, list[Rule]] = {}
     for r in live:
         try:
             counted = _counted(r, tables, as_of)
-        except (KeyError, ValueError, TypeError, AttributeError, AnalysisException):
+        except (KeyError, ValueError, TypeError, AttributeError, IndexError, PySparkException):
             broken.append(r)
             continue
         if counted is None:
@@ -228,20 +275,26 @@ def run_rules(
         for i in range(0, len(row_rules), RULES_PER_AGGREGATE):
             parts.append(_one_pass(tables[name], row_rules[i : i + RULES_PER_AGGREGATE], as_of))
     done = [_judged(union_all(parts), warn_margin)] if parts else []
-    return union_all(done + [_not_run(broken, next(iter(tables.values())))] * bool(broken))
+    return union_all(done + [_not_run(broken, spark)] * (bool(broken) or not parts))
 
 
 def _counted(r: Rule, tables: Mapping[str, DataFrame], as_of: AsOf | None) -> DataFrame | None:
     """Row and failure counts of a rule with a job of its own; None for a row rule.
 
-    Building the plan analyses it, so whatever is missing shows here.
+    Whatever a rule lacks shows here: a row rule on a plain column by the kind of that column,
+    any other by the analysis of its plan.
     """
     if UNREADABLE in r.config:
         raise ValueError(f"rule {r.rule_id} has an unreadable configuration")
     float(r.threshold)
     df, cfg = tables[r.dataset_id], r.config
     if r.rule_type in ROW_RULES:
-        df.agg(_failed_count(r, as_of))
+        kind = _kind_of(df, r)
+        count = _failed_count(r, as_of, kind)
+        if r.rule_type != "COMPLETENESS" and cfg.get("pattern") is not None:
+            _check_pattern(df.sparkSession, cfg["pattern"])
+        if kind is None or (r.rule_type != "COMPLETENESS" and _family(kind) is None):
+            df.agg(count)
         return None
     if r.rule_type == "UNIQUENESS":
         return _duplicates(df, r.columns)
@@ -251,6 +304,9 @@ def _counted(r: Rule, tables: Mapping[str, DataFrame], as_of: AsOf | None) -> Da
     if r.rule_type == "ACCURACY":
         (col,) = r.columns
         source = tables[cfg["source"]].withColumnRenamed(cfg.get("source_column", col), col)
+        for side in (df, source):
+            if _family(dict(side.dtypes)[col]) != "number":
+                raise ValueError(f"rule {r.rule_id} compares what is no number")
         found = accuracy_vs_source(
             df, source, cfg["keys"], col, float(cfg.get("tol_abs", 0)), float(cfg.get("tol_pct", 0))
         )
@@ -267,9 +323,9 @@ def _counted(r: Rule, tables: Mapping[str, DataFrame], as_of: AsOf | None) -> Da
     raise ValueError(f"rule {r.rule_id} has the unknown type {r.rule_type}")
 
 
-def _not_run(rules: Sequence[Rule], any_table: DataFrame) -> DataFrame:
+def _not_run(rules: Sequence[Rule], spark: SparkSession) -> DataFrame:
     data = [(r.rule_id, r.rule_type, r.dataset_id, r.column_name) for r in rules]
-    return any_table.sparkSession.createDataFrame(
+    return spark.createDataFrame(
         data, "rule_id string, rule_type string, dataset_id string, column_name string"
     ).select(
         "*",
@@ -361,6 +417,11 @@ def uniqueness(
 def _orphans(
     child: DataFrame, parent: DataFrame, child_cols: Sequence[str], parent_cols: Sequence[str]
 ) -> DataFrame:
+    # Keys of different kinds are compared as text, so that no value fails to be cast.
+    kinds = [(dict(child.dtypes).get(c), dict(parent.dtypes).get(p)) for c, p in zip(child_cols, parent_cols)]
+    for c, p, (a, b) in zip(child_cols, parent_cols, kinds):
+        if None not in (a, b) and _family(a) != _family(b):
+            child, parent = child.withColumn(c, F.col(c).cast("string")), parent.withColumn(p, F.col(p).cast("string"))
     counts = _keyed_counts(child, child_cols)
     names = [f"_k{i}" for i in range(len(child_cols))]
     known = parent.select(*[F.col(c).alias(n) for c, n in zip(parent_cols, names)]).distinct()

@@ -223,3 +223,47 @@ def test_every_declared_reference_is_reported(spark):
     assert len(found) == 42
     (one_,) = [r for r in found if r.status == "AUDITED"]
     assert (one_.child_table, one_.keyed_rows, one_.orphan_rows) == ("risk_item", 2, 1)
+
+
+def test_a_bad_rule_does_not_stop_the_others(spark):
+    """Faults that only show when rows are read: patterns, text where numbers or times are asked for."""
+    df = spark.createDataFrame(
+        [("1", "2024-01-31", 1, "2024-01-01"), ("x", "soon", 2, "2024-02-01"), (None, None, 3, None)],
+        "n string, seen string, k int, day string",
+    ).withColumn("day", F.col("day").cast("date"))
+    parent = spark.createDataFrame([("1",), ("2",), ("b",)], "k string")
+    rules = [
+        q.Rule("good", "COMPLETENESS", "t", "n"),
+        q.Rule("bad pattern", "VALIDITY", "t", "n", {"pattern": "(["}),
+        q.Rule("pattern", "VALIDITY", "t", "n", {"pattern": "^[0-9]$"}),
+        q.Rule("number pattern", "VALIDITY", "t", "k", {"pattern": "^[12]$"}),
+        q.Rule("text range", "VALIDITY", "t", "n", {"min_value": 0, "max_value": 5}),
+        q.Rule("text precision", "VALIDITY", "t", "n", {"precision": 3, "scale": 0}),
+        q.Rule("text allowed", "VALIDITY", "t", "n", {"allowed": [1, 2]}),
+        q.Rule("number allowed", "VALIDITY", "t", "k", {"allowed": ["1", "b"]}),
+        q.Rule("date range", "VALIDITY", "t", "day", {"min_value": "2024-01-15"}),
+        q.Rule("bad date", "VALIDITY", "t", "day", {"min_value": "never"}),
+        q.Rule("bad bound", "VALIDITY", "t", "k", {"min_value": "many"}),
+        q.Rule("text time", "TIMELINESS", "t", "seen", {"max_age_days": 5}),
+        q.Rule("number time", "TIMELINESS", "t", "k", {"max_age_days": 5}),
+        q.Rule("kinds", "CONSISTENCY", "t", "k", {"parent": "p", "parent_column": "k"}),
+        q.Rule("text accuracy", "ACCURACY", "t", "n", {"source": "t", "keys": ["k"]}),
+        q.Rule("no column", "TIMELINESS", "t", None, {"max_age_days": 5}),
+    ]
+    found = q.run_rules(rules, {"t": df, "p": parent}, "2024-02-02").collect()
+    assert {r.rule_id: r.failed_count for r in found if r.outcome != "ERROR"} == {
+        "good": 1, "pattern": 1, "number pattern": 1, "text range": 1, "text precision": 1, "text allowed": 1,
+        "number allowed": 2, "date range": 1, "text time": 0, "kinds": 1,
+    }
+    assert {r.rule_id for r in found if r.outcome == "ERROR"} == {
+        "bad pattern", "bad date", "bad bound", "number time", "text accuracy", "no column",
+    }
+
+
+def test_no_enabled_rule_gives_no_rows(spark):
+    df = spark.createDataFrame([(1,)], "n int")
+    off = q.Rule("off", "COMPLETENESS", "t", "n", enabled_flag=False)
+    some = q.run_rules([q.Rule("on", "COMPLETENESS", "t", "n")], {"t": df})
+    for rules, tables in (([], {"t": df}), ([off], {"t": df}), ([off], {})):
+        none = q.run_rules(rules, tables)
+        assert none.collect() == [] and none.dtypes == some.dtypes
