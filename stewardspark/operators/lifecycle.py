@@ -142,6 +142,60 @@ def attestation_coverage(df: DataFrame, start: AsOf, end: AsOf) -> DataFrame:
     )
 
 
+def interval_union(
+    df: DataFrame, key: str, from_col: str, to_col: str, bucket: str = "month", split_rows: int | None = None,
+) -> DataFrame:
+    """The disjoint spans that the intervals of each key cover together, with the gap before each.
+
+    Intervals reach from ``from_col`` to before ``to_col``; those that touch join up, empty
+    ones and those without a start or an end are left out. Columns: the key, ``span_from``,
+    ``span_to`` and ``previous_to``, the end of the span before. The sweep runs inside (key,
+    time bucket), so a key with very many intervals is spread over time.
+    """
+    kept = df.where(F.col(from_col) < F.col(to_col)).select(
+        F.col(key), F.col(from_col).alias("_from"), F.col(to_col).alias("_to")
+    )
+    order = ["_from", "_to"]
+    swept = running_max(kept, [key], order, "_from", F.col("_to"), "_reached", bucket, split_rows=split_rows)
+    fresh = F.col("_reached").isNull() | (F.col("_from") > F.col("_reached"))
+    # Starts only grow, so the newest fresh start is the start of the span a row belongs to.
+    placed = running_max(
+        swept, [key], order, "_from", F.when(fresh, F.col("_from")), "_span", bucket, include_current=True,
+        split_rows=split_rows,
+    )
+    return placed.groupBy(key, F.col("_span").alias("span_from")).agg(
+        F.max("_to").alias("span_to"),
+        F.max(F.when(F.col("_from") == F.col("_span"), F.when(fresh, F.col("_reached")))).alias("previous_to"),
+    )
+
+
+def attested_days(df: DataFrame, start: AsOf, end: AsOf, split_rows: int | None = None) -> DataFrame:
+    """Days of a period that approved attestations cover, per scope, and the gaps that are left.
+
+    Both ends of the period and of an attestation are days that count. Every scope of the
+    table has a row: ``covered_days``, ``gap_days``, ``gaps`` and ``longest_gap`` in days.
+    """
+    first, after = moment(start).cast("date"), F.date_add(moment(end).cast("date"), 1)
+    clipped = df.where(F.col("status") == "APPROVED").select(
+        "scope_id", F.greatest("period_start", first).alias("_a"), F.least(F.date_add("period_end", 1), after).alias("_b")
+    ).where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    spans = interval_union(clipped, "scope_id", "_a", "_b", split_rows=split_rows)
+    gap = F.datediff("span_from", "previous_to")
+    lead, trail = F.datediff(F.min("span_from"), first), F.datediff(after, F.max("span_to"))
+    covered = spans.groupBy("scope_id").agg(
+        F.sum(F.datediff("span_to", "span_from")).alias("covered_days"),
+        (F.count("previous_to") + (lead > 0).cast("bigint") + (trail > 0).cast("bigint")).alias("gaps"),
+        F.greatest(F.max(gap), lead, trail).cast("bigint").alias("longest_gap"),
+    )
+    days = F.datediff(after, first).cast("bigint")
+    scopes = df.where("scope_id IS NOT NULL").select("scope_id").distinct()
+    return scopes.join(covered, "scope_id", "left").select(
+        "scope_id", F.coalesce("covered_days", F.lit(0).cast("bigint")).alias("covered_days"),
+        (days - F.coalesce("covered_days", F.lit(0))).alias("gap_days"),
+        F.coalesce("gaps", F.lit(1).cast("bigint")).alias("gaps"), F.coalesce("longest_gap", days).alias("longest_gap"),
+    )
+
+
 def current_certification(events: DataFrame, ds: DataFrame) -> DataFrame:
     """Certification by the newest event, and whether the registry disagrees with it."""
     last = newest(events, ["dataset_id"], [F.desc("effective_at"), F.desc("event_id")]).select(

@@ -45,13 +45,42 @@ def _daily_by_domain(facts: DataFrame, key: str, domain_of: DataFrame, total: st
     the same, and a hot key is one row per day when it moves. Whether the registry side is
     broadcast is left to Spark, which checks its size.
     """
-    counted = facts.groupBy("metric_date", key).agg(*_outcome_counts(total))
+    return by_domain(facts.groupBy("metric_date", key).agg(*_outcome_counts(total)), key, domain_of, total)
+
+
+def by_domain(counted: DataFrame, key: str, domain_of: DataFrame, total: str) -> DataFrame:
+    """Counts per (day, key) as counts per day and domain."""
     sums = [F.sum(c).alias(c) for c in (total, *(name for _, name in _OUTCOMES))]
     return (
         counted.join(domain_of, key, "left").groupBy("metric_date", "domain_name").agg(*sums)
     )
 
 
+def dataset_domains(ds: DataFrame, domain: DataFrame) -> DataFrame:
+    return (
+        ds.select("dataset_id", "domain_id")
+        .join(domain.select("domain_id", "domain_name"), "domain_id", "left")
+        .select("dataset_id", "domain_name")
+    )
+
+
+def control_domains(control: DataFrame, ds: DataFrame, domain: DataFrame) -> DataFrame:
+    """Only dataset-scoped controls resolve to a domain."""
+    scoped = ds.select(F.col("dataset_id").alias("scope_id"), "domain_id").withColumn(
+        "scope_type", F.lit("DATASET")
+    )
+    return (
+        control.select("control_id", "scope_type", "scope_id")
+        .join(scoped, ["scope_type", "scope_id"], "left")
+        .join(domain.select("domain_id", "domain_name"), "domain_id", "left")
+        .select("control_id", "domain_name")
+    )
+
+
+QUALITY_NAMES = {"passed": "passed_tests", "failed": "failed_tests", "warning": "warning_tests"}
+CONTROL_NAMES = {"passed": "passed_controls", "failed": "failed_controls", "warning": "warning_controls"}
+
+
 def daily_process_metrics(run: DataFrame, as_of: AsOf, days: int = 30) -> DataFrame:
     minutes = minutes_crossed("started_at", "ended_at")
     return (
@@ -72,19 +101,12 @@ def daily_quality_metrics(
     res: DataFrame, ds: DataFrame, domain: DataFrame, as_of: AsOf, days: int = 30
 ) -> DataFrame:
     """Per day and domain; results whose dataset has no domain form a NULL domain row."""
-    domain_of = (
-        ds.select("dataset_id", "domain_id")
-        .join(domain.select("domain_id", "domain_name"), "domain_id", "left")
-        .select("dataset_id", "domain_name")
-    )
     facts = res.where(since("created_at", as_of, days)).select(
         F.to_date("created_at").alias("metric_date"), "dataset_id", "outcome"
     )
     return _daily_by_domain(
-        facts, "dataset_id", domain_of, "total_dq_tests"
-    ).withColumnsRenamed(
-        {"passed": "passed_tests", "failed": "failed_tests", "warning": "warning_tests"}
-    )
+        facts, "dataset_id", dataset_domains(ds, domain), "total_dq_tests"
+    ).withColumnsRenamed(QUALITY_NAMES)
 
 
 def daily_control_metrics(
@@ -96,23 +118,12 @@ def daily_control_metrics(
     days: int = 30,
 ) -> DataFrame:
     """Per day and domain; only dataset-scoped controls resolve to a domain."""
-    scoped = ds.select(F.col("dataset_id").alias("scope_id"), "domain_id").withColumn(
-        "scope_type", F.lit("DATASET")
-    )
-    domain_of = (
-        control.select("control_id", "scope_type", "scope_id")
-        .join(scoped, ["scope_type", "scope_id"], "left")
-        .join(domain.select("domain_id", "domain_name"), "domain_id", "left")
-        .select("control_id", "domain_name")
-    )
     facts = test.where(since("executed_at", as_of, days)).select(
         F.to_date("executed_at").alias("metric_date"), "control_id", "outcome"
     )
     return _daily_by_domain(
-        facts, "control_id", domain_of, "total_control_tests"
-    ).withColumnsRenamed(
-        {"passed": "passed_controls", "failed": "failed_controls", "warning": "warning_controls"}
-    )
+        facts, "control_id", control_domains(control, ds, domain), "total_control_tests"
+    ).withColumnsRenamed(CONTROL_NAMES)
 
 
 def governance_metrics(
@@ -125,16 +136,22 @@ def governance_metrics(
     as_of: AsOf,
     days: int = 30,
 ) -> DataFrame:
-    """Daily process, quality and control metrics side by side, with a weighted score.
+    """Daily process, quality and control metrics side by side, with a weighted score."""
+    return side_by_side(
+        daily_process_metrics(run, as_of, days),
+        daily_quality_metrics(res, ds, domain, as_of, days),
+        daily_control_metrics(test, control, ds, domain, as_of, days),
+        as_of,
+    )
+
+
+def side_by_side(pm: DataFrame, qm: DataFrame, cm: DataFrame, as_of: AsOf) -> DataFrame:
+    """The daily process, quality and control roll-ups as one table.
 
     The three roll-ups meet in full outer joins on (date, domain). A NULL domain joins
     nothing and stays a row of its own; a union and regroup would merge those rows. An empty
     domain name is joined as it is and shown as NULL.
     """
-    pm = daily_process_metrics(run, as_of, days)
-    qm = daily_quality_metrics(res, ds, domain, as_of, days)
-    cm = daily_control_metrics(test, control, ds, domain, as_of, days)
-
     pq = pm.join(qm, ["metric_date", "domain_name"], "full")
     joined = pq.join(cm, ["metric_date", "domain_name"], "full")
 

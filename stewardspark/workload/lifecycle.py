@@ -155,6 +155,35 @@ def _(t):
     return k.attestation_coverage(t.attestation, "2024-01-01", "2024-01-15")
 
 
+@query(
+    "attested_days",
+    "attestation",
+    """WITH day AS (SELECT unnest(generate_series(DATE '2023-12-01', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS d),
+x AS (SELECT s.scope_id, d, EXISTS (SELECT 1 FROM attestation a WHERE a.scope_id = s.scope_id AND a.status = 'APPROVED'
+    AND d BETWEEN a.period_start AND a.period_end) AS held FROM (SELECT DISTINCT scope_id FROM attestation) s, day),
+g AS (SELECT scope_id, d - CAST(row_number() OVER (PARTITION BY scope_id ORDER BY d) AS INTEGER) AS island FROM x WHERE NOT held),
+n AS (SELECT scope_id, island, count(*) AS n FROM g GROUP BY ALL)
+SELECT scope_id, count(*) FILTER (held) AS covered_days, count(*) FILTER (NOT held) AS gap_days,
+  (SELECT count(*) FROM n WHERE n.scope_id = x.scope_id) AS gaps,
+  coalesce((SELECT max(n) FROM n WHERE n.scope_id = x.scope_id), 0) AS longest_gap FROM x GROUP BY scope_id""",
+)
+def _(t):
+    return k.attested_days(t.attestation, "2023-12-01", "2024-01-31")
+
+
+@query(
+    "ownership_spans",
+    "map_dataset_owner",
+    """WITH o AS (SELECT dataset_id, effective_from AS a, effective_to AS b FROM map_dataset_owner WHERE effective_from < effective_to),
+m AS (SELECT *, max(b) OVER (PARTITION BY dataset_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM o),
+i AS (SELECT *, count(*) FILTER (r IS NULL OR a > r) OVER (PARTITION BY dataset_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS n FROM m),
+s AS (SELECT dataset_id, n, min(a) AS span_from, max(b) AS span_to FROM i GROUP BY ALL)
+SELECT dataset_id, span_from, span_to, lag(span_to) OVER (PARTITION BY dataset_id ORDER BY span_from) AS previous_to FROM s""",
+)
+def _(t):
+    return k.interval_union(t.map_dataset_owner, "dataset_id", "effective_from", "effective_to")
+
+
 @query(
     "current_certification",
     "certification_event dim_dataset",

@@ -143,3 +143,36 @@ def test_retention_exceptions_and_changes(spark, rows):
     assert rows(k.change_state(cr, votes), "cr_id", "decided_state", "approvers") == [
         ("x", "APPROVED", 1), ("y", "CHANGES_REQUESTED", 2), ("z", "PENDING", 0)
     ]
+
+
+def test_interval_union(spark):
+    """Random intervals against the set of days they hold; split or not, the spans are the same."""
+    draw = random.Random(3)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(f"k{draw.randrange(4)}", (a := draw.randrange(120)), a + draw.randrange(-1, 9)) for _ in range(90)]
+    frame = spark.createDataFrame(
+        [(k, day(a), day(b)) for k, a, b in rows] + [("k0", None, day(5)), ("k0", day(5), None)], "k string, a date, b date"
+    )
+    want = set()
+    for key in {k for k, _, _ in rows}:
+        days = sorted({d for k, a, b in rows if k == key for d in range(a, b)})
+        starts = [d for d in days if d - 1 not in days]
+        ends = [d + 1 for d in days if d + 1 not in days]
+        want |= {(key, day(a), day(b), day(p) if p is not None else None) for a, b, p in zip(starts, ends, [None, *ends])}
+    for split in (None, 3):
+        found = k.interval_union(frame, "k", "a", "b", split_rows=split)
+        assert {tuple(r[c] for c in ("k", "span_from", "span_to", "previous_to")) for r in found.collect()} == want
+
+
+def test_attested_days(spark):
+    day = dt.date
+    frame = spark.createDataFrame(
+        [
+            ("whole", day(2023, 1, 1), day(2025, 1, 1), "APPROVED"), ("none", day(2024, 1, 1), day(2024, 1, 31), "REJECTED"),
+            ("two", day(2024, 1, 1), day(2024, 1, 10), "APPROVED"), ("two", day(2024, 1, 11), day(2024, 1, 12), "APPROVED"),
+            ("two", day(2024, 1, 20), day(2024, 1, 22), "APPROVED"), ("outside", day(2024, 3, 1), day(2024, 3, 2), "APPROVED"),
+        ],
+        "scope_id string, period_start date, period_end date, status string",
+    )
+    found = {r["scope_id"]: tuple(r)[1:] for r in k.attested_days(frame, "2024-01-01", "2024-01-31").collect()}
+    assert found == {"whole": (31, 0, 0, 0), "none": (0, 31, 1, 31), "two": (15, 16, 2, 9), "outside": (0, 31, 1, 31)}
