@@ -9,11 +9,13 @@ number stays in proportion to the set. Candidates are verified on the whole sets
 
 Equal sets are one node from the start. Classes of linked documents are grown in two rounds.
 First the nodes under a signature are compared with one of them, the one that has the fewest
-tokens of its own, so a group of copies costs about one comparison per copy. Signatures whose
-nodes are then in different classes tie these classes into groups, and all nodes of a group
-that are still apart are compared block by block, without emitting pairs. Tokens that no
-other document holds cannot be shared: pairs that are too far apart by their sizes without
-those tokens are never compared.
+tokens of its own, so a group of copies costs about one comparison per copy. Then the nodes
+that share a signature and are still in different classes are paired, signature by signature
+and in ranges of sizes that can be similar. A sketch of each set, the parity of its tokens in
+a few bits per token, bounds from above what two sets share; only pairs that pass it are
+emitted and verified. Signatures with the same nodes are looked at once. Tokens that no other
+document holds cannot be shared: pairs that are too far apart by their sizes without those
+tokens are never compared.
 """
 
 from __future__ import annotations
@@ -36,11 +38,10 @@ PERCENT = 80
 RARE = 100
 # A class of frequent tokens holds about this many tokens of a set.
 CLASS_TOKENS = 16
-# Nodes and tokens of a block; two blocks are compared in one task.
-BLOCK_NODES = 256
-BLOCK_TOKENS = 200_000
-# Tokens whose common occurrences are counted at once.
-SLICE_TOKENS = 8_192
+# Nodes of a block; two blocks are compared in one task, by their sketches.
+BLOCK_NODES = 2048
+# Least and most bits of a sketch.
+SKETCH_BITS = (256, 65_536)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = 0x9E3779B97F4A7C15
@@ -96,6 +97,29 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens by hash, in about two bits per token.
+
+    Where two sketches differ, the sets differ in a token at least; a longer sketch is folded
+    to half its length by combining its halves.
+    """
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], 1 << (2 * len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens >> _U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of 64-bit words, all as long as the shortest."""
+    width = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), width), np.uint64)
+    for k, data in enumerate(sketches):
+        words = np.frombuffer(data, np.uint64)
+        while len(words) > width:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        out[k] = words
+    return out
+
+
 def _note(texts: list[bytes]) -> bytes:
     """Digest and size of each set, twenty bytes per document."""
     out = []
@@ -192,7 +216,7 @@ def members(packs: DataFrame) -> DataFrame:
 
 
 def index(packs: DataFrame, heads: DataFrame, percent: int, rare: int) -> DataFrame:
-    """One row per distinct set that has a signature: ``node``, ``n``, ``s``, ``keys``, ``body``.
+    """One row per distinct set that has a signature: ``node``, ``n``, ``s``, ``keys``, ``sketch``, ``body``.
 
     ``s`` is the number of tokens that other documents may hold as well.
     """
@@ -202,7 +226,7 @@ def index(packs: DataFrame, heads: DataFrame, percent: int, rare: int) -> DataFr
         F.collect_list(F.col("node") % PACK_DOCUMENTS).alias("chosen")
     )
     told = counts.unionByName(chosen, allowMissingColumns=True)
-    arrow = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("keys", pa.list_(pa.int64())), ("body", pa.binary())])
+    arrow = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("body", pa.binary())])
 
     def sign(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, out = right.to_pylist(), []
@@ -219,13 +243,14 @@ def index(packs: DataFrame, heads: DataFrame, percent: int, rare: int) -> DataFr
                 if len(keys):
                     out.append({
                         "node": pack["pack"] * PACK_DOCUMENTS + k, "n": len(tokens),
-                        "s": int((held > 1).sum()), "keys": keys.astype(np.int64), "body": squeezer.compress(texts[k]),
+                        "s": int((held > 1).sum()), "keys": keys.astype(np.int64), "sketch": sketch(tokens),
+                        "body": squeezer.compress(texts[k]),
                     })
         return pa.Table.from_pylist(out, schema=arrow)
 
     needed = packs.select("pack", "sizes", "body")
     return needed.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(
-        sign, "node bigint, n bigint, s bigint, keys array<bigint>, body binary"
+        sign, "node bigint, n bigint, s bigint, keys array<bigint>, sketch binary, body binary"
     )
 
 
@@ -378,7 +403,8 @@ def _grow(work: _Work, rows: DataFrame, nodes: DataFrame, percent: int) -> DataF
     )
     label = work.keep(rows.select("node", F.col("node").alias("class")).distinct())
     label = _joined(work, label, work.keep(verified(pairs, nodes, percent)))
-    return _joined(work, label, work.keep(_apart(work, rows.join(label, "node"), nodes, percent)))
+    close = work.keep(_close(work, rows.join(label, "node"), nodes, percent))
+    return _joined(work, label, work.keep(verified(close, nodes, percent)))
 
 
 def _joined(work: _Work, label: DataFrame, links: DataFrame) -> DataFrame:
@@ -395,68 +421,74 @@ def _joined(work: _Work, label: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _apart(work: _Work, placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links among candidates that are still in different classes.
+def _close(work: _Work, placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) under a signature that are in different classes and may be similar.
 
-    Classes that share a key form a group; its nodes are dealt into blocks by hash, and each
-    pair of blocks is one small group of rows, compared in a task. A block has a bounded
-    number of nodes and tokens; a node is sent once per block of its group.
+    Similar sets lie in the same range of sizes or in the next; so each node is held by its
+    own range and visits the next one. A (signature, range) of many nodes is dealt into blocks
+    by hash, and every two blocks are a group of their own.
     """
-    ties = work.keep(
-        placed.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last"))
-        .where("first <> last").select("key", "first")
+    node_hash = F.xxhash64("node")
+    ties = (
+        placed.groupBy("key")
+        .agg(
+            F.min("class").alias("first"), F.max("class").alias("last"), F.count("*").alias("c"),
+            F.bit_xor(node_hash).alias("x"), F.min("node").alias("low"), F.max("node").alias("high"),
+        )
+        .where("first <> last")
+        # Of signatures with the same nodes one is enough.
+        .groupBy("x", "c", "low", "high").agg(F.min("key").alias("key")).select("key")
+    )
+    open_rows = work.keep(placed.join(ties, "key").select("key", "node", "n", "s", "class"))
+    # A little wider than the similarity asks for, so that rounding moves no set two ranges off.
+    ratio = 1.0001 * float(np.log(100 / percent)) if percent < 100 else 1.0
+    own = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
+    at = [F.struct((own + k).alias("range"), F.lit(k == 0).alias("home")) for k in (0, 1)]
+    held = open_rows.select("*", F.explode(F.array(*at)).alias("g")).select(
+        "key", "node", "n", "s", "class", "g.range", "g.home"
     )
-    if ties.isEmpty():
-        return placed.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    open_rows = work.keep(placed.join(ties, "key").select("node", "n", "class", "first").distinct())
-    edges = open_rows.where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b"))
-    group_of = components(work, edges.distinct()).toDF("class", "tied")
-    inside = work.keep(open_rows.select("node", "n", "class").distinct().join(group_of, "class"))
-    sizes = inside.groupBy("tied").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_TOKENS)
-        ).cast("int").alias("blocks")
+    sizes = (
+        held.groupBy("key", "range")
+        .agg(F.min("class").alias("first"), F.max("class").alias("last"), F.bool_or("home").alias("any"), F.count("*").alias("c"))
+        .where("any AND first <> last")
+        .select("key", "range", F.ceil(F.col("c") / BLOCK_NODES).cast("int").alias("blocks"))
     )
     dealt = (
-        inside.join(sizes, "tied")
+        held.join(sizes, ["key", "range"])
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("node", "class", "tied", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        .join(nodes.select("node", "body"), "node")
+        .select(
+            "key", "range", "node", "n", "s", "class", "home", "own",
+            F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        )
+        .join(nodes.select("node", "sketch"), "node")
     )
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
-        node, own, kind = (table.column(c).to_numpy() for c in ("node", "own", "class"))
-        reader = zstandard.ZstdDecompressor()
-        sets = [shingles(reader.decompress(x)) for x in table.column("body").to_pylist()]
-        n = np.array([len(s) for s in sets], np.int64)
-        common = _common(sets)
-        fits = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-        fits &= (kind[:, None] != kind[None, :]) & (node[:, None] < node[None, :])
-        if table.column("low")[0].as_py() != table.column("high")[0].as_py():
-            fits &= own[:, None] != own[None, :]
-        i, j = np.nonzero(fits)
-        return pa.Table.from_pydict({"a": node[i], "b": node[j]}, schema=arrow)
-
-    return dealt.groupBy("tied", "low", "high").applyInArrow(compare, "a bigint, b bigint")
-
-
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Number of common tokens of every two sets."""
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    tokens, place_of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[place_of]
-    owner, column = owner[keep], column[place_of[keep]]
-    for start in range(0, int(shared.sum()), SLICE_TOKENS):
-        here = (column >= start) & (column < start + SLICE_TOKENS)
-        held = np.zeros((len(sets), SLICE_TOKENS), np.float32)
-        held[owner[here], column[here] - start] = 1
-        out += held @ held.T
-    return out.astype(np.int64)
+        n, s, node, kind, home, own = (table.column(c).to_numpy() for c in ("n", "s", "node", "class", "home", "own"))
+        bits = _folded(table.column("sketch").to_pylist())
+        within = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        left, right = [], []
+        for i in range(len(n) - 1):
+            after = slice(i + 1, None)
+            both = n[i] + n[after]
+            fits = (kind[after] != kind[i]) & (home[after] | home[i]) & ((100 + percent) * np.minimum(s[after], s[i]) >= percent * both)
+            if not within:
+                fits &= own[after] != own[i]
+            at = np.flatnonzero(fits) + i + 1
+            if len(at):
+                differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                total = n[at] + n[i]
+                at = at[(100 + percent) * (total - differ) >= 2 * percent * total]
+                left.append(np.full(len(at), node[i]))
+                right.append(node[at])
+        if not left:
+            return arrow.empty_table()
+        x, y = np.concatenate(left), np.concatenate(right)
+        return pa.Table.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema=arrow)
+
+    return dealt.groupBy("key", "range", "low", "high").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,6 +341,36 @@ def test_jaccard_join_in_many_blocks(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == want and len(set(want)) < len(rows)
 
 
+def test_sketches_bound_the_overlap():
+    """However sketches are folded, they differ in no more places than the sets in tokens."""
+    draw = np.random.default_rng(4)
+    pool = jaccard_join._mix(np.arange(1, 9000, dtype=np.uint64))
+    sets = [np.unique(draw.choice(pool, n)) for n in (1, 40, 130, 700, 2000, 9000)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 9 // 10], draw.choice(pool, len(s) // 20)))) for s in sets]
+    for a in sets:
+        for b in sets:
+            x, y = jaccard_join._folded([jaccard_join.sketch(a), jaccard_join.sketch(b)])
+            assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_boilerplate_is_not_compared_in_pairs(spark):
+    """Documents of three out of 60 passages share signatures, but hardly any pair of them is verified."""
+    draw = random.Random(5)
+    passages = [" ".join(f"p{p}w{draw.randrange(10**6)}" for _ in range(40)) for p in range(60)]
+    rows = [(i, " ".join(draw.sample(passages, 3))) for i in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    work = jaccard_join._Work(spark)
+    packs = jaccard_join.pack_documents(frame, "doc_id", "text", jaccard_join._note, folder=work.folder)
+    heads = jaccard_join._heads(work, packs)
+    nodes = work.keep(jaccard_join.index(packs, heads, 80, 100))
+    held = jaccard_join._candidates(work, nodes)
+    close = jaccard_join._close(work, held.withColumn("class", F.col("node")), nodes, 80).count()
+    sets = [brute.shingles(t) for _, t in rows]
+    assert close <= 10 * len(brute.linked(sets)) + 20
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(frame).collect()}
+    assert [got[i] for i, _ in rows] == brute.classes(len(rows), brute.linked(sets))
+
+
 @pytest.mark.parametrize("rare", [1, jaccard_join.RARE])
 def test_jaccard_links(spark, rare):
     rows = near_copies(12)
