@@ -226,11 +226,15 @@ def _routes(words: DataFrame, coarse: int) -> DataFrame:
 
 def _coarse(words: DataFrame, choices: tuple[int, ...], shard_words: int) -> int:
     """The smallest number of coarse groups whose largest shard fits a task, else the largest."""
-    letters = F.transform(F.split("word", ""), lambda c: F.ascii(F.encode(c, "ISO-8859-1").cast("binary")))
+    letters = F.transform(F.split("word", ""), lambda c: F.ascii(c))
+
+    def held(groups: int, k: int):
+        return F.size(F.filter("letters", lambda c: c % groups == k)).cast("string")
+
     for groups in choices[:-1]:
-        counts = [F.size(F.filter("letters", lambda c, k=k: c % groups == k)) for k in range(groups)]
         largest = (
-            words.select(letters.alias("letters")).select(F.concat_ws(",", *[c.cast("string") for c in counts]).alias("shard"))
+            words.select(letters.alias("letters"))
+            .select(F.concat_ws(",", *[held(groups, k) for k in range(groups)]).alias("shard"))
             .groupBy("shard").count().agg(F.max("count")).first()[0]
         )
         if (largest or 0) <= shard_words:
