@@ -1,14 +1,15 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Patterns find candidate credentials; their values are hashed and counted by distinct
-repositories and distinct owners over the whole corpus. A value that many owners hold is a
-widely copied example; a value of one owner that looks random is live-looking. Candidates
-of the looser patterns become findings only when they are live-looking.
+repositories and distinct owners over the whole corpus. A value that many owners hold, or
+that lies in very many repositories of few, is a widely copied example; a value of one owner
+that looks random and is not spread like that is live-looking. Candidates of the looser
+patterns become findings only when they are live-looking.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -16,6 +17,8 @@ from .rows import column
 
 # Owners from which on a value counts as a widely copied example.
 SHARED_OWNERS = 3
+# Repositories from which on it does whoever owns them.
+SHARED_REPOSITORIES = 20
 # Distinct characters that a live-looking value has at least.
 DISTINCT_CHARS = 8
 
@@ -38,61 +41,42 @@ BASE = KINDS[:3]
 
 
 def found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
-    """Matches as an array of (kind, first, end, value); offsets in characters, end exclusive.
+    """Matches in order as an array of (kind, i, gap, size, hash, random, whole).
 
-    The pieces between matches tell where each match starts. A text without any match costs
-    one look; ``group`` holds the secret part, ``least`` is its smallest length.
+    ``gap`` is the number of characters since the match before, ``size`` that of the match; the
+    offsets are sums of both. ``group`` holds the secret part; a match whose part is shorter
+    than ``least`` is not ``whole`` and only counts for the offsets of others. A text without
+    any match costs one look.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,m:string>>").alias("out"))
-    walk = F.aggregate(
-        F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("m")),
-        start,
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.concat(
-                s["out"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("a"), x["m"].alias("m")))
-            ).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    spans = F.transform(
-        walk,
-        lambda x: F.struct(
-            F.lit(kind).alias("kind"),
-            x["a"].alias("first"),
-            (x["a"] + F.length(x["m"])).alias("end"),
-            (F.regexp_extract(x["m"], pattern, group) if group else x["m"]).alias("value"),
-        ),
-    )
-    if least:
-        spans = F.filter(spans, lambda x: F.length(x["value"]) >= least)
-    return F.when(text.rlike(pattern), spans).otherwise(
-        F.array().cast("array<struct<kind:string,first:int,end:int,value:string>>")
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+
+    def piece(x: Column, i: Column) -> Column:
+        value = F.regexp_extract(x["m"], pattern, group) if group else x["m"]
+        return F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("size"),
+            F.sha2(value, 256).alias("hash"), _live_looking(value).alias("random"), (F.length(value) >= least).alias("whole"),
+        )
+
+    return F.when(text.rlike(pattern), F.transform(F.arrays_zip(gaps.alias("gap"), matches.alias("m")), piece)).otherwise(
+        F.array().cast("array<struct<kind:string,i:int,gap:int,size:int,hash:string,random:boolean,whole:boolean>>")
     )
 
 
 def candidates(docs: DataFrame, text: str, owner: str, repository: str, doc_id: str) -> DataFrame:
-    """All spans of a document, base and loose, without the text; stored once.
+    """All matches of a document, base and loose, without the text; stored once.
 
     ``row`` numbers the stored rows, so documents may repeat or lack an id.
     """
     body = F.coalesce(column(text), F.lit(""))
-    spans = F.concat(
+    pieces = F.concat(
         found(body, ASSIGN, "assign", 2, 6), found(body, ACCESS, "access"),
         found(body, HEX, "hex"), found(body, LOOSE, "loose"),
     )
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), column(doc_id).alias("doc_id"),
         column(owner).cast("string").alias("owner"), column(repository).cast("string").alias("repository"),
-        F.transform(
-            spans,
-            lambda s: F.struct(
-                s["kind"].alias("kind"), s["first"].alias("first"), s["end"].alias("end"),
-                F.sha2(s["value"], 256).alias("hash"), _live_looking(s["value"]).alias("random"),
-            ),
-        ).alias("spans"),
+        pieces.alias("pieces"),
     )
     spark = docs.sparkSession
     path = scratch_path(spark, "secrets")
@@ -100,6 +84,16 @@ def candidates(docs: DataFrame, text: str, owner: str, repository: str, doc_id:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """One row per candidate with its offsets: running sums over the matches of a text and kind."""
+    flat = rows.select("row", F.explode("pieces").alias("p")).select("row", "p.*")
+    upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum((F.col("gap") + F.col("size")).cast("bigint")).over(upto)
+    return flat.withColumn("end", end).where("whole").select(
+        "row", "kind", (F.col("end") - F.col("size")).alias("first"), "end", "hash", "random"
+    )
+
+
 def _live_looking(value: Column) -> Column:
     chars = F.size(F.array_distinct(F.split(value, "")))
     plain = value.rlike(f"(?i){PLAIN}")
@@ -113,7 +107,7 @@ def ownership(rows: DataFrame) -> DataFrame:
     a value that sits in a third of all documents is spread by its repositories. A null owner
     or repository counts as one of its own.
     """
-    held = rows.select("owner", "repository", F.explode("spans").alias("s")).select("owner", "repository", "s.hash")
+    held = rows.select("owner", "repository", F.explode("pieces").alias("p")).where("p.whole").select("owner", "repository", "p.hash")
     repositories = held.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
     owners = held.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     return repositories.join(owners, "hash")
@@ -121,21 +115,22 @@ def ownership(rows: DataFrame) -> DataFrame:
 
 def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source",
-    repository: str = "doc_id", shared_owners: int = SHARED_OWNERS,
+    repository: str = "doc_id", shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``spans`` with ownership, live and shared marks.
 
     Null text counts as empty; a document without candidates has an empty list. ``shared``
-    values have at least ``shared_owners`` owners, ``live`` ones have one owner and look
-    random. Loose candidates that are not live are left out.
+    values have at least ``shared_owners`` owners or ``shared_repositories`` repositories,
+    ``live`` ones have one owner, fewer repositories than that and look random. Loose candidates
+    that are not live are left out. Texts are read whole; what a very long one costs grows with
+    its length, as its matches are rows of their own when offsets are summed.
     """
     rows = candidates(docs, text, owner, repository, doc_id)
     counts = ownership(rows)
-    flat = rows.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     judged = (
-        flat.join(counts, "hash")
-        .withColumn("shared", F.col("owners") >= shared_owners)
-        .withColumn("live", (F.col("owners") == 1) & F.col("random"))
+        placed(rows).join(counts, "hash")
+        .withColumn("shared", (F.col("owners") >= shared_owners) | (F.col("repositories") >= shared_repositories))
+        .withColumn("live", (F.col("owners") == 1) & ~F.col("shared") & F.col("random"))
         .where(F.col("kind").isin(*BASE) | F.col("live"))
     )
     order = F.struct(
@@ -172,8 +167,8 @@ def summary(result: DataFrame) -> DataFrame:
     )
 
 
-def check_sql(shared_owners: int = SHARED_OWNERS) -> str:
-    """The same summary of ``documents`` with the source as owner, in SQL.
+def check_sql(shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> str:
+    """The same summary of ``documents`` with the source as owner and the document as repository, in SQL.
 
     Pieces between matches give the offsets here too; all else is counted from a flat table
     of candidates.
@@ -194,9 +189,9 @@ def check_sql(shared_owners: int = SHARED_OWNERS) -> str:
 c AS ({every}),
 f AS (SELECT doc_id, owner, kind, rank, v, list_sum(list_transform(gaps[1:i], lambda z: length(z)))
     + coalesce(list_sum(list_transform(found[1:i - 1], lambda z: length(z))), 0) AS a, length(found[i]) AS n FROM c),
-o AS (SELECT v, count(DISTINCT owner) AS owners FROM f GROUP BY v),
-j AS (SELECT doc_id, kind, rank, a, kind || ':' || a || ':' || (a + n) AS span, owners >= {shared_owners} AS shared,
-  owners = 1 AND len(list_distinct(string_split(v, ''))) >= {DISTINCT_CHARS} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+o AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT doc_id) AS repositories FROM f GROUP BY v),
+j AS (SELECT doc_id, kind, rank, a, kind || ':' || a || ':' || (a + n) AS span, owners >= {shared_owners} OR repositories >= {shared_repositories} AS shared,
+  owners = 1 AND repositories < {shared_repositories} AND len(list_distinct(string_split(v, ''))) >= {DISTINCT_CHARS} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
     AND NOT regexp_matches(v, '{PLAIN}', 'i') AS live FROM f JOIN o USING (v)),
 g AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY a, rank) FILTER (kind IN ({base})) AS base,
   string_agg(span, ',' ORDER BY a, rank) AS spans, count_if(live)::BIGINT AS n_live, count_if(shared)::BIGINT AS n_shared

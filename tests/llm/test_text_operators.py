@@ -184,6 +184,24 @@ def test_secret_base_spans(tricky):
         assert set(filter(None, brute.written(want).split(","))) <= set(got["spans"].split(","))
 
 
+def test_secrets_of_a_very_long_text(spark):
+    """A listing of tens of thousands of checksums: offsets are summed, not gathered in an array."""
+    draw = random.Random(2)
+    text = "\n".join(f"é {draw.getrandbits(128):032x}  file{i}.txt token={draw.getrandbits(64):x}" for i in range(30_000))
+    frame = spark.createDataFrame([(1, text, "s"), (2, "nothing", "s")], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in secret_scan.summary(secret_scan.scan(frame)).collect()}
+    assert got[1]["base_sha256"] == brute.sha(brute.written(brute.secrets(text))) and got[2]["spans"] == ""
+
+
+def test_secrets_in_many_repositories_are_copies(spark):
+    """A value of one owner is live-looking in a few repositories and a copy in very many."""
+    value = "a8Kd93LmQz71Xy"
+    rows = [(i, f"secret={value}", "one") for i in range(25)] + [(100, f"secret={value[::-1]}", "one")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: (r["n_live"], r["n_shared"]) for r in secret_scan.summary(secret_scan.scan(frame)).collect()}
+    assert set(got[i] for i in range(25)) == {(0, 1)} and got[100] == (1, 0)
+
+
 def test_secret_ownership(spark):
     shared, own, loose = "token = abcd1234EFGH5678", "token = zyxw9876LKJH5432", "ghp_q1w2e3r4t5y6u7i8o9p0"
     rows = [(i, shared + " " + loose, f"owner{i}") for i in range(4)] + [(9, own + " ghp_m1n2b3v4c5x6z7l8k9j0", "owner9")]

@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
@@ -72,6 +72,18 @@ def test_spelling_chains(spark):
     assert found == dict.fromkeys(words, "letttters")
 
 
+def test_coarse_groups_follow_the_largest_shard(spark):
+    words = [f"{a}{b}été" for a in "abcdefgh" for b in ("ab", "cd", "éa", "zz")]
+    frame = spark.createDataFrame([(w, 5) for w in words], "word string, n bigint")
+    largest = {
+        k: max(Counter(map(tuple, spelling.vectors([w.encode("latin-1") for w in words], k).tolist())).values()) for k in (1, 2, 3)
+    }
+    assert largest[1] > largest[2] >= largest[3]
+    for k in (1, 2, 3):
+        assert spelling._coarse(frame, (1, 2, 3, 9), largest[k]) == min(j for j in largest if largest[j] <= largest[k])
+    assert spelling._coarse(frame, (1, 2, 3, 9), 0) == 9
+
+
 def test_trie_search_meets_every_near_vector():
     draw = random.Random(5)
     words = sorted({"".join(draw.choices("abcd", k=draw.randrange(3, 8))).encode() for _ in range(400)})
