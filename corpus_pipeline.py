@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stewardspark.llm import decontamination, jaccard_join, language, line_dedup, mixing
-from stewardspark.session import scratch_path
+from stewardspark.session import drop_folder, scratch_path
 from stewardspark.sources.driver_tables import read_driver
 
 
@@ -52,11 +52,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture of the documents table; every stage is written and read back."""
-    docs = read_driver(spark, sf_dir, "documents")
+    """The mixture of the documents table; every stage is written and read back.
+
+    A stage's copy goes as soon as the next one is written. The mixture is planned from token
+    counts that its stage stores, so the last copy goes as well.
+    """
+    docs, before = read_driver(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         kept = stage(spark, docs, sf_dir)
         kept.write.parquet(path)
         docs = spark.read.schema(kept.schema).parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            drop_folder(spark, before)
+        before = path
+    result = STAGES[-1][1](spark, docs, sf_dir)
+    drop_folder(spark, before)
+    return result
