@@ -2,8 +2,9 @@
 
 The state holds, per digest of the normalised text, the stable identifier (smallest document
 id), the content locator of that document (file and row) and the number of documents seen.
-A digest with more than one document is a hit: its full texts are then compared byte by
-byte, and texts that only share a digest are told apart.
+A digest with more than one document is a hit: its full texts are then compared with the
+text at the locator. Where all are the same, the state's answer stands; only the documents of
+a digest that different texts share are grouped anew, by their full texts.
 """
 
 from __future__ import annotations
@@ -94,39 +95,39 @@ def current_state(spark: SparkSession, target: str, like: DataFrame, doc_id: str
 def deduplicate(
     docs: DataFrame, state: DataFrame, doc_id: str = "doc_id", text: str = "text", digits: int = 64
 ) -> DataFrame:
-    """One row per document with the id that stays, from the documents and the state.
+    """One row per document with the id that stays, from the state and the files it was made of.
 
-    Null text counts as empty. Without any id in a group ``keep_id`` is null. Rows that share
-    both id and text are one document for ``kept`` and count each for ``group_size``.
+    Null text counts as empty. Without any id in a group ``keep_id`` is null. Exactly one row of
+    a group is ``kept``: the one at the locator, the first by id (null last), file and row.
+    ``docs`` reads the files of the stream, so that its rows have locators. Texts are compared
+    whole, however long; equal ones meet as one row per task.
     """
     norm = normalised(column(text))
-    rows = docs.select(column(doc_id).alias("doc_id"), norm.alias("norm")).withColumn(
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    rows = docs.select(column(doc_id).alias("doc_id"), norm.alias("norm"), place.alias("locator")).withColumn(
         "text_sha256", F.sha2("norm", 256)
     ).withColumn("digest", F.left("text_sha256", F.lit(digits)))
-    # Grouping by the text itself compares full bytes; copies meet as one row per task.
-    def by_content(some: DataFrame) -> DataFrame:
-        return some.groupBy("digest", "norm").agg(
-            F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")
-        )
-
     spark = docs.sparkSession
     path = scratch_path(spark, "checked")
-    hits = rows.join(state.where("n > 1").select("digest"), "digest", "left_semi")
-    found = by_content(hits).drop("norm")
-    found.write.parquet(path)
-    checked = spark.read.schema(found.schema).parquet(path)
-    clashing = checked.groupBy("digest").count().where("count > 1").select("digest")
-    single = state.where("n = 1").select("digest", "keep_id", F.col("n").alias("group_size"))
-    plain = rows.select("doc_id", "digest", "text_sha256")
+    hits = rows.withColumnRenamed("locator", "own").join(state.where("n > 1").select("digest", "locator"), "digest")
+    texts = hits.groupBy("digest", "norm").agg(F.bool_or(F.col("own") == F.col("locator")).alias("located"))
+    differing = texts.groupBy("digest").agg(F.count("*").alias("texts"), F.bool_or("located").alias("found"))
+    differing.where("texts > 1 OR NOT found").select("digest").write.parquet(path)
+    clashing = spark.read.schema("digest string").parquet(path)
+    answers = state.select("digest", "keep_id", F.col("n").alias("group_size"), F.col("locator").alias("kept_at"))
+    plain = rows.select("doc_id", "locator", "digest", "text_sha256")
     if clashing.isEmpty():
-        joined = plain.join(single.unionByName(checked), "digest")
+        joined = plain.join(answers, "digest")
     else:
-        sure = single.unionByName(checked.join(clashing, "digest", "left_anti"))
         apart = rows.join(clashing, "digest", "left_semi")
-        joined = plain.join(sure, "digest").unionByName(
-            apart.join(by_content(apart), ["digest", "norm"]).drop("norm")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator"))
+        by_content = apart.groupBy("digest", "norm").agg(first.alias("first"), F.count("*").alias("group_size"))
+        anew = by_content.select(
+            "digest", "norm", F.col("first.doc_id").alias("keep_id"), "group_size", F.col("first.locator").alias("kept_at")
+        )
+        joined = plain.join(answers.join(clashing, "digest", "left_anti"), "digest").unionByName(
+            apart.join(anew, ["digest", "norm"]).drop("norm")
         )
     return joined.select(
-        "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
+        "doc_id", "keep_id", "group_size", (F.col("locator") == F.col("kept_at")).alias("kept"), "text_sha256",
     )

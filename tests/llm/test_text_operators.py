@@ -52,9 +52,13 @@ def test_streaming_dedup(spark, request, which, digits):
     for r, t in zip(rows, norm):
         if r[0] is not None:
             keep[t] = min(keep.get(t, r[0]), r[0])
-    size = Counter(norm)
+    size, taken, stays = Counter(norm), set(), []
+    # One row of each group stays, also of rows that share the smallest id, or have none at all.
+    for r, t in zip(rows, norm):
+        stays.append(t not in taken and r[0] == keep.get(t))
+        taken.update([t] if stays[-1] else [])
     want = sorted(
-        ((r[0], keep.get(t), size[t], r[0] == keep.get(t), brute.sha(t)) for r, t in zip(rows, norm)),
+        ((r[0], keep.get(t), size[t], k, brute.sha(t)) for r, t, k in zip(rows, norm, stays)),
         key=lambda r: tuple((v is not None, str(v)) for v in r),
     )
     assert rows_of(streaming_dedup.deduplicate(docs, state, digits=digits)) == want
@@ -77,6 +81,13 @@ def test_streaming_dedup_takes_new_files(spark, corpus):
     assert kept == state.count()
 
 
+def test_streaming_dedup_of_nothing(spark, nothing):
+    stream, docs = write_stream(spark, nothing)
+    target = scratch_path(spark, "state")
+    streaming_dedup.stream_state(stream, target, target + "-progress")
+    assert streaming_dedup.deduplicate(docs, streaming_dedup.current_state(spark, target, docs)).collect() == []
+
+
 # -- personal data and secrets -------------------------------------------------------------
 
 TRICKY = [
