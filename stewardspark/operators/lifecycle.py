@@ -72,6 +72,7 @@ def interval_overlaps(
     from_col: str = "effective_from",
     to_col: str = "effective_to",
     bucket: str = "month",
+    split_rows: int | None = None,
 ) -> DataFrame:
     """Intervals that begin before an earlier interval of the same key has ended.
 
@@ -82,7 +83,8 @@ def interval_overlaps(
     start = F.coalesce(F.col(from_col), moment("0001-01-01").cast(kind))
     kept = df.select(key, id_col, from_col, to_col, start.alias("_start"), end.alias("_end"))
     reached = running_max(
-        kept, [key], ["_start", id_col], "_start", F.col("_end"), "covered_until", bucket
+        kept, [key], ["_start", id_col], "_start", F.col("_end"), "covered_until", bucket,
+        split_rows=split_rows,
     )
     return reached.where("_start < covered_until").drop("_start", "_end")
 

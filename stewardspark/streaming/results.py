@@ -106,6 +106,34 @@ def outcome_windows(
     )
 
 
+def outcome_panes(results: DataFrame, size: str, slide: str, delay: str = "1 hour") -> DataFrame:
+    """The sliding windows of ``outcome_windows`` as sums of panes.
+
+    A row is counted once, in its pane of the length of the slide; a window is the sum of the
+    panes it is made of. So the state and the exchange hold a row per pane and outcome, where
+    a plain sliding window takes a copy of every row for each of its windows. The size has to
+    be a multiple of the slide.
+    """
+    lengths = results.sparkSession.sql(
+        f"SELECT CAST(INTERVAL {size} AS INTERVAL DAY TO SECOND) AS size, CAST(INTERVAL {slide} AS INTERVAL DAY TO SECOND) AS slide"
+    ).first()
+    if lengths["size"] % lengths["slide"]:
+        raise ValueError(f"a window of {size} is not made of panes of {slide}")
+    kind = dict(results.dtypes)[EVENT_TIME]
+    panes = (
+        with_watermark(results, EVENT_TIME, delay)
+        .groupBy(F.window(EVENT_TIME, slide).alias("pane"), "outcome").agg(F.count(F.lit(1)).alias("n"))
+    )
+    return (
+        panes.groupBy(F.window(F.window_time("pane"), size, slide).alias("w"), "outcome")
+        .agg(F.sum("n").alias("results"))
+        .select(
+            F.col("w.start").cast(kind).alias("window_start"), F.col("w.end").cast(kind).alias("window_end"),
+            "outcome", "results",
+        )
+    )
+
+
 def failures(results: DataFrame) -> DataFrame:
     return results.where("outcome = 'FAIL'").select("rule_id", EVENT_TIME)
 
@@ -128,20 +156,23 @@ def stream_failure_sessions(
     )
 
 
-def failure_sessions(results: DataFrame, gap: str, bucket: str = "day") -> DataFrame:
+def failure_sessions(
+    results: DataFrame, gap: str, bucket: str = "day", split_rows: int | None = None
+) -> DataFrame:
     """The same sessions over a finished table, with hot rules split by time.
 
     A failure starts a session when the one before it is further away than the gap. Both
-    the failure before and the start of the current session are running maxima.
+    the failure before and the start of the current session are running maxima; ``split_rows``
+    cuts the full buckets of both finer.
     """
     rows = failures(results).groupBy("rule_id", EVENT_TIME).agg(F.count(F.lit(1)).alias("n"))
     at = F.col(EVENT_TIME)
-    before = running_max(rows, ["rule_id"], [EVENT_TIME], EVENT_TIME, at, "before", bucket)
+    before = running_max(rows, ["rule_id"], [EVENT_TIME], EVENT_TIME, at, "before", bucket, split_rows=split_rows)
     gap_after = F.col("before") + F.expr(f"INTERVAL {gap}")
     opens = F.col("before").isNull() | (at > gap_after)
     placed = running_max(
         before, ["rule_id"], [EVENT_TIME], EVENT_TIME, F.when(opens, at), "session_start", bucket,
-        include_current=True,
+        include_current=True, split_rows=split_rows,
     )
     return placed.groupBy("rule_id", "session_start").agg(
         (F.max(at) + F.expr(f"INTERVAL {gap}")).alias("session_end"),

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..operators import audits as au
+from ..operators import digests
 from ..operators import quality as q
 from ..operators.quality import Rule
 from ..sources import tables as declared
@@ -270,6 +271,50 @@ def _(t):
     return _rated(q.accuracy_vs_source(actual, source, ["k"], "v", 1000.0, 5.0))
 
 
+def _edited_orders(t):
+    """The orders and a copy with a few prices changed, some rows gone and some new."""
+    old = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    k = F.col("o_orderkey")
+    price = F.when(k % 997 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    new = old.where(k % 1499 != 2).withColumn("o_totalprice", price)
+    added = old.where(k % 1999 == 3).withColumn("o_orderkey", -k)
+    return old, new.unionByName(added)
+
+
+_EDITED = """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 997 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders
+  WHERE o_orderkey % 1499 <> 2 UNION ALL SELECT -o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 1999 = 3"""
+
+
+@query(
+    "dq_changed_rows",
+    "",
+    f"""WITH n AS ({_EDITED})
+SELECT coalesce(o_orderkey, k) AS o_orderkey, CASE WHEN o_orderkey IS NULL THEN 'MISSING_LEFT' WHEN k IS NULL THEN 'MISSING_RIGHT'
+  ELSE 'DIFFERENT' END AS change FROM orders FULL JOIN n ON k = o_orderkey WHERE v IS DISTINCT FROM o_totalprice""",
+)
+def _(t):
+    old, new = _edited_orders(t)
+    return digests.changed_rows(old, new, ["o_orderkey"], ["o_custkey", "o_totalprice", "o_orderstatus"])
+
+
+@query(
+    "dq_accuracy_by_digests",
+    "",
+    f"""WITH n AS ({_EDITED}),
+c AS (SELECT count(*) AS row_count, count(k) FILTER (o_orderkey IS NOT NULL) AS compared, count(*) FILTER (k IS NULL) AS missing_in_source,
+  count(*) FILTER (o_orderkey IS NULL) AS missing_in_actual, count(*) FILTER (abs(v - o_totalprice) > 0.5) AS mismatched
+  FROM orders FULL JOIN n ON k = o_orderkey)
+SELECT *, round(100.0::DOUBLE * (row_count - mismatched - missing_in_source - missing_in_actual) / row_count, 6) AS rate, 'WARN' AS outcome FROM c""",
+)
+def _(t):
+    old, new = _edited_orders(t)
+    return _rated(
+        digests.accuracy_by_digests(
+            old.withColumnRenamed("o_totalprice", "v"), new.withColumnRenamed("o_totalprice", "v"), ["o_orderkey"], "v", 0.5
+        )
+    )
+
+
 @query(
     "dq_timeliness",
     "",

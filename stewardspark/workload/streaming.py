@@ -55,6 +55,17 @@ def _(t):
     return s.drain(s.outcome_windows(end.stream, "6 hours", "2 hours"), "outcomes-sliding", [end])
 
 
+@query("dq_outcomes_panes", "dq_result", SLIDING)
+def _(t):
+    return s.outcome_panes(t.dq_result, "6 hours", "2 hours")
+
+
+@query("stream_outcomes_panes", "dq_result", SLIDING)
+def _(t):
+    end = _ended(t)
+    return s.drain(s.outcome_panes(end.stream, "6 hours", "2 hours"), "outcomes-panes", [end])
+
+
 SESSIONS = """WITH f AS (SELECT rule_id, created_at AS ts, lag(created_at) OVER (PARTITION BY rule_id ORDER BY created_at) AS before
   FROM dq_result WHERE outcome = 'FAIL'),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL '12' HOUR THEN 1 ELSE 0 END)
@@ -124,6 +135,21 @@ def _(t):
   CASE WHEN ended_at IS NULL THEN NULL ELSE error_message END AS error_message FROM process_run""",
 )
 def _(t):
+    return _run_pairs(t, "4 hours")
+
+
+@query(
+    "stream_run_pairs_timeout",
+    "process_run",
+    """WITH r AS (SELECT *, ended_at <= started_at + INTERVAL '90' MINUTE AS done FROM process_run)
+SELECT run_id, process_id, started_at, CASE WHEN done THEN ended_at END AS ended_at,
+  CASE WHEN done THEN status ELSE 'UNFINISHED' END AS status, CASE WHEN done THEN error_message END AS error_message FROM r""",
+)
+def _(t):
+    return _run_pairs(t, "90 minutes")
+
+
+def _run_pairs(t, timeout):
     runs = project(t.stream("orders"), "process_run")
     starts = runs.select("run_id", "process_id", "started_at")
     ends = project(t.stream("orders"), "process_run").where("ended_at IS NOT NULL").select(
@@ -131,7 +157,7 @@ def _(t):
     )
     first = s.StreamEnd(starts, "started_at", run_id="end of starts")
     last = s.StreamEnd(ends, "ended_at", run_id="end of ends")
-    pairs = stream_run_pairs(first.stream, last.stream, "4 hours")
+    pairs = stream_run_pairs(first.stream, last.stream, timeout)
     return s.drain(pairs, "run-pairs", [first, last])
 
 

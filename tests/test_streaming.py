@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stewardspark.session import scratch_path
 from stewardspark.streaming import results as s
@@ -184,3 +185,13 @@ def test_enrichment_equals_batch(spark, rows, seed):
     stream = feed(spark, data, seed["dq_result"].schema.simpleString()[7:-1].replace(":", " "), 3)
     got = s.drain(s.stream_enrich(stream, *dims), "enriched")
     assert rows(got) == rows(dq_results_enriched(seed["dq_result"], *dims))
+
+
+def test_panes_equal_sliding_windows(spark):
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", o) for h in range(24) for m in (0, 29, 59) for o in ("PASS", "FAIL")]
+    frame = spark.createDataFrame(rows, "created_at string, outcome string").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    want = s.outcome_windows(frame, "6 hours", "2 hours")
+    found = s.outcome_panes(frame, "6 hours", "2 hours")
+    assert found.dtypes == want.dtypes and sorted(found.collect()) == sorted(want.collect())
+    with pytest.raises(ValueError, match="panes"):
+        s.outcome_panes(frame, "5 hours", "2 hours")
