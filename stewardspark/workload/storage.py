@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.clock import moment
-from ..operators import day_states
+from ..operators import day_bitmaps, day_states
 from ..session import scratch_path
 from ..sources import snapshots, versioned
 from .dml import MERGED, run_changes
@@ -103,3 +103,37 @@ def _incremental(t):
 
 QUERIES["governance_metrics_incremental"] = _incremental
 ORACLES["governance_metrics_incremental"] = ORACLES["governance_metrics"]
+
+
+def _seen_datasets(t):
+    """The datasets of the results, day by day, in two batches; one is taken twice."""
+    folder = scratch_path(t.spark, "day-bitmaps")
+    rows = t.dq_result.select(
+        F.to_date("created_at").alias("metric_date"), F.col("dataset_id").alias("value"),
+        F.pmod(F.xxhash64("evidence_ref"), F.lit(2)).alias("half"),
+    )
+    for n in (1, 0, 1):
+        day_bitmaps.take(folder, f"batch-{n}", rows.where(F.col("half") == n))
+    return folder
+
+
+@query(
+    "rolling_distinct_datasets",
+    "dq_result",
+    """WITH x AS (SELECT DISTINCT created_at::DATE AS d, dataset_id FROM dq_result WHERE dataset_id IS NOT NULL)
+SELECT a.d AS metric_date, count(DISTINCT b.dataset_id) AS distinct_values
+FROM (SELECT DISTINCT d FROM x) a JOIN x b ON b.d BETWEEN a.d - 6 AND a.d GROUP BY a.d""",
+)
+def _(t):
+    return day_bitmaps.rolling_distinct(t.spark, _seen_datasets(t), 7)
+
+
+@query(
+    "monitored_datasets_by_domain",
+    "dq_result dim_dataset",
+    """SELECT domain_id, count(DISTINCT r.dataset_id) AS distinct_values FROM dq_result r JOIN dim_dataset d ON d.dataset_id = r.dataset_id
+WHERE r.created_at::DATE BETWEEN DATE '2024-01-06' AND DATE '2024-02-05' GROUP BY domain_id""",
+)
+def _(t):
+    members = t.dim_dataset.select("domain_id", F.col("dataset_id").alias("value"))
+    return day_bitmaps.distinct_by_group(t.spark, _seen_datasets(t), members, "domain_id", "2024-01-06", AS_OF)
