@@ -9,11 +9,13 @@ session and pair is emitted, and the result equals the batch one for disorder be
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.common import newest, running_max
 from ..operators.views import dq_results_enriched
@@ -230,10 +232,10 @@ def _version(target: str, number: int, part: str = "rows") -> str:
     return f"{target}/version={number}/{part}"
 
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    """Finished snapshots, oldest first; the rows are written last."""
+def _versions(spark: SparkSession, target: str, last: str = "rows") -> list[int]:
+    """Finished snapshots, oldest first; the part named ``last`` is written last."""
     numbers = [int(n.split("=")[1]) for n in folder_names(spark, target) if n.startswith("version=")]
-    return sorted(n for n in numbers if "_SUCCESS" in folder_names(spark, _version(target, n)))
+    return sorted(n for n in numbers if "_SUCCESS" in folder_names(spark, _version(target, n, last)))
 
 
 def latest_snapshot(spark: SparkSession, target: str) -> DataFrame:
@@ -241,6 +243,87 @@ def latest_snapshot(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(_version(target, _versions(spark, target)[-1]))
 
 
+# Buckets of the keys; a micro-batch rewrites those that its rows fall into.
+BUCKETS = 256
+
+
+def stream_newest(
+    results: DataFrame, run: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = ("rule_id",),
+    buckets: int = BUCKETS,
+) -> StreamingQuery:
+    """``stream_latest`` for many keys: a micro-batch reads and writes only the buckets it touches.
+
+    Keys are dealt into hash buckets. Each micro-batch writes the touched ones anew into its
+    own folder, and an index, a row per bucket, says which folder holds each bucket now. The
+    index is written last, so a micro-batch that fails shows nowhere, and a repeated one
+    starts from the index before it. Folders that the last two indexes do not name are removed.
+    ``buckets`` stays the same for a ``target``. Read the outcome with ``newest_snapshot``.
+    """
+    spark = results.sparkSession
+    order = [F.desc(c) for c in NEWEST_FIRST]
+    started = run.select("run_id", "started_at")
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        before = [v for v in _versions(spark, target, "index") if v < batch_id]
+        arrived = batch
+        if before:
+            waiting = spark.read.schema(batch.schema).parquet(_version(target, before[-1], "waiting"))
+            arrived = arrived.unionByName(waiting)
+        fresh = newest(arrived.join(started, "run_id"), keys, order).withColumn("bucket", place)
+        fresh.write.mode("overwrite").parquet(_version(target, batch_id, "fresh"))
+        fresh = spark.read.schema(fresh.schema).parquet(_version(target, batch_id, "fresh"))
+        arrived.join(started, "run_id", "left_anti").select(*batch.columns).write.mode("overwrite").parquet(
+            _version(target, batch_id, "waiting")
+        )
+        held = _index(spark, target, before[-1]) if before else {}
+        touched = {r["bucket"] for r in fresh.select("bucket").distinct().collect()}
+        old = _bucket_rows(spark, target, {b: v for b, v in held.items() if b in touched}, fresh.schema)
+        newest(fresh.unionByName(old), keys, order).withColumn("bucket", place).write.mode("overwrite").partitionBy("bucket").parquet(
+            _version(target, batch_id)
+        )
+        now = held | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame([(b, v, fresh.schema.json()) for b, v in now.items()] or [(None, None, fresh.schema.json())], _INDEX).coalesce(
+            1
+        ).write.mode("overwrite").parquet(_version(target, batch_id, "index"))
+        used = {batch_id, *now.values(), *before[-1:], *held.values()}
+        for name in folder_names(spark, target):
+            number = int(name.split("=")[1])
+            if number not in used:
+                drop_folder(spark, f"{target}/{name}")
+
+    return (
+        results.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+_INDEX = "bucket int, version bigint, schema string"
+
+
+def _index(spark: SparkSession, target: str, number: int) -> dict[int, int]:
+    """Which folder holds each bucket; at most as many entries as there are buckets."""
+    rows = spark.read.schema(_INDEX).parquet(_version(target, number, "index")).where("bucket IS NOT NULL").collect()
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def _bucket_rows(spark: SparkSession, target: str, held: dict[int, int], schema: StructType) -> DataFrame:
+    paths = [f"{_version(target, v)}/bucket={b}" for b, v in held.items()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    inside = StructType([f for f in schema.fields if f.name != "bucket"])
+    return spark.read.schema(inside).parquet(*paths).withColumn("bucket", F.lit(None).cast("int"))
+
+
+def newest_snapshot(spark: SparkSession, target: str) -> DataFrame:
+    """The rows that the last finished micro-batch of ``stream_newest`` has left."""
+    last = _versions(spark, target, "index")[-1]
+    schema = StructType.fromJson(json.loads(spark.read.schema(_INDEX).parquet(_version(target, last, "index")).first()["schema"]))
+    return _bucket_rows(spark, target, _index(spark, target, last), schema).drop("bucket")
+
+
 def stream_dedup_daily(results: DataFrame, delay: str = "1 day") -> DataFrame:
     """First arrival per dataset, rule and day.
 

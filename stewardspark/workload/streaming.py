@@ -116,6 +116,19 @@ def _(t):
     return s.latest_snapshot(t.spark, target)
 
 
+@query(
+    "stream_newest_dq_per_rule",
+    "dq_result dq_run",
+    f"""WITH l AS ({LATEST.format(keys="r.rule_id")})
+SELECT run_id, rule_id, dataset_id, outcome, evidence_ref, started_at FROM l WHERE rn = 1""",
+)
+def _(t):
+    results = _results(t).select("run_id", "rule_id", "dataset_id", "outcome", "evidence_ref")
+    target = scratch_path(t.spark, "newest")
+    s.stream_newest(results, t.dq_run, target, f"{target}-progress").awaitTermination()
+    return s.newest_snapshot(t.spark, target)
+
+
 @query(
     "stream_dedup_daily",
     "dq_result",

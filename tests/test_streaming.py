@@ -128,7 +128,8 @@ def test_latest_does_not_depend_on_arrival(spark, rows, results, shuffled):
     )
 
 
-def test_latest_restarts_idle_and_takes_late_runs(spark, rows):
+@pytest.mark.parametrize("stream_of, snapshot", [(s.stream_latest, s.latest_snapshot), (s.stream_newest, s.newest_snapshot)])
+def test_latest_restarts_idle_and_takes_late_runs(spark, rows, stream_of, snapshot):
     folder, target = scratch_path(spark, "input"), scratch_path(spark, "latest")
 
     def arrive(*data):
@@ -137,8 +138,8 @@ def test_latest_restarts_idle_and_takes_late_runs(spark, rows):
     def go(runs):
         run = spark.createDataFrame(runs, "run_id string, started_at timestamp_ntz")
         stream = spark.readStream.schema(DDL).parquet(folder)
-        s.stream_latest(stream, run, target, f"{target}-progress").awaitTermination()
-        return rows(s.latest_snapshot(spark, target), "rule_id", "run_id")
+        stream_of(stream, run, target, f"{target}-progress").awaitTermination()
+        return rows(snapshot(spark, target), "rule_id", "run_id")
 
     arrive(("R1", "Q", "D", "PASS", "e1", at(1)), ("R2", "Q", "D", "FAIL", "e2", at(2)))
     assert go([("R1", at(1))]) == [("Q", "R1")]
@@ -155,6 +156,26 @@ def test_latest_restarts_idle_and_takes_late_runs(spark, rows):
     assert len(folder_names(spark, target)) <= 3
 
 
+def test_newest_rewrites_touched_buckets_only(spark, rows):
+    """One key per micro-batch: the other buckets stay where they were; a repeated batch changes nothing."""
+    folder, target = scratch_path(spark, "input"), scratch_path(spark, "newest")
+    run = spark.createDataFrame([(f"R{i}", at(i)) for i in range(9)], "run_id string, started_at timestamp_ntz")
+
+    def go(*data):
+        spark.createDataFrame(list(data), DDL).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(DDL).parquet(folder)
+        s.stream_newest(stream, run, target, f"{target}-progress", buckets=16).awaitTermination()
+        return s._versions(spark, target, "index")[-1]
+
+    first = go(*[(f"R{i % 3}", f"Q{i}", "D", "PASS", f"e{i}", at(1)) for i in range(40)])
+    held = s._index(spark, target, first)
+    second = go(("R8", "Q7", "D", "FAIL", "late", at(2)), ("R0", "Q8", "D", "FAIL", "old", at(2)))
+    now = s._index(spark, target, second)
+    assert set(now) == set(held) and 1 <= sum(v == second for v in now.values()) <= 2
+    found = {r["rule_id"]: r["run_id"] for r in s.newest_snapshot(spark, target).collect()}
+    assert found == {f"Q{i}": "R8" if i == 7 else f"R{i % 3}" for i in range(40)}
+
+
 def test_daily_dedup_keys(spark, rows, results):
     _, data = results
     got = s.drain(s.stream_dedup_daily(feed(spark, data, DDL, 5), "2 days"), "d")
