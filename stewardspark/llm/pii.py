@@ -1,9 +1,11 @@
 """Personal data by weak supervision.
 
 Fixed patterns give the base spans. Looser patterns add candidates. Regex, gazetteer and
-context labelers vote on every candidate; expectation-maximisation over the counted vote
-patterns estimates how reliable each labeler is, and the resulting probabilities train a
-logistic span classifier that decides which of the looser candidates are added.
+context labelers vote on every candidate: a pattern of the kind's rules, one of its usual
+spelling, known values, and cue words before and after it. Expectation-maximisation over the
+counted vote patterns estimates for every kind how reliable each labeler is; base spans are
+known to be right. The resulting probabilities train a logistic span classifier that decides
+which of the looser candidates are added.
 """
 
 from __future__ import annotations
@@ -70,7 +72,9 @@ _CUES = {
     "birth_date": ("born", "birth", "dob", "geboren", "nacid"),
 }
 _AGAINST = ("version", "isbn", "order", "invoice", "ticket", "page", "section", "chapter")
-LABELERS = ("pattern", "gazetteer", "context")
+LABELERS = ("pattern", "gazetteer", "context", "following", "spelling")
+# Candidates that the rates of all kinds together weigh in the rates of one.
+PRIOR = 4.0
 
 
 def _luhn(digits: str) -> bool:
@@ -172,39 +176,76 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return kept
 
 
+_STRICT = {
+    "phone": re.compile(r"\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}"),
+    "birth_date": re.compile(r"(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|1[0-2])[./-](?:19[0-9]{2}|20[01][0-9])"),
+    "email": re.compile(r"[A-Za-z][A-Za-z0-9._-]* ?[\[(](?:at|AT)[\])] ?[A-Za-z][A-Za-z0-9-]*(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z-]{2,24})+"),
+}
+_CUE = {kind: re.compile(rf"\b(?:{'|'.join(words)})") for kind, words in _CUES.items()}
+
+
+def _pattern(kind: str, body: str, digits: str, is_base: bool) -> str:
+    """The rules of the kind: check digits, ranges of its parts."""
+    if is_base:
+        return "+"
+    if kind == "iban":
+        return "+" if _checks(body.replace(" ", "")) else "-"
+    if kind == "national_id":
+        return "-" if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else "+"
+    return "+" if _STRICT[kind].fullmatch(body) else "-"
+
+
+def _gazetteer(kind: str, body: str, digits: str) -> str:
+    """Known domains, calling codes, issuers and countries; nothing but placeholders against the rest."""
+    if kind == "email":
+        return "+" if re.split(r"[.\])\s]", body)[-1].lower() in _DOMAINS else "-"
+    if kind == "phone":
+        known = digits.startswith(_CALLING) if body[0] == "+" else digits[0] not in "01"
+        return "+" if known else "-"
+    if kind == "card":
+        return "+" if digits.startswith(_CARDS) else "-"
+    if kind == "iban":
+        return "+" if body[:2] in _COUNTRIES else "-"
+    if kind == "ip":
+        return "-" if body.startswith(("0.", "255.", "1.0.", "1.2.3.")) else "+"
+    return "-" if len(set(digits)) < 3 else "0"
+
+
+def _cue(kind: str, around: str) -> str:
+    if any(c in around for c in _AGAINST):
+        return "-"
+    return "+" if _CUE[kind].search(around) else "0"
+
+
+def _spelling(kind: str, body: str) -> str:
+    """Whether the span is written as its kind usually is: one separator, even groups."""
+    marks = {c for c in body if not c.isalnum()}
+    if kind == "phone":
+        return "+" if "(" in body or len(marks - {"+"}) <= 1 else "-"
+    if kind == "card":
+        groups = [len(g) for g in re.split(r"[ -]", body)]
+        return "+" if groups[:-1] == [4] * (len(groups) - 1) or groups == [4, 6, 5] or len(groups) == 1 else "-"
+    if kind == "iban":
+        groups = [len(g) for g in body.split(" ")]
+        return "+" if len(groups) == 1 or set(groups[:-1]) == {4} else "-"
+    if kind == "ip":
+        return "-" if any(len(p) > 1 and p[0] == "0" for p in body.split(".")) else "+"
+    if kind == "birth_date":
+        return "+" if len(marks) == 1 else "-"
+    return "0"
+
+
 def votes(text: str, span: tuple[int, int, int], is_base: bool) -> str:
-    """One sign per labeler: for, against, or nothing to say."""
+    """One sign per labeler: for, against, or nothing to say; ``!`` marks a base span."""
     start, kind_no, end = span
     kind, body = KINDS[kind_no], text[start:end]
     digits = _NOT_DIGIT.sub("", body)
-    around = text[max(0, start - CONTEXT) : start].lower()
-    if kind in ("email", "ip", "card", "phone"):
-        pattern = "+" if is_base else "0"
-    elif kind == "iban":
-        pattern = "+" if _checks(body.replace(" ", "")) else "-"
-    elif kind == "national_id":
-        pattern = "-" if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" else "0"
-    else:
-        pattern = "0"
-    if kind == "email":
-        gazetteer = "+" if re.split(r"[.\])\s]", body)[-1].lower() in _DOMAINS else "-"
-    elif kind == "phone":
-        known = digits.startswith(_CALLING) if body[0] == "+" else digits[0] not in "01"
-        gazetteer = "+" if known else "-"
-    elif kind == "card":
-        gazetteer = "+" if digits.startswith(_CARDS) else "-"
-    elif kind == "iban":
-        gazetteer = "+" if body[:2] in _COUNTRIES else "-"
-    elif kind == "ip":
-        gazetteer = "-" if body.startswith(("0.", "255.", "1.0.", "1.2.3.")) else "0"
-    else:
-        gazetteer = "-" if len(set(digits)) < 3 else "0"
-    context = "0"
-    if any(c in around for c in _AGAINST):
-        context = "-"
-    elif any(re.search(rf"\b{c}", around) for c in _CUES[kind]):
-        context = "+"
-    return f"{kind}|{pattern}{gazetteer}{context}"
+    signs = (
+        _pattern(kind, body, digits, is_base), _gazetteer(kind, body, digits),
+        _cue(kind, text[max(0, start - CONTEXT) : start].lower()), _cue(kind, text[end : end + CONTEXT].lower()),
+        _spelling(kind, body),
+    )
+    return f"{kind}|{''.join(signs)}" + "!" * is_base
 
 
 def features(text: str, span: tuple[int, int, int]) -> list[int]:
@@ -259,31 +300,37 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def reliabilities(counts: dict[str, int]) -> tuple[dict[str, float], dict[str, float]]:
     """Probability of being personal data per vote pattern, and each labeler's accuracy.
 
-    Expectation-maximisation on pattern counts: the prior per kind and, per labeler, how
-    often it votes each way on true and on false candidates.
+    Expectation-maximisation on pattern counts: the prior per kind and, per kind and labeler,
+    how often it votes each way on true and on false candidates. The rates of a kind lean on
+    those of all kinds together, so that a rare kind learns from the others. Base spans (``!``)
+    are true throughout, and tell nothing about how often the looser candidates are.
     """
     patterns = sorted(counts)
+    if not patterns:
+        return {}, {}
     n = np.array([counts[p] for p in patterns], float)
+    known = np.array([p.endswith("!") for p in patterns])
     kinds = sorted({p.split("|")[0] for p in patterns})
     kind = np.array([kinds.index(p.split("|")[0]) for p in patterns], int)
-    vote = np.array([["-0+".index(c) for c in p.split("|")[1]] for p in patterns], int)
-    if not patterns:
-        return {}, {}
+    vote = np.array([["-0+".index(c) for c in p.split("|")[1].rstrip("!")] for p in patterns], int)
+    mine = kind[None, :] == np.arange(len(kinds))[:, None]
     # Starting point: the majority of votes, undecided ones at one half.
-    q = 1 / (1 + np.exp(-1.5 * (vote - 1).sum(axis=1)))
+    q = np.where(known, 1.0, 1 / (1 + np.exp(-1.5 * (vote - 1).sum(axis=1))))
     for _ in range(ROUNDS):
-        rate = {}
-        prior = np.array([(n * q)[kind == k].sum() + 1 for k in range(len(kinds))])
-        prior /= np.array([n[kind == k].sum() + 2 for k in range(len(kinds))])
+        loose = np.where(known, 0.0, n)
+        prior = ((mine * loose) @ q + 1) / (mine @ loose + 2)
         log_odds = np.log(prior / (1 - prior))[kind]
         for j in range(vote.shape[1]):
-            true = np.bincount(vote[:, j], n * q, minlength=3) + np.array([0.5, 1, 2])
-            false = np.bincount(vote[:, j], n * (1 - q), minlength=3) + np.array([2, 1, 0.5])
-            rate[j] = (true / true.sum(), false / false.sum())
-            log_odds = log_odds + np.log(rate[j][0] / rate[j][1])[vote[:, j]]
-        q = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+            rates = []
+            for weight, lean in ((n * q, [0.5, 1, 2]), (n * (1 - q), [2, 1, 0.5])):
+                every = np.bincount(vote[:, j], weight, minlength=3) + np.array(lean)
+                every = PRIOR * every / every.sum()
+                own = np.array([np.bincount(vote[m, j], weight[m], minlength=3) for m in mine]) + every
+                rates.append(own / own.sum(axis=1, keepdims=True))
+            log_odds = log_odds + np.log(rates[0] / rates[1])[kind, vote[:, j]]
+        q = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(log_odds, -30, 30))))
     accuracy = {}
-    for j, name in enumerate(LABELERS):
+    for j, name in enumerate(LABELERS[: vote.shape[1]]):
         said = vote[:, j] != 1
         right = np.where(vote[:, j] == 2, q, 1 - q)
         accuracy[name] = float((n * right)[said].sum() / max(1.0, n[said].sum()))
@@ -317,7 +364,8 @@ def train(rows: list[tuple[list[int], float]], seed: int = 0) -> Classifier:
 def fit(spans: DataFrame, sample_spans: int = SAMPLE_SPANS) -> Classifier:
     """Reliabilities from the votes of all candidates, the classifier from a bounded sample.
 
-    Vote patterns are few (kinds times three per labeler), however many candidates there are.
+    Vote patterns are few (kinds times three signs per labeler), however many candidates there
+    are; base and loose spans are drawn alike.
     """
     flat = spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
     counts = {r["votes"]: r["count"] for r in flat.groupBy("votes").count().collect()}
@@ -333,7 +381,7 @@ def detect(spans: DataFrame, model: Classifier) -> DataFrame:
     """One row per document with its base counts, base digest and all spans.
 
     Null and empty texts have no spans. Base spans always stay; a looser candidate is added
-    from a probability of one half.
+    from a probability of one half. Texts are read whole, very long ones too.
     """
     shared = spans.sparkSession.sparkContext.broadcast(model)
 

@@ -133,6 +133,49 @@ def test_pii_reliabilities():
     assert accuracy["pattern"] > 0.9 and accuracy["gazetteer"] > 0.9 and accuracy["context"] < 0.7
 
 
+def test_pii_reliabilities_differ_by_kind():
+    """A labeler that is right on one kind and wrong on another is believed on the first only; base spans are true."""
+    draw = random.Random(2)
+    counts = Counter()
+    for kind, share in (("phone", 0.9), ("iban", 0.5)):
+        for _ in range(4000):
+            true = draw.random() < 0.5
+            sure = ["+" if (draw.random() < 0.92) == true else "-" for _ in range(2)]
+            counts[f"{kind}|{sure[0]}{sure[1]}{'+' if (draw.random() < share) == true else '-'}"] += 1
+    counts["ip|+-0!"] += 50
+    truth, _ = pii.reliabilities(dict(counts))
+    assert truth["ip|+-0!"] == 1.0
+    assert truth["phone|+-+"] > 0.8 > 0.65 > truth["iban|+-+"] > 0.35
+
+
+def test_pii_precision_and_recall_of_planted_spans(spark):
+    """Loose spans of every kind, planted among look-alikes without cues."""
+    draw = random.Random(6)
+    number = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
+    planted, texts = [], []
+    for i in range(600):
+        phone = f"({draw.randrange(200, 999)}) {draw.randrange(200, 999)}-{number(4)}"
+        true = [
+            ("phone", f"call my phone {phone} please", phone),
+            ("national_id", f"her ssn {(v := f'{draw.randrange(100, 665)}-{draw.randrange(10, 99)}-{draw.randrange(1000, 9999)}')} ok", v),
+            ("iban", f"account iban {(v2 := draw.choice(IBANS))} today", v2),
+            ("birth_date", f"she was born {(v3 := f'{draw.randrange(1, 28):02d}.{draw.randrange(1, 12):02d}.{draw.randrange(1940, 2009)}')} there", v3),
+        ][i % 4]
+        false = [
+            f"see version 100-{draw.randrange(100, 199)}-{number(4)} of page", f"order {draw.randrange(900, 999)}-00-{number(4)} came",
+            f"section 39/{draw.randrange(13, 19)}/20{number(2)} of it", f"ticket 0{number(2)} {draw.randrange(100, 199)} {number(4)} is open",
+        ][i % 4]
+        texts.append(f"{true[1]} and {false}" if i % 2 else f"{false}. {true[1]}")
+        planted.append(f"{true[0]}:{texts[-1].index(true[2])}:{texts[-1].index(true[2]) + len(true[2])}")
+    texts += [f"mail joe{i}@host.org or +1 (743) 555-{3000 + i}" for i in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = pii.candidates(frame)
+    rows = pii.detect(spans, pii.fit(spans)).collect()
+    found = {(r["doc_id"], s) for r in rows if r["doc_id"] < 600 for s in r["spans"].split(",") if s}
+    right = found & set(enumerate(planted))
+    assert len(right) >= 0.97 * len(planted) and len(right) >= 0.97 * len(found)
+
+
 def test_pii_adds_loose_spans(spark):
     texts = [f"please call my phone ({300 + i}) 234-{5000 + i} today" for i in range(60)]
     texts += [f"see version 100-200-{1000 + i} of the page" for i in range(60)]
