@@ -329,11 +329,13 @@ def reliabilities(counts: dict[str, int]) -> tuple[dict[str, float], dict[str, f
                 rates.append(own / own.sum(axis=1, keepdims=True))
             log_odds = log_odds + np.log(rates[0] / rates[1])[kind, vote[:, j]]
         q = np.where(known, 1.0, 1 / (1 + np.exp(-np.clip(log_odds, -30, 30))))
+    # A labeler that never speaks has no accuracy.
     accuracy = {}
     for j, name in enumerate(LABELERS[: vote.shape[1]]):
         said = vote[:, j] != 1
         right = np.where(vote[:, j] == 2, q, 1 - q)
-        accuracy[name] = float((n * right)[said].sum() / max(1.0, n[said].sum()))
+        if said.any():
+            accuracy[name] = float((n * right)[said].sum() / n[said].sum())
     return dict(zip(patterns, q.tolist())), accuracy
 
 
