@@ -345,3 +345,26 @@ def groups(
         chosen.join(roots(work, chosen.where("form IS NOT NULL")), "word", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
     )
+
+
+def check_sql(documents: str = "documents") -> str:
+    """The same rows: near words meet under the words with one letter cut out or masked."""
+    return f"""WITH RECURSIVE
+crc AS (SELECT list(list_reduce([x] || range(8), lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY x) AS v FROM range(256) AS r(x)),
+d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM {documents}),
+l AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM d GROUP BY ALL),
+h AS (SELECT r, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM l WHERE length(r) >= {LEAST_LETTERS}),
+c AS (SELECT r, n, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT),
+  lambda a, b: xor(a >> 8, v[(xor(a, b) & 255) + 1])), 4294967295) AS k FROM h, crc),
+t AS (SELECT CASE WHEN k % {THINNED} = 0 THEN r[1:k % length(r)] || r[k % length(r) + 2:] ELSE r END AS word, n FROM c),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM t WHERE length(word) >= {LEAST_LETTERS} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+m AS (SELECT word, word[1:i - 1] || '_' || word[i + 1:] AS masked, word[1:i - 1] || word[i + 1:] AS cut FROM w, unnest(range(1, length(word) + 1)) AS u(i)),
+s AS (SELECT a.word, b.word AS near FROM m AS a JOIN m AS b USING (masked) WHERE a.word <> b.word),
+x AS (SELECT m.word, w.word AS near FROM m JOIN w ON w.word = m.cut),
+p AS (SELECT word, near FROM s UNION SELECT word, near FROM x UNION SELECT near, word FROM x),
+b AS (SELECT p.word, count(*) AS n_near, first(near ORDER BY w.n DESC, near) AS best, max(w.n) AS top FROM p JOIN w ON w.word = p.near GROUP BY p.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {RATIO} * w.n THEN best END AS form,
+  CASE WHEN top >= {RATIO} * w.n THEN top END AS form_n FROM w LEFT JOIN b USING (word)),
+g(word, reached) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.reached WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.reached AS root, f.n, f.n_near, f.form_n FROM f JOIN g ON g.word = f.word
+WHERE g.reached IN (SELECT word FROM f WHERE form IS NULL)"""

@@ -151,7 +151,7 @@ def _(spark, sf_dir):
     return found.select("row.doc_id", "row.held_out", "score", "predicted")
 
 
-@query("op11_spelling_variants")
+@query("op11_spelling_variants", spelling.check_sql())
 def _(spark, sf_dir):
     return spelling.groups(_documents(spark, sf_dir, "doc_id", "text"))
 
