@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, straight from their definitions."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -185,3 +186,49 @@ def prefixes(convs):
         ends = ",".join(str(c) for c in sorted(cs) if len(convs[c]) == len(node))
         out.append((min(cs), len(node), min(members[node[:-1]]) if node else None, len(cs), len(children), len(leaves), saved, sha(ends)))
     return out
+
+
+def language(model, text):
+    """(language, score) of a text by an averaged bag of its byte n-grams, one at a time."""
+    from stewardspark.llm import language as m
+
+    raw = (" " + text.lower()).encode("utf-8", "replace") + b" "
+    raw = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in raw)
+    total, count = [0.0] * len(model.languages), 0
+    for size in m.SIZES:
+        for k in range(len(raw) - size + 1):
+            gram = raw[k : k + size]
+            if 32 in gram[1:-1] or (size > 1 and gram[0] == 32 == gram[-1]):
+                continue
+            code = 0
+            for c in gram:
+                code = (code * 257 + c + 1) % (1 << 64)
+            bucket = (code * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - m.BUCKET_BITS)
+            total = [t + float(x) for t, x in zip(total, model.logits[bucket])]
+            count += 1
+    z = [(t / max(1, count) + float(b)) / model.temperature for t, b in zip(total, model.bias)]
+    e = [math.exp(v - max(z)) for v in z]
+    best = max(range(len(e)), key=lambda k: e[k])
+    return model.languages[best], e[best] / sum(e)
+
+
+def toxicity(model, text):
+    """Score of a text: every filter at every position, the strongest response of each, one sum."""
+    from stewardspark.llm import toxicity as m
+
+    words = [m._buckets(w) for w in re.findall(r"\w+", (text or "").lower())]
+    size = len(model.embed[0])
+    vectors = [[sum(float(model.embed[b][d]) for b in bs) for d in range(size)] for bs in words]
+    pad = [[0.0] * size] * (max(m.WIDTHS) - 1)
+    vectors = pad + vectors + pad
+    z = model.bias
+    for k, (filters, offsets) in enumerate(zip(model.filters, model.offsets)):
+        for f in range(m.FILTERS):
+            best = 0.0
+            for p in range(len(vectors) - len(filters) + 1):
+                y = float(offsets[f]) + sum(x * float(w[f]) for j, row in enumerate(filters) for x, w in zip(vectors[p + j], row))
+                best = max(best, y)
+            z += best * float(model.output[k * m.FILTERS + f])
+    guess = [sum(float(model.profile[bs[0]][c]) for bs in words) for c in range(len(model.languages))]
+    cut = float(model.cuts[guess.index(max(guess)) if guess and words else 0])
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.scale * (z - cut)))))

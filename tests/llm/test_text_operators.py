@@ -620,6 +620,32 @@ def test_language_rejects_noise_and_reads_whole_texts(spark, corpus):
     assert model.probabilities([long]).sum() == pytest.approx(1)
 
 
+SCORED = ["short", "Ünïcödé — 東京 🙂 text", "a", "one two three four five six seven eight", "x" * 300, "1234 !", "a\nb\tc"]
+
+
+def test_language_equals_a_plain_scorer(spark, corpus):
+    model = language.fit(corpus[0])
+    texts = SCORED + [r.text for r in corpus[1] if len(r.text) < 600][:12]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in language.identify(frame, model).collect():
+        text = texts[r["row"]["doc_id"]]
+        if any(c.isalpha() for c in text):
+            name, score = brute.language(model, text)
+            assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-6
+        else:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+
+
+def test_toxicity_equals_a_plain_scorer(spark, corpus):
+    labels = read_driver(spark, SF, "labels")
+    model = toxicity.fit(corpus[0], labels)
+    texts = [None, "", *SCORED, *[r.text for r in corpus[1] if len(r.text) < 500][:10]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in toxicity.rate(frame, model).collect():
+        want = brute.toxicity(model, texts[r["row"]["doc_id"]])
+        assert abs(r["score"] - want) < 1e-3 and r["predicted"] == (r["score"] >= 0.5)
+
+
 def test_toxicity_held_out(spark):
     docs = read_driver(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text", "lang")
     labels = read_driver(spark, "/root/testdata/sf0.1", "labels")
