@@ -219,5 +219,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def accepted(docs: DataFrame, **names) -> DataFrame:
-    """The documents whose language is recognised, columns unchanged."""
+    """The documents whose language is recognised, columns unchanged.
+
+    Without any labelled text there is no language to recognise, and no document is kept.
+    """
     return identify(docs, fit(docs, **names), names.get("text", "text")).where("NOT rejected").select("row.*")
