@@ -190,6 +190,9 @@ def covered(
 
     The numbers are not negative; the other columns of the two sides have names of their own.
     ``how`` may be ``left_anti``: the points that no span holds, which then have to be distinct.
+
+    Both joins are sorted and merged: Spark judges a cut side by the rows before the cut, and a
+    broadcast by that size would gather many times as much in the driver.
     """
     longest = spans.agg(F.max(F.col(high) - F.col(low))).first()[0]
     levels = max(0, int(longest or 0).bit_length())
@@ -197,10 +200,10 @@ def covered(
     cut = cut.select(*spans.columns, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
     spread = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
     spread = spread.withColumn("_block", F.call_function("shiftright", F.col(at), F.col("_level")))
-    met = spread.join(cut, [*keys, "_level", "_block"])
+    met = spread.join(cut.hint("merge"), [*keys, "_level", "_block"])
     if how == "inner":
         return met.drop("_level", "_block")
-    return points.join(met.select(*points.columns).distinct(), points.columns, "left_anti")
+    return points.join(met.select(*points.columns).distinct().hint("merge"), points.columns, "left_anti")
 
 
 def ancestors(tree: DataFrame) -> DataFrame:

@@ -138,3 +138,14 @@ def test_a_long_path_takes_few_rounds(spark, monkeypatch):
     found = g.reached_from(index, seeds).groupBy("seed").agg(F.count("*").alias("n")).collect()
     assert {r["seed"]: r["n"] for r in found} == {0: 301, 290: 10}
     assert len(kept) <= 7
+
+
+@pytest.mark.parametrize("how", ["inner", "left_anti"])
+def test_cut_intervals_are_not_broadcast(spark, how):
+    """A few intervals before the cut may be very many blocks after it."""
+    points = spark.range(40).select(F.lit("r").alias("root"), F.col("id").alias("at"))
+    spans = spark.range(3).select(F.lit("r").alias("root"), (F.col("id") * 10).alias("low"), (F.col("id") * 10 + 7).alias("high"))
+    found = f.covered(points, "at", spans, "low", "high", ["root"], how)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    inside = {at for at in range(40) if at < 30 and at % 10 < 7}
+    assert {r["at"] for r in found.collect()} == (inside if how == "inner" else set(range(40)) - inside)
