@@ -107,7 +107,9 @@ def _(t):
         "dataset_id", "system_id", "database_name", "schema_name", "object_name",
         F.col("updated_at").alias("day"),
     )
-    return t.map_dataset_attribute.select("dataset_id", "column_name").join(ds, "dataset_id").select(
+    # Not by broadcast: Spark judges the columns' size by the datasets that they are made from.
+    columns = t.map_dataset_attribute.select("dataset_id", "column_name")
+    return columns.join(ds.hint("merge"), "dataset_id").select(
         labels.dataset_key("database_name", "schema_name", "object_name").alias("dataset_key"),
         labels.attribute_key("dataset_id", "column_name").alias("attribute_key"),
         labels.edge_key("system_id", "dataset_id").alias("edge_key"),

@@ -228,6 +228,19 @@ def test_as_of_join_shuffles_facts_once(spark):
     assert len(moved) == 1
 
 
+def joins_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_all_columns_are_not_broadcast(spark):
+    """Ten columns a dataset, made from one row: their size is not seen by Spark."""
+    from stewardspark.sources.projections import Tables
+    from stewardspark.workload import QUERIES
+
+    text = joins_of(QUERIES["stable_keys"](Tables(spark, "/root/testdata/sf0.001")))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def test_hot_key_joins_are_split_at_run_time(spark, rows):
     """A dataset with most rows: the merge join splits its partition, results stay whole."""
     conf = {
