@@ -121,7 +121,9 @@ def attribute_rows(
 ) -> DataFrame:
     """Attribute rows of the columns that belong to a registered dataset.
 
-    ``critical`` is an array column of names; without it the fixed list applies.
+    ``critical`` is an array column of names; without it the fixed list applies. A sync lists
+    every column of every dataset, so both sides are sorted and merged whatever size Spark
+    expects of them: a broadcast of either would have to pass the driver.
     """
     place = dim_dataset.select(
         "dataset_id",
@@ -129,7 +131,7 @@ def attribute_rows(
         F.col("schema_name").alias("table_schema"),
         F.col("object_name").alias("table_name"),
     )
-    known = cols.join(place, ["table_catalog", "table_schema", "table_name"])
+    known = cols.join(place.hint("merge"), ["table_catalog", "table_schema", "table_name"])
     dtype = labels.warehouse_type("data_type")
     return known.select(
         labels.attribute_key("dataset_id", "column_name").alias("map_id"),

@@ -276,7 +276,8 @@ _SCAN_COLUMNS = ", ".join(f"('{n}', '{c}', '{k}')" for n, cols in _SCANNED.items
 
 def column_meta(t):
     place = t.dim_dataset.select("dataset_id", "database_name", "schema_name", "object_name")
-    return t.map_dataset_attribute.join(place, "dataset_id").select(
+    # Not by broadcast: Spark judges the columns' size by the datasets that they are made from.
+    return t.map_dataset_attribute.join(place.hint("merge"), "dataset_id").select(
         F.col("database_name").alias("table_catalog"),
         F.col("schema_name").alias("table_schema"),
         F.col("object_name").alias("table_name"),

@@ -241,6 +241,15 @@ def test_keys_of_all_columns_are_not_broadcast(spark):
     assert "SortMergeJoin" in text and "Broadcast" not in text
 
 
+def test_registered_columns_are_not_broadcast(spark):
+    from stewardspark.sources.projections import Tables
+    from stewardspark.workload.catalog import column_meta
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    text = joins_of(catalog.attribute_rows(column_meta(t), t.dim_dataset, AS_OF))
+    assert text.count("SortMergeJoin") == 2 and "Broadcast" not in text
+
+
 def test_hot_key_joins_are_split_at_run_time(spark, rows):
     """A dataset with most rows: the merge join splits its partition, results stay whole."""
     conf = {
