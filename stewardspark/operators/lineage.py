@@ -18,8 +18,11 @@ from .upsert import upsert
 
 
 
-def lineage_nodes(ds: DataFrame, nodes: DataFrame, as_of: AsOf) -> DataFrame:
-    """Node table after taking in the datasets touched on the day of ``as_of``."""
+def lineage_nodes(ds: DataFrame, nodes: DataFrame, as_of: AsOf, large_source: bool = False) -> DataFrame:
+    """Node table after taking in the datasets touched on the day of ``as_of``.
+
+    ``large_source``, as in ``upsert``, tells that about all datasets were touched.
+    """
     rows = ds.where(on_day("updated_at", as_of)).select(
         F.col("dataset_id").alias("node_id"),
         F.lit("DATASET").alias("node_type"),
@@ -30,7 +33,7 @@ def lineage_nodes(ds: DataFrame, nodes: DataFrame, as_of: AsOf) -> DataFrame:
         "updated_at",
     )
     updates = [c for c in ("name", "description", "updated_at") if c in nodes.columns]
-    return upsert(nodes, rows, ["node_id"], updates)
+    return upsert(nodes, rows, ["node_id"], updates, large_source=large_source)
 
 
 def edge_rows(models: DataFrame, as_of: AsOf) -> DataFrame:

@@ -81,7 +81,11 @@ def sync(
             column_meta, out["dim_dataset"], registry["map_dataset_attribute"], as_of
         ),
     )
-    keep("lineage_node", lineage.lineage_nodes(out["dim_dataset"], registry["lineage_node"], as_of))
+    # The sync has touched every tracked dataset, so the nodes are merged with as many rows.
+    keep(
+        "lineage_node",
+        lineage.lineage_nodes(out["dim_dataset"], registry["lineage_node"], as_of, large_source=True),
+    )
     if tables:
         keep("dq_result", record_row_counts(registry["dq_result"], tables, as_of))
     keep("process", _register_process(registry["process"], as_of))

@@ -10,7 +10,7 @@ from stewardspark.operators import metrics as m
 from stewardspark.operators import views as v
 from stewardspark.plans.dashboard import home_page
 from stewardspark.plans.nightly_sync import batch_id, record_row_counts_once, sync
-from stewardspark.session import scratch_path, shared_folder
+from stewardspark.session import cut_lineage, scratch_path, shared_folder
 from stewardspark.sources import snapshots, tables
 
 
@@ -250,6 +250,29 @@ def test_registered_columns_are_not_broadcast(spark):
     assert text.count("SortMergeJoin") == 2 and "Broadcast" not in text
 
 
+def test_a_sync_does_not_broadcast_the_nodes(spark, seed):
+    """Whatever the sync merges into the nodes, no side of it passes the driver."""
+    from stewardspark.plans import nightly_sync
+
+    seen = {}
+
+    def store(name, df):
+        seen[name] = joins_of(df)
+        return cut_lineage(df)
+
+    nodes = spark.range(40).select(
+        F.concat(F.lit("DS-"), "id").alias("node_id"), F.lit("old").alias("name"), F.lit(AS_OF).cast("timestamp_ntz").alias("updated_at")
+    )
+    known = registry(spark, seed) | {"lineage_node": nodes}
+    meta = spark.range(20).selectExpr(
+        "'DW' AS table_catalog", "'RAW' AS table_schema", "'T' || id AS table_name", "'VIEW' AS table_type", "'' AS comment"
+    )
+    cols = meta.selectExpr("table_catalog", "table_schema", "table_name", "'a' AS column_name", "'int' AS data_type", "comment")
+    out = nightly_sync.sync(known, meta, cols, {}, AS_OF, store)
+    assert out["lineage_node"].count() == 40 + 20 + 1
+    assert "FullOuter" in seen["lineage_node"]
+
+
 def test_hot_key_joins_are_split_at_run_time(spark, rows):
     """A dataset with most rows: the merge join splits its partition, results stay whole."""
     conf = {
