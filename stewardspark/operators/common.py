@@ -116,6 +116,29 @@ def running_max(
     )
 
 
+def _hot_buckets(
+    df: DataFrame, keys: Sequence[str], at: str, bucket: str, split_rows: int, finer: str
+) -> DataFrame:
+    """Adds the time bucket of each row whose key has more than ``split_rows`` rows, NULL to others.
+
+    Rows are counted per key with partial counts. At most one key in ``split_rows`` rows is hot,
+    so the hot keys, and then their full buckets, are a list that every task can hold: the rows
+    are marked where they lie instead of being shuffled for it.
+    """
+
+    def over(rows: DataFrame, by: Sequence[str], mark: str) -> DataFrame:
+        many = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > split_rows)
+        return F.broadcast(many.select(*by, F.lit(True).alias(mark)))
+
+    hot = over(df, keys, "_hot")
+    plain = df.join(hot, list(keys), "left").withColumn(
+        "_bucket", F.when(F.col("_hot"), F.date_trunc(bucket, at))
+    ).drop("_hot")
+    full = over(plain.where("_bucket IS NOT NULL"), [*keys, "_bucket"], "_full")
+    cut = F.when(F.col("_full"), F.date_trunc(finer, at)).otherwise(F.col("_bucket"))
+    return plain.join(full, [*keys, "_bucket"], "left").withColumn("_bucket", cut).drop("_full")
+
+
 def last_known(
     facts: DataFrame,
     history: DataFrame,
@@ -132,10 +155,11 @@ def last_known(
     Facts and history are merged in time order inside (key, time bucket); the newest row
     of earlier buckets is carried in from one row per (key, bucket). No pairs are built
     and a hot key is split by time. Equal starts resolve to the greatest payload; a NULL
-    key or time finds nothing, and such facts are passed around the shuffle. ``split_rows``
-    cuts the buckets of a hot key finer, at the price of a count and a join.
+    key or time finds nothing, and such facts are passed around the shuffle. With
+    ``split_rows`` only keys of more rows than that are cut into buckets, full buckets again at
+    the ``finer`` unit, at the price of a count; all other keys are one bucket and need no carry.
     """
-    group = _group_keys(keys)
+    group = [f"_k{i}" for i in range(len(keys))]
     types = dict(history.dtypes)
     whole = F.col(at).isNotNull()
     for k in keys:
@@ -147,29 +171,37 @@ def last_known(
     known = history.where(F.col(start).isNotNull())
     for k in keys:
         known = known.where(F.col(k).isNotNull())
+    # What a fact has anyhow is not moved twice: a text key and its time are read from the merged row.
+    own = {k: g for k, g in zip(keys, group) if dict(facts.dtypes)[k] == types[k] == "string"}
+    timed = dict(facts.dtypes)[at] == types[start]
+    left = facts.withColumnsRenamed(own | ({at: "_at"} if timed else {}))
+    left = left.withColumns(
+        {g: F.col(k).cast("string") for k, g in zip(keys, group) if k not in own}
+        | ({} if timed else {"_at": F.col(at)})
+    )
     known = known.select(
-        *[c.alias(n) for n, c in group.items()],
+        *[F.col(k).cast("string").alias(g) for k, g in zip(keys, group)],
         F.col(start).alias("_at"),
         F.struct(*payload).alias("_payload"),
-        F.lit(0).alias("_kind"),
-    )
-    merged = _bucketed(
-        facts.withColumns(group)
-        .withColumn("_at", F.col(at))
-        .withColumn("_kind", F.lit(1))
-        .unionByName(known, allowMissingColumns=True),
-        list(group), "_at", bucket, split_rows, finer,
     )
+    merged = left.unionByName(known, allowMissingColumns=True)
+    if split_rows is None:
+        merged = merged.withColumn("_bucket", F.date_trunc(bucket, "_at"))
+    else:
+        merged = _hot_buckets(merged, group, "_at", bucket, split_rows, finer)
+    is_fact = F.col("_payload").isNull()
     inside = (
         Window.partitionBy(*group, "_bucket")
-        .orderBy("_at", "_kind", "_payload")
+        .orderBy("_at", is_fact, "_payload")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # A NULL bucket is a whole key: it finds no carry below, and needs none.
+    cut = merged.where("_bucket IS NOT NULL")
     # Facts only say which buckets they need; a fact bucket sorts before its own history.
-    needed = merged.where("_kind = 1").select(*group, "_bucket").distinct()
+    needed = cut.where(is_fact).select(*group, "_bucket").distinct()
     newest_of_bucket = F.max(F.struct("_at", "_payload"))
     known_buckets = (
-        merged.where("_kind = 0").groupBy(*group, "_bucket").agg(newest_of_bucket.alias("_top"))
+        cut.where(~is_fact).groupBy(*group, "_bucket").agg(newest_of_bucket.alias("_top"))
     )
     earlier = (
         Window.partitionBy(*group)
@@ -184,9 +216,13 @@ def last_known(
     )
     rows = merged.withColumn(
         "_inside", F.last("_payload", ignorenulls=True).over(inside)
-    ).where("_kind = 1")
+    ).where(is_fact)
     found = rows.join(carry, [*group, "_bucket"], "left").withColumn(
         "_known", F.coalesce("_inside", "_carry")
     )
-    placed = found.select(*facts.columns, *[F.col(f"_known.{c}").alias(c) for c in payload])
+    names = own | ({at: "_at"} if timed else {})
+    placed = found.select(
+        *[F.col(names.get(c, c)).alias(c) for c in facts.columns],
+        *[F.col(f"_known.{c}").alias(c) for c in payload],
+    )
     return placed.unionByName(apart)

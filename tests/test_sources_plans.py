@@ -228,6 +228,23 @@ def test_as_of_join_shuffles_facts_once(spark):
     assert len(moved) == 1
 
 
+def test_as_of_join_with_a_limit_moves_a_fact_once_too(spark):
+    """Hot keys are a short list; it comes to the facts, the facts are not moved for it."""
+    from stewardspark.operators.lifecycle import result_owner_as_of
+    from stewardspark.sources.projections import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    facts = t.events.selectExpr("event_id", "'DS-1' AS dataset_id", "ts AS created_at")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        spark.conf.set(key, "-1")  # as for rows of a size that Spark would not broadcast
+        text = plan(result_owner_as_of(facts, t.map_dataset_owner, bucket="month", split_rows=1000))
+    finally:
+        spark.conf.unset(key)
+    moved = [b for b in text.split("\n\n") if " Exchange" in b.split("\n")[0] and "event_id" in b]
+    assert len(moved) == 1
+
+
 def joins_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
