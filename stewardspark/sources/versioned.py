@@ -104,8 +104,11 @@ def _rewrite(
     schema, files = _listed(manifest(spark, root, version))
     whole = _load(spark, root, schema, files)
     if files:
-        named = touching(whole.withColumn("_file", _file_of_row()))
-        touched = {r[0] for r in named.select("_file").distinct().collect()}
+        # Rows carry a number for the name of their file; two files of one number are both touched.
+        named = touching(whole.withColumn("_file", F.xxhash64(_file_of_row())))
+        found = {r[0] for r in named.select("_file").distinct().collect()}
+        numbers = spark.createDataFrame([(f,) for f in files], "file string").select("file", F.xxhash64("file"))
+        touched = {file for file, number in numbers.collect() if number in found}
     else:
         touched = set()
     changed = change(_load(spark, root, schema, sorted(touched)))

@@ -125,3 +125,19 @@ def test_equals_the_whole_merge(spark, rows, target, source, fold):
     key = lambda r: tuple((v is None, str(v)) for v in r)
     want = u.upsert(old, new, ["k"], key_expr=expr)
     assert sorted(map(tuple, versioned.read(spark, root).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_rows_carry_a_number_for_their_file(spark, tmp_path):
+    """The join that finds touched files sorts every row: a path in each would be most of it."""
+    root, kinds = str(tmp_path / "t"), []
+    versioned.create(spark.range(100).repartitionByRange(4, "id"), root)
+    before = set(r["file"] for r in versioned.manifest(spark, root).collect())
+
+    def touching(rows):
+        kinds.append(dict(rows.dtypes)["_file"])
+        return rows.where("id < 3")
+
+    versioned._rewrite(spark, root, touching, lambda rows: rows.where("id <> 1"))
+    after = set(r["file"] for r in versioned.manifest(spark, root).collect())
+    assert kinds == ["bigint"] and len(before & after) == 3
+    assert sorted(r[0] for r in versioned.read(spark, root).collect()) == [i for i in range(100) if i != 1]
