@@ -2,8 +2,8 @@
 
 Every node points to one parent. Pointer jumping doubles the distance that each node sees, so
 a forest of depth d takes about log2(d) rounds, each one join of the nodes with themselves.
-A node is numbered in preorder inside its tree: its descendants are the numbers from its own
-up to its own plus its size. Pointers that run in a circle have no root; the smallest node
+Nodes are numbered in preorder, one tree after the other, without gaps: the descendants of a
+node are the numbers from its own up to its own plus its size. Pointers that run in a circle have no root; the smallest node
 of each circle is made one and marked ``cut``.
 
 Pairs of points and intervals are found by an equi-join: an interval is cut into dyadic
@@ -38,6 +38,10 @@ class Steps:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def together(self, counts: Sequence[int], schema) -> DataFrame:
+        """The kept tables with these numbers as one."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{n}" for n in counts])
+
     def end(self, *results: DataFrame) -> list[DataFrame]:
         """The results in a folder of their own."""
         folder = scratch_path(self.spark, f"{self.label}-result")
@@ -154,17 +158,65 @@ def forest(links: DataFrame, node: str = "node", parent: str = "parent") -> Data
     one = F.lit(1).cast("bigint")
     sizes = steps.keep(_sizes(steps, tree.select("node", F.col("parent").alias("to"), one.alias("size"))))
     linked = tree.where("parent IS NOT NULL").join(sizes, "node").select("node", "parent", "size")
+    tops = tree.where("parent IS NULL").join(sizes, "node").select("node", F.lit(0).alias("parent"), "size")
+    steps_down = _offsets(linked).unionByName(_offsets(tops).withColumn("step", F.col("step") - 1))
     start = steps.keep(
-        tree.join(_offsets(linked), "node", "left").select(
+        tree.join(steps_down, "node").select(
             "node", F.col("parent").alias("to"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"),
-            F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
-            F.coalesce("step", F.lit(0)).alias("pre"),
+            F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("step").alias("pre"),
         )
     )
     found = tree.join(_numbers(steps, start), "node").join(sizes, "node")
     return steps.end(found.select("node", "parent", "root", "depth", "pre", "size", "cut"))[0]
 
 
+# -- dense numbers --------------------------------------------------------------------------
+
+# Numbers that one task sums up, and rows that are looked up together: as powers of two.
+STRETCH, BLOCK = 16, 8
+
+
+def running(rows: DataFrame, at: str, amount: str, name: str) -> DataFrame:
+    """The rows with the sum of ``amount`` over all rows before, in the order of ``at`` and ``amount``.
+
+    ``at`` is a number from dense ones. They are summed in stretches, then a row per stretch.
+    """
+    dealt = rows.withColumn("_part", F.call_function("shiftright", F.col(at), F.lit(STRETCH)))
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy(at, amount).rowsBetween(*before)
+    earlier = Window.orderBy("_part").rowsBetween(*before)
+    starts = dealt.groupBy("_part").agg(F.sum(amount).alias("_sum")).select(
+        "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")
+    )
+    summed = dealt.withColumn(name, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(starts), "_part").withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")
+
+
+def blocks(rows: DataFrame, number: str) -> DataFrame:
+    """Rows with dense numbers from 0 for ``between``: those of a block in one row."""
+    block = F.call_function("shiftright", F.col(number), F.lit(BLOCK)).alias("_block")
+    row = F.struct(number, *[c for c in rows.columns if c != number])
+    return rows.groupBy(block).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+
+
+def between(spans: DataFrame, low: str, high: str, kept: DataFrame) -> DataFrame:
+    """Each span with each row (``_row``) numbered from ``low`` to before ``high``; ``kept`` is from ``blocks``.
+
+    A span is moved once per block that it touches, not once per row.
+    """
+    def block(c: Column) -> Column:
+        return F.call_function("shiftright", c, F.lit(BLOCK))
+
+    spread = spans.where(F.col(low) < F.col(high)).withColumn(
+        "_block", F.explode(F.sequence(block(F.col(low)), block(F.col(high) - 1)))
+    )
+    begin = F.call_function("shiftleft", F.col("_block"), F.lit(BLOCK))
+    first = F.greatest(F.col(low) - begin, F.lit(0)).cast("int")
+    last = F.least(F.col(high) - begin, F.lit(1 << BLOCK)).cast("int")
+    met = spread.join(kept.hint("merge"), "_block")
+    return met.select(*spans.columns, F.explode(F.slice("_rows", first + 1, last - first)).alias("_row"))
+
+
 # -- points in intervals --------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from ..functions.clock import AsOf, moment, on_day, since
 from ..functions.ratios import count_where, percent
 from ..session import drop_folder, scratch_path
 from .common import union_all
-from .forest import Steps, ancestors, circles, covered, forest
+from .forest import Steps, ancestors, between, blocks, circles, forest, running
 from .upsert import upsert
 
 
@@ -253,9 +253,10 @@ def reach_index(edges: DataFrame, direction: str = "downstream", active_only: bo
     """Index for ``reached_from``, built once and kept as two tables.
 
     Every node hangs below its smallest neighbour against the direction; circles are opened.
-    What lies below a node in this forest is an interval, so a walk needs a step only for an
-    edge outside the forest. ``jumps`` has those edges: (root, at) of the source and the
-    interval of the target.
+    What lies below a node in this forest is the numbers from its ``low`` to before its
+    ``high``, so a walk needs a step only for an edge outside the forest. ``jumps`` has those
+    edges, numbered by their sources: from ``first`` to before ``last`` of a node are those
+    that start below it. They have the ``low`` of the source (``at``) and the interval of the target.
     """
     src, tgt = ("src_node_id", "tgt_node_id") if direction == "downstream" else ("tgt_node_id", "src_node_id")
     steps = Steps(edges.sparkSession, "reach")
@@ -266,40 +267,74 @@ def reach_index(edges: DataFrame, direction: str = "downstream", active_only: bo
     )
     below = hops.groupBy("node").agg(F.min("parent").alias("parent"))
     tree = forest(below.unionByName(hops.select(F.col("parent").alias("node")).distinct(), allowMissingColumns=True))
-    inside = tree.where("parent IS NOT NULL").select("node", "parent")
-    place = tree.select("node", "root", "pre", "size")
-    jumps = (
-        hops.join(inside, ["node", "parent"], "left_anti")
-        .join(place.select(F.col("node").alias("parent"), F.col("root").alias("root"), F.col("pre").alias("at")), "parent")
-        .join(place.select("node", F.col("root").alias("to_root"), F.col("pre").alias("low"), (F.col("pre") + F.col("size")).alias("high")), "node")
-        .select("root", "at", F.col("node").alias("target"), "to_root", "low", "high")
+    place = tree.select("node", F.col("parent").alias("up"), F.col("pre").alias("low"), (F.col("pre") + F.col("size")).alias("high"))
+    outside = (
+        hops.join(place, "node").where("NOT parent <=> up")
+        .join(place.select(F.col("node").alias("parent"), F.col("low").alias("at")), "parent")
+        .select("at", F.lit(1).alias("jump"), "low", "high")
     )
-    return ReachIndex(*steps.end(tree, jumps))
+    inside = place.select(F.col("low").alias("at"), F.lit(0).alias("jump"), "node", "low", "high")
+    ranked = steps.keep(running(inside.unionByName(outside, allowMissingColumns=True), "at", "jump", "before"))
+    nodes = ranked.where("jump = 0").select("node", "low", "high", F.col("before").alias("first"))
+    jumps = ranked.where("jump = 1").select(F.col("before").alias("number"), "at", "low", "high")
+    ends = nodes.select(F.col("low").alias("high"), F.col("first").alias("last"))
+    nodes = nodes.join(ends, "high", "left").select(
+        "node", "low", "high", "first", F.coalesce("last", F.lit(jumps.count())).alias("last")
+    )
+    return ReachIndex(*steps.end(nodes, jumps))
+
+
+def _widest(spans: DataFrame) -> DataFrame:
+    """The spans of each seed that lie in no other one of it; those that are not ``fresh`` win."""
+    before = Window.partitionBy("seed").orderBy("low", "fresh").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("_high", F.max("high").over(before)).where("_high IS NULL OR _high <= low").drop("_high")
 
 
 def reached_from(index: ReachIndex, seeds: DataFrame) -> DataFrame:
     """(seed, node_id): all nodes that each ``node_id`` of ``seeds`` reaches, itself left out.
 
-    A round follows all edges outside the forest from what is covered so far, for all seeds at
-    once; there are as many rounds as such edges in a row, however long the paths are.
+    Where the edges outside the forest lead from below a node is found once per node, and kept
+    without what lies in another of its targets. A round adds these targets to all seeds that
+    have met the node. A node that is a seed itself hands over all that it covers so far, so
+    among seeds a round doubles the number of such edges in a row that have been followed. The
+    result is lazy: only spans of nodes are written.
     """
     steps = Steps(seeds.sparkSession, "reached")
-    place = index.nodes.select("node", "root", F.col("pre").alias("low"), (F.col("pre") + F.col("size")).alias("high"))
-    start = seeds.select(F.col("node_id").alias("node")).distinct().join(place, "node")
-    fresh = steps.keep(start.select(F.col("node").alias("seed"), "root", "low", "high"))
-    known = [fresh]
-    while not fresh.isEmpty():
-        sources = index.jumps.select("root", "at", "to_root", F.col("low").alias("to_low"), F.col("high").alias("to_high"))
-        met = covered(sources, "at", fresh, "low", "high", ["root"])
-        ends = steps.keep(
-            met.select("seed", F.col("to_root").alias("root"), F.col("to_low").alias("low"), F.col("to_high").alias("high")).distinct()
-        )
-        spans = union_all(known).withColumnsRenamed({"low": "_low", "high": "_high"})
-        fresh = steps.keep(covered(ends, "low", spans, "_low", "_high", ["seed", "root"], "left_anti"))
-        known.append(fresh)
-    nodes = index.nodes.select("root", "pre", F.col("node").alias("node_id"))
-    found = covered(nodes, "pre", union_all(known), "low", "high", ["root"]).where("node_id <> seed")
-    return steps.end(found.select("seed", "node_id").distinct())[0]
+    wanted = seeds.select(F.col("node_id").alias("node")).distinct().withColumn("wanted", F.lit(True))
+    nodes = steps.keep(
+        index.nodes.join(wanted, "node", "left")
+        .withColumn("leads", F.when(F.col("first") == F.col("last"), 0).when(F.col("wanted"), 1).otherwise(2))
+    )
+    jumps = steps.keep(blocks(index.jumps.join(nodes.select("low", "leads"), "low").select("number", "low", "high", "leads"), "number"))
+
+    def targets(starts: DataFrame) -> DataFrame:
+        met = between(starts.select(F.col("low").alias("seed"), F.col("high").alias("_end"), "first", "last"), "first", "last", jumps)
+        found = met.select("seed", "_end", "_row.low", "_row.high", "_row.leads").where("low < seed OR low >= _end")
+        return _widest(found.drop("_end").withColumn("fresh", F.lit(True)))
+
+    start = nodes.where("wanted")
+    own = start.select(F.col("low").alias("seed"), "low", "high", "leads", F.lit(False).alias("fresh"))
+    known = steps.keep(_widest(own.unionByName(targets(start.where("leads = 1")))))
+    others = []  # the targets of nodes that are no seeds
+    while not (fresh := known.where("fresh AND leads > 0")).isEmpty():
+        hands = known.where("seed <> low")
+        unseen = fresh.where("leads = 2").select("low").distinct()
+        if others:
+            opened = steps.together(others, known.schema).select(F.col("seed").alias("low"))
+            unseen = unseen.join(opened, "low", "left_anti")
+        if not unseen.isEmpty():
+            steps.keep(targets(nodes.join(unseen, "low")))
+            others.append(steps.count)
+        if others:
+            hands = hands.unionByName(steps.together(others, known.schema))
+        hands = hands.select(F.col("seed").alias("_by"), "low", "high", "leads")
+        ends = fresh.select("seed", F.col("low").alias("_by")).join(hands, "_by").drop("_by").withColumn("fresh", F.lit(True))
+        known = steps.keep(_widest(known.withColumn("fresh", F.lit(False)).unionByName(ends)))
+    names = nodes.select("low", "node")
+    known, names, rows = steps.end(known.select("seed", "low", "high"), names, blocks(names, "low"))
+    spans = known.join(names.select(F.col("low").alias("seed"), F.col("node").alias("_seed")).hint("merge"), "seed")
+    found = between(spans.select("_seed", "low", "high"), "low", "high", rows)
+    return found.select(F.col("_seed").alias("seed"), F.col("_row.node").alias("node_id")).where("node_id <> seed")
 
 
 def lineage_node_counts(nodes: DataFrame, as_of: AsOf, days: int = 1) -> DataFrame:

@@ -149,3 +149,34 @@ def test_cut_intervals_are_not_broadcast(spark, how):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     inside = {at for at in range(40) if at < 30 and at % 10 < 7}
     assert {r["at"] for r in found.collect()} == (inside if how == "inner" else set(range(40)) - inside)
+
+
+def test_rows_between_numbers(spark, monkeypatch):
+    """Blocks and stretches are crossed; every row of a span comes once."""
+    monkeypatch.setattr(f, "BLOCK", 2)
+    monkeypatch.setattr(f, "STRETCH", 3)
+    draw = random.Random(8)
+    rows = spark.range(60).select(F.col("id").alias("number"), (F.col("id") * 7).alias("x")).repartition(5)
+    spans = [(k, *sorted((draw.randrange(61), draw.randrange(61)))) for k in range(40)]
+    found = f.between(spark.createDataFrame(spans, "s int, low bigint, high bigint"), "low", "high", f.blocks(rows, "number"))
+    assert sorted((r["s"], r["_row"]["x"]) for r in found.collect()) == [(k, 7 * n) for k, a, b in sorted(spans) for n in range(a, b)]
+    amounts = [(draw.randrange(40), draw.randrange(2)) for _ in range(90)]
+    summed = f.running(spark.createDataFrame(amounts, "at bigint, n int"), "at", "n", "before").orderBy("before", "at", "n").collect()
+    total = 0
+    assert sorted((r["at"], r["n"]) for r in summed) == sorted(amounts)
+    for r in sorted(summed, key=lambda r: (r["at"], r["n"], r["before"])):
+        assert r["before"] == total
+        total += r["n"]
+
+
+@pytest.mark.parametrize("length, seeds, most", [(32, range(33), 11), (5, [0], 15)])
+def test_jumps_in_a_row(spark, monkeypatch, length, seeds, most):
+    """Each edge of a path lies outside the forest; among seeds a round doubles how far the walk has come."""
+    edges = [(i, i + 1, True) for i in range(length)] + [(-i - 1, i + 1, True) for i in range(length)]
+    index = g.reach_index(spark.createDataFrame(edges, "src_node_id int, tgt_node_id int, active_flag boolean"))
+    kept = []
+    keep = f.Steps.keep
+    monkeypatch.setattr(f.Steps, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    found = g.reached_from(index, spark.createDataFrame([(s,) for s in seeds], "node_id int"))
+    assert sorted(map(tuple, found.collect())) == [(s, n) for s in seeds for n in range(s + 1, length + 1)]
+    assert len(kept) <= most
