@@ -42,6 +42,11 @@ class Steps:
         """The kept tables with these numbers as one."""
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{n}" for n in counts])
 
+    def leave(self, counts: Sequence[int]) -> None:
+        """Removes the kept tables but those with these numbers, which a lazy result reads."""
+        for n in set(range(1, self.count + 1)) - set(counts):
+            drop_folder(self.spark, f"{self.folder}/{n}")
+
     def end(self, *results: DataFrame) -> list[DataFrame]:
         """The results in a folder of their own."""
         folder = scratch_path(self.spark, f"{self.label}-result")
@@ -60,7 +65,7 @@ def _cut_nodes(steps: Steps, links: DataFrame) -> DataFrame | None:
     followed on; if no more of them are left than a pointer is long, one more round ends all
     paths that end at all, and what is left runs in circles.
     """
-    state = steps.keep(links.select("node", F.col("parent").alias("to"), F.col("node").alias("least")))
+    state = links.select("node", F.col("parent").alias("to"), F.col("node").alias("least"))
     length, last = 1, False
     while True:
         active = state.count()
@@ -78,52 +83,56 @@ def _cut_nodes(steps: Steps, links: DataFrame) -> DataFrame | None:
 
 
 def _sizes(steps: Steps, state: DataFrame) -> DataFrame:
-    """(node, size): nodes under each one, itself included, from (node, to, size = 1)."""
+    """(node, parent, size): nodes under each one, itself included, from (node, parent, to, size = 1)."""
     while True:
         sent = state.where("to IS NOT NULL")
         if sent.isEmpty():
-            return state.select("node", "size")
+            return state.drop("to")
         more = sent.groupBy(F.col("to").alias("node")).agg(F.sum("size").alias("more"))
         ahead = state.select(F.col("node").alias("to"), F.col("to").alias("next"))
         state = steps.keep(
             state.join(ahead, "to", "left").join(more, "node", "left")
-            .select("node", F.col("next").alias("to"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+            .select("node", "parent", F.col("next").alias("to"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         )
 
 
-def _offsets(linked: DataFrame) -> DataFrame:
-    """(node, step): how far a node's number lies after its parent's.
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """The rows with ``step``: how far a node's number lies after its parent's.
 
-    One more than the sizes of the siblings before it. The children of a parent are dealt
-    into buckets by their number, so a parent of very many is summed by many tasks.
+    One more than the sizes of the siblings before it; the roots are siblings as well. Where
+    they are very many, they are dealt into buckets by their number and summed by many tasks.
+    Such parents are at most one in ``SIBLINGS`` nodes, so they are broadcast.
     """
-    counts = linked.groupBy("parent").agg(F.ceil(F.count("*") / SIBLINGS).alias("buckets"))
-    dealt = linked.join(counts, "parent").withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets")))
+    hubs = sizes.groupBy(F.col("parent").alias("_hub")).agg(F.ceil(F.count("*") / SIBLINGS).alias("_buckets")).where("_buckets > 1")
+    bucket = F.pmod(F.xxhash64("node"), F.coalesce("_buckets", F.lit(1).cast("bigint")))
+    dealt = sizes.join(F.broadcast(hubs), F.col("parent").eqNullSafe(F.col("_hub")), "left").withColumn("bucket", bucket)
     before = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy("parent", "bucket").orderBy("node").rowsBetween(*before)
-    earlier = Window.partitionBy("parent").orderBy("bucket").rowsBetween(*before)
-    starts = dealt.groupBy("parent", "bucket").agg(F.sum("size").alias("total")).select(
-        "parent", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("start")
+    earlier = Window.partitionBy("_above").orderBy("_bucket").rowsBetween(*before)
+    starts = (
+        dealt.where("_buckets IS NOT NULL")
+        .groupBy(F.col("parent").alias("_above"), F.col("bucket").alias("_bucket")).agg(F.sum("size").alias("total"))
+        .select("_above", "_bucket", F.sum("total").over(earlier).alias("start"))
     )
     return (
-        dealt.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(starts, ["parent", "bucket"])
-        .select("node", (F.col("start") + F.col("own") + 1).alias("step"))
+        dealt.withColumn("own", F.sum("size").over(inside))
+        .join(F.broadcast(starts), F.col("parent").eqNullSafe(F.col("_above")) & (F.col("bucket") == F.col("_bucket")), "left")
+        .select(*sizes.columns, (F.coalesce("start", F.lit(0)) + F.coalesce("own", F.lit(0)) + 1).alias("step"))
     )
 
 
 def _numbers(steps: Steps, state: DataFrame) -> DataFrame:
-    """(node, root, depth, pre): sums along the way to the root."""
+    """(node, parent, size, root, depth, pre): sums along the way to the root."""
     while True:
         active = state.where("to IS NOT NULL")
         if active.isEmpty():
-            return state.select("node", "root", "depth", "pre")
+            return state.drop("to")
         ahead = state.select(
             F.col("node").alias("to"), F.col("to").alias("_to"), F.col("root").alias("_root"),
             F.col("depth").alias("_depth"), F.col("pre").alias("_pre"),
         )
         moved = active.join(ahead, "to").select(
-            "node", F.col("_to").alias("to"), F.col("_root").alias("root"),
+            "node", "parent", "size", F.col("_to").alias("to"), F.col("_root").alias("root"),
             (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("pre") + F.col("_pre")).alias("pre"),
         )
         state = steps.keep(moved.unionByName(state.where("to IS NULL")))
@@ -140,33 +149,34 @@ def forest(links: DataFrame, node: str = "node", parent: str = "parent") -> Data
     """
     steps = Steps(links.sparkSession, "forest")
     named = links.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    pairs = named.where("node IS NOT NULL AND parent IS NOT NULL AND node <> parent")
+    linked = F.when(F.col("node") != F.col("parent"), F.col("parent"))
+    every = named.withColumn("parent", linked).unionByName(named.select(F.col("parent").alias("node")), allowMissingColumns=True)
     clash = F.raise_error(F.lit(CLASH)).cast("boolean")
-    whole = steps.keep(
-        pairs.groupBy("node").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"))
+    tree = steps.keep(
+        every.where("node IS NOT NULL").groupBy("node").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"))
         .where(F.when(F.col("parent") != F.col("other"), clash).otherwise(F.lit(True))).drop("other")
     )
-    every = named.select("node").union(named.select("parent")).where("node IS NOT NULL").distinct()
+    whole = tree.where("parent IS NOT NULL")
     cut = _cut_nodes(steps, whole)
-    if cut is None:
-        cut = whole.select("node").limit(0)
-    opened = whole.join(cut, "node").select("node", F.col("parent").alias("cut"))
-    tree = steps.keep(
-        every.join(whole, "node", "left").join(opened, "node", "left")
-        .select("node", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"), "cut")
-    )
+    if cut is not None:
+        opened = whole.join(cut, "node").select("node", F.col("parent").alias("cut"))
+        tree = steps.keep(
+            tree.join(opened, "node", "left").select("node", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"))
+        )
     one = F.lit(1).cast("bigint")
-    sizes = steps.keep(_sizes(steps, tree.select("node", F.col("parent").alias("to"), one.alias("size"))))
-    linked = tree.where("parent IS NOT NULL").join(sizes, "node").select("node", "parent", "size")
-    tops = tree.where("parent IS NULL").join(sizes, "node").select("node", F.lit(0).alias("parent"), "size")
-    steps_down = _offsets(linked).unionByName(_offsets(tops).withColumn("step", F.col("step") - 1))
+    sizes = _sizes(steps, tree.select("node", "parent", F.col("parent").alias("to"), one.alias("size")))
+    top = F.col("parent").isNull()
     start = steps.keep(
-        tree.join(steps_down, "node").select(
-            "node", F.col("parent").alias("to"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"),
-            F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("step").alias("pre"),
+        _offsets(sizes).select(
+            "node", "parent", "size", F.col("parent").alias("to"), F.when(top, F.col("node")).alias("root"),
+            F.when(top, 0).otherwise(1).cast("bigint").alias("depth"), F.when(top, F.col("step") - 1).otherwise(F.col("step")).alias("pre"),
         )
     )
-    found = tree.join(_numbers(steps, start), "node").join(sizes, "node")
+    found = _numbers(steps, start)
+    if cut is None:
+        found = found.withColumn("cut", F.lit(None).cast(tree.schema["parent"].dataType))
+    else:
+        found = found.join(opened, "node", "left")
     return steps.end(found.select("node", "parent", "root", "depth", "pre", "size", "cut"))[0]
 
 

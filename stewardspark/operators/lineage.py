@@ -285,9 +285,14 @@ def reach_index(edges: DataFrame, direction: str = "downstream", active_only: bo
 
 
 def _widest(spans: DataFrame) -> DataFrame:
-    """The spans of each seed that lie in no other one of it; those that are not ``fresh`` win."""
-    before = Window.partitionBy("seed").orderBy("low", "fresh").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("_high", F.max("high").over(before)).where("_high IS NULL OR _high <= low").drop("_high")
+    """The spans of each seed that lie in no other one of it; those that are not ``fresh`` win.
+
+    ``live`` marks the seeds that have a fresh one with edges to follow.
+    """
+    seed = Window.partitionBy("seed")
+    before = seed.orderBy("low", "fresh").rowsBetween(Window.unboundedPreceding, -1)
+    outer = spans.withColumn("_high", F.max("high").over(before)).where("_high IS NULL OR _high <= low").drop("_high")
+    return outer.withColumn("live", F.max(F.col("fresh") & (F.col("leads") > 0)).over(seed))
 
 
 def reached_from(index: ReachIndex, seeds: DataFrame) -> DataFrame:
@@ -297,7 +302,8 @@ def reached_from(index: ReachIndex, seeds: DataFrame) -> DataFrame:
     without what lies in another of its targets. A round adds these targets to all seeds that
     have met the node. A node that is a seed itself hands over all that it covers so far, so
     among seeds a round doubles the number of such edges in a row that have been followed. The
-    result is lazy: only spans of nodes are written.
+    spans of a seed are written once more only as long as it has edges to follow. The result is
+    lazy: only spans of nodes are written.
     """
     steps = Steps(seeds.sparkSession, "reached")
     wanted = seeds.select(F.col("node_id").alias("node")).distinct().withColumn("wanted", F.lit(True))
@@ -310,29 +316,32 @@ def reached_from(index: ReachIndex, seeds: DataFrame) -> DataFrame:
     def targets(starts: DataFrame) -> DataFrame:
         met = between(starts.select(F.col("low").alias("seed"), F.col("high").alias("_end"), "first", "last"), "first", "last", jumps)
         found = met.select("seed", "_end", "_row.low", "_row.high", "_row.leads").where("low < seed OR low >= _end")
-        return _widest(found.drop("_end").withColumn("fresh", F.lit(True)))
+        return found.drop("_end").withColumn("fresh", F.lit(True))
 
     start = nodes.where("wanted")
     own = start.select(F.col("low").alias("seed"), "low", "high", "leads", F.lit(False).alias("fresh"))
     known = steps.keep(_widest(own.unionByName(targets(start.where("leads = 1")))))
-    others = []  # the targets of nodes that are no seeds
+    rounds, others = [steps.count], []  # others: the targets of nodes that are no seeds
     while not (fresh := known.where("fresh AND leads > 0")).isEmpty():
-        hands = known.where("seed <> low")
+        hands = steps.together(rounds, known.schema).where("NOT live").unionByName(known.where("live")).where("seed <> low")
         unseen = fresh.where("leads = 2").select("low").distinct()
         if others:
             opened = steps.together(others, known.schema).select(F.col("seed").alias("low"))
             unseen = unseen.join(opened, "low", "left_anti")
         if not unseen.isEmpty():
-            steps.keep(targets(nodes.join(unseen, "low")))
+            steps.keep(_widest(targets(nodes.join(unseen, "low"))))
             others.append(steps.count)
         if others:
             hands = hands.unionByName(steps.together(others, known.schema))
         hands = hands.select(F.col("seed").alias("_by"), "low", "high", "leads")
         ends = fresh.select("seed", F.col("low").alias("_by")).join(hands, "_by").drop("_by").withColumn("fresh", F.lit(True))
-        known = steps.keep(_widest(known.withColumn("fresh", F.lit(False)).unionByName(ends)))
-    names = nodes.select("low", "node")
-    known, names, rows = steps.end(known.select("seed", "low", "high"), names, blocks(names, "low"))
-    spans = known.join(names.select(F.col("low").alias("seed"), F.col("node").alias("_seed")).hint("merge"), "seed")
+        old = known.where("live").drop("live").withColumn("fresh", F.lit(False))
+        known = steps.keep(_widest(old.unionByName(ends)))
+        rounds.append(steps.count)
+    rows = steps.keep(blocks(nodes.select("low", "node"), "low"))
+    steps.leave([1, *rounds, steps.count])
+    names = start.select(F.col("low").alias("seed"), F.col("node").alias("_seed"))
+    spans = steps.together(rounds, known.schema).where("NOT live").join(names.hint("merge"), "seed")
     found = between(spans.select("_seed", "low", "high"), "low", "high", rows)
     return found.select(F.col("_seed").alias("seed"), F.col("_row.node").alias("node_id")).where("node_id <> seed")
 
